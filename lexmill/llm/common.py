@@ -72,6 +72,16 @@ def as_text(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def boxed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns beside whole rows in `_doc`, so that an operator's results can't clash with a table's columns."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *columns)
+
+
+def unboxed(df: DataFrame, docs: DataFrame, **replaced: Column) -> DataFrame:
+    """The rows in `_doc` with docs' columns, some of them replaced."""
+    return df.select(*[replaced.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves the remainder; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder

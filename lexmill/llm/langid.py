@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_text, documents, held_out, slices
+from .common import as_text, boxed, documents, held_out, slices, unboxed
 
 #: n-grams are hashed into so many buckets; the model has languages x BUCKETS numbers.
 BUCKET_BITS = 14
@@ -224,4 +224,4 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def langid_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language that holds at least half of their words, learned from the stage's own labelled rows."""
     model = learn(docs.filter(~held_out(F.col("doc_id"), 3, 1)))
-    return identify(docs, model).filter("lang_pred <> 'und' and score >= 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unboxed(identify(boxed(docs, "text"), model).filter("lang_pred <> 'und' and score >= 0.5"), docs)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, documents, let
+from .common import SPACE_CLASS, boxed, documents, let, unboxed
 
 #: Phrases of page furniture, lower case.
 BOILERPLATE = (
@@ -135,6 +135,5 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, with the failed lines removed from their text and n_chars counted anew."""
-    judged = quality(docs).filter("kept")
     text = F.col("cleaned_text")
-    return judged.select(*[{"text": text, "n_chars": F.length(text).cast("long")}.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return unboxed(quality(boxed(docs, "text")).filter("kept"), docs, text=text, n_chars=F.length(text).cast("long"))

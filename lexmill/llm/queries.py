@@ -8,11 +8,41 @@ from .langid import op4_langid
 from .license import op5_license
 from .lm import op2_lm
 from .packing import op6_packing
-from .quality import op3_quality
+from .quality import BOILERPLATE, QualityRules, op3_quality
 from .sharding import op9_sharding
 from .simhash import op8_simhash
 from .tokencount import op10_tokencount
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_lm, op3_quality, op4_langid, op5_license, op6_packing, op7_ann, op8_simhash, op9_sharding, op10_tokencount)}
 
-ORACLE_SQL: dict[str, str] = {}
+_WHITE = r"[\x20\x09-\x0D]"
+_RULES = QualityRules()
+
+
+def _count(chars: str) -> str:
+    return f"(length(s) - length(regexp_replace(s, '[{chars}]', '', 'g')))"
+
+
+_OP3 = rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as w, generate_subscripts(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), 1) as i from d),
+g as (select *, lead(w, 1) over p as w2, lead(w, 2) over p as w3 from w window p as (partition by doc_id order by i)),
+r as (select *, count(*) over (partition by doc_id, w, w2, w3) as c from g where w3 is not null),
+n as (select doc_id, count(distinct k) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as k from r where c > 1) group by doc_id),
+l as (select doc_id, k, s, len(string_split_regex(s, '{_WHITE}+')) as n, length(regexp_replace(s, '{_WHITE}+', '', 'g')) as chars
+  from (select doc_id, k, regexp_replace(x, '^{_WHITE}+|{_WHITE}+$', '', 'g') as s from (select doc_id, unnest(string_split(t, chr(10))) as x, generate_subscripts(string_split(t, chr(10)), 1) as k from d))),
+v as (select doc_id, sum(chars) filter (s = '' or (
+    (regexp_matches(s, '[.!?…:;,。！？؟।]["''”’»)\]]*$') or n < {_RULES.min_words_unpunctuated})
+    and not {_count("#*$%&<>~^")} > n * {_RULES.max_symbols_per_word}
+    and not length(s) - length(replace(s, '!!', '!')) > n * {_RULES.max_shouts_per_word}
+    and not (n >= 4 and {_count("|»›•·")} > n * {_RULES.max_bars_per_word})
+    and not (n <= {_RULES.max_boilerplate_line_words} and regexp_matches(lower(s), '{"|".join(BOILERPLATE)}')))) as kept_chars from l group by doc_id),
+f as (select doc_id, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as n_words, length(regexp_replace(t, '{_WHITE}+', '', 'g')) as word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+  (select count(*) - count(distinct x) from (select unnest(string_split(t, chr(10))) as x) where regexp_matches(x, '[^\x20\x09-\x0D]')) as n_dup_lines from d),
+a as (select doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+  n_words < {_RULES.min_words} or 100 * coalesce(n_repeat_words, 0) > {_RULES.max_repeat_percent} * n_words as base_failed,
+  coalesce(1 - coalesce(kept_chars, 0) / nullif(word_chars, 0), 0.0) as lost from f left join n using (doc_id) left join v using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and lost <= {_RULES.max_lost_share} as kept, round(lost, 6) as lost_share from a"""
+
+ORACLE_SQL: dict[str, str] = {"op3_quality": _OP3}

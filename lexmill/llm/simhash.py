@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_BYTES, as_bytes, documents, slices, written
+from .common import LOWER_BYTES, as_bytes, boxed, documents, slices, unboxed, written
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 
@@ -80,7 +80,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(smallest, "b")
         edges = written(small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a < b").distinct(), "links")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
+        if now == seen or not now[0]:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         seen = now
 
@@ -105,7 +105,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one with the smallest id (null ids last), and of equal ids the first row."""
-    rows = written(fingerprints(docs).withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
+    rows = written(fingerprints(boxed(docs, "doc_id", "text")).drop("text").withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
     kept = grouped(rows.select("fp", rank.alias("rank")), "rank").select(F.col("rank")["r"].alias("_row")).distinct()
-    return rows.join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unboxed(rows.join(kept, "_row", "left_semi"), docs)
