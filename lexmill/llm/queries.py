@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import sharding
 from .ann import op7_ann
 from .bpe import op1_bpe
 from .langid import op4_langid
@@ -45,4 +46,38 @@ a as (select doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_rep
   coalesce(1 - coalesce(kept_chars, 0) / nullif(word_chars, 0), 0.0) as lost from f left join n using (doc_id) left join v using (doc_id))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and lost <= {_RULES.max_lost_share} as kept, round(lost, 6) as lost_share from a"""
 
-ORACLE_SQL: dict[str, str] = {"op3_quality": _OP3}
+
+
+def _bits(name: str) -> str:
+    return f"('0x' || substr(md5('{sharding.SEED}:{name}:' || key), 1, 13))::bigint"
+
+
+def _winner(node) -> str:
+    """The shard below a node of the tree: the child with the smallest draw, and so on."""
+    if isinstance(node, tuple):
+        return str(node[0])
+    draws = [f"-ln(({_bits(name)} + 0.5) / 4503599627370496.0) / {sharding.weight(child)}" for name, child in node.items()]
+    below = list(map(_winner, node.values()))
+    cases = [f"when {' and '.join(f'{d} <= {e}' for e in draws[i + 1 :])} then {below[i]}" for i, d in enumerate(draws[:-1])]
+
+    return f"case {' '.join(cases)} else {below[-1]} end" if cases else below[0]
+
+
+def _crc_table() -> str:
+    """The 256 remainders of CRC-32 by its rule: eight times, halve, and add the polynomial where a bit falls out."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return f"({out}::bigint[])"
+
+
+_OP9 = f"""
+with t as (select doc_id, coalesce(text, '') as text, coalesce(doc_id::varchar, 'null') as key from documents),
+c as (select doc_id, key, strlen(text) + 1 as size, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint)),
+  lambda a, b: xor(a >> 8, {_crc_table()}[(xor(a, b) & 255) + 1])), 4294967295::bigint) as text_crc32 from t),
+p as (select *, {_winner(sharding.tree(8))} as shard, {_winner(sharding.tree(9))} as grown_shard, {_bits("slot")} % {sharding.BUCKETS} as bucket from c)
+select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by bucket, doc_id, size, text_crc32) - 1 as slot, grown_shard from p"""
+
+ORACLE_SQL: dict[str, str] = {"op3_quality": _OP3, "op9_sharding": _OP9}

@@ -38,8 +38,8 @@ def _draw(key: Column, name: str, weight: float) -> Column:
     return -F.ln((bits + 0.5) / 4503599627370496.0) / weight
 
 
-def _weight(node) -> float:
-    return node[1] if isinstance(node, tuple) else sum(map(_weight, node.values()))
+def weight(node) -> float:
+    return node[1] if isinstance(node, tuple) else sum(map(weight, node.values()))
 
 
 def _winner(key: Column, node) -> Column:
@@ -48,7 +48,7 @@ def _winner(key: Column, node) -> Column:
         return F.lit(node[0])
     if len(node) == 1:
         return _winner(key, next(iter(node.values())))
-    best = F.array_min(F.array(*[F.struct(_draw(key, name, _weight(child)).alias("d"), F.lit(i).alias("i")) for i, (name, child) in enumerate(node.items())]))
+    best = F.array_min(F.array(*[F.struct(_draw(key, name, weight(child)).alias("d"), F.lit(i).alias("i")) for i, (name, child) in enumerate(node.items())]))
     children, out = list(node.values()), None
     for i, child in enumerate(children[:-1]):
         out = F.when(best["i"] == i, _winner(key, child)) if out is None else out.when(best["i"] == i, _winner(key, child))
