@@ -80,3 +80,46 @@ def ask(spark: SparkSession, questions: DataFrame, docs: DataFrame, cache: DataF
     fresh = answered.select("question_id", F.when(made, "generated").otherwise("no_evidence").alias("outcome"), F.when(made, generate(prompt)).otherwise(NO_EVIDENCE).alias("answer"), F.coalesce("n_sources", F.lit(0)).cast("long").alias("n_sources"))
     cached = asked.filter(F.col("answer").isNotNull()).select("question_id", F.lit("cached").alias("outcome"), "answer", F.lit(0).cast("long").alias("n_sources"))
     return cached.unionByName(fresh)
+
+
+def document_text(*columns: Column) -> Column:
+    """A document's text under any of its names: the first that isn't empty."""
+    from ..functions.text import first_present
+
+    return F.coalesce(first_present(*columns), F.lit(""))
+
+
+def sources(context: Column) -> Column:
+    """(text, label, heading) of each fragment of a context, an array of structs; a fragment without metadata has no label."""
+
+    def shown(x: Column) -> Column:
+        m = x["metadata"]
+        label = F.when(m.isNull(), "").otherwise(source_label(m["citation"], m["source_display"], m["source"]))
+        return F.struct(x["text"].alias("text"), label.alias("label"), F.trim(F.coalesce(m["section_heading"], F.lit(""))).alias("heading"))
+
+    return F.transform(context, shown)
+
+
+CONTEXT = "array<struct<text:string,id:string,metadata:struct<citation:string,source_display:string,source:string,source_kind:string,section_heading:string>>>"
+
+
+def cached_context(json: Column) -> Column:
+    """A stored context, a JSON array of texts or of objects with a text; other items are dropped, and an empty one is null."""
+    items = F.from_json(json, "array<string>")
+    plain = F.lit(None).cast(CONTEXT)
+
+    def read(x: Column) -> Column:
+        whole = F.element_at(F.from_json(F.concat(F.lit("["), x, F.lit("]")), CONTEXT), 1)
+        bare = F.element_at(F.from_json(F.to_json(F.array(F.struct(x.alias("text")))), CONTEXT), 1)
+        return F.when(x.startswith("{"), whole).otherwise(bare)
+
+    kept = F.filter(F.transform(items, read), lambda x: x["text"].isNotNull())
+    return F.when(F.size(kept) > 0, kept).otherwise(plain)
+
+
+def log_fields(results: DataFrame, model: str, top_k: int) -> DataFrame:
+    """What the journal gets of results (outcome, answer, model, sources): no model where nothing was found, the configured one where none is named."""
+    named = F.when(F.col("outcome") == "no_evidence", F.lit(None).cast("string")).otherwise(F.coalesce("model", F.lit(model)))
+    return results.withColumns({
+        "response": F.col("answer"), "from_cache": F.col("outcome") == "cached", "model": named, "top_k": F.lit(top_k), "sources_count": F.size(F.coalesce("sources", F.array())),
+    })

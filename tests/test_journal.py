@@ -72,3 +72,37 @@ def test_answers_and_scores(spark):
     scores = spark.createDataFrame([(0.5, float("nan")), (1.0, None)], "a double, b double")
     assert tuple(evaluate.means(scores, ["a", "b"]).first()) == (0.75, 0.0, 0.75)
     assert [r[0] for r in spark.createDataFrame([(0.7,), (0.5,), (0.1,)], "s double").select(evaluate.band(F.col("s"))).collect()] == ["good", "fair", "poor"]
+
+
+def test_contexts(spark):
+    stored = ['["plain", {"text": "full", "id": "d1", "metadata": {"citation": "", "source_display": "Law", "section_heading": " Art. 1 "}}, {"other": 1}]', "[]", None, "not json"]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(stored)], "i int, s string").select("i", answers.cached_context(F.col("s")).alias("c")).withColumn("shown", answers.sources(F.col("c"))).orderBy("i").collect()
+    assert [tuple(x) for x in rows[0]["shown"]] == [("plain", "", ""), ("full", "Law", "Art. 1")] and [r["c"] for r in rows[1:]] == [None, None, None]
+    results = spark.createDataFrame([("no_evidence", "n", "m", None), ("cached", "a", None, ["x"]), ("generated", "a", "m", ["x", "y"])], "outcome string, answer string, model string, sources array<string>")
+    got = [(r["model"], r["from_cache"], r["sources_count"]) for r in answers.log_fields(results, "cfg", 5).collect()]
+    assert got == [(None, False, 0), ("cfg", True, 1), ("m", False, 2)]
+    assert [r[0] for r in spark.createDataFrame([("", "b"), (None, "")], "x string, y string").select(answers.document_text(F.col("x"), F.col("y"))).collect()] == ["b", ""]
+
+
+def test_matches(spark):
+    hits = spark.createDataFrame([(1, 1, "s", "1"), (1, 2, "s", "2"), (2, 1, "t", "9")], "query_id int, rank int, source string, article string")
+    expected = spark.createDataFrame([(1, "s", "2"), (1, "z", None), (2, "s", None)], "query_id int, source string, article string")
+    assert {tuple(r) for r in evaluate.first_match(hits, expected, ["source", "article"]).collect()} == {(1, 2), (2, None)}
+    zipped = spark.range(1).select(evaluate.with_truth(F.array(F.lit("q")), F.array(F.lit("t"))).alias("z")).first()["z"]
+    assert [tuple(x) for x in zipped] == [("q", "t")]
+    with pytest.raises(Exception, match="reference answers"):
+        spark.range(1).select(evaluate.with_truth(F.array(F.lit("q")), F.array(F.lit("t"), F.lit("u")))).collect()
+
+
+def test_settings(monkeypatch):
+    from lexmill import settings
+
+    for value, want in (("", None), ("0.75", 0.75), ("2", 2.0)):
+        monkeypatch.setenv("RAG_MAX_DISTANCE", value)
+        assert settings.max_distance() == want
+    for value in ("abc", "0", "-0.5", "2.5", "nan", "inf", "0,5"):
+        monkeypatch.setenv("RAG_MAX_DISTANCE", value)
+        with pytest.raises(ValueError, match="RAG_MAX_DISTANCE"):
+            settings.max_distance()
+    monkeypatch.setenv("X", " Yes ")
+    assert settings.flag("X") and not settings.flag("NONE") and settings.path("NONE", "d") == "d"
