@@ -33,6 +33,10 @@ BOILERPLATE = (
 )
 
 
+#: A sentence ends somewhere in the line, or the line breaks off at a mark.
+SENTENCE_END = r"""[.!?…。！？؟।][\x22'”’»)\]]*(?:[\x20\x09-\x0D]|$)|[:;,]$"""
+
+
 @dataclass(frozen=True)
 class QualityRules:
     """Thresholds. Shares are of characters in words or of words; see the rules in `line_passes`."""
@@ -56,7 +60,7 @@ def line_passes(line: Column, rules: QualityRules) -> Column:
 
     def judged(stripped: Column) -> Column:
         def with_words(n: Column) -> Column:
-            punctuated = stripped.rlike(r"""[.!?…:;,。！？؟।][\x22'”’»)\]]*$""") | (n < rules.min_words_unpunctuated)
+            punctuated = stripped.rlike(SENTENCE_END) | (n < rules.min_words_unpunctuated)
             symbols = _count(stripped, r"#*$%&<>~^") > n * rules.max_symbols_per_word
             shouts = F.length(stripped) - F.length(F.regexp_replace(stripped, "!!", "!")) > n * rules.max_shouts_per_word
             bars = (n >= 4) & (_count(stripped, r"|»›•·") > n * rules.max_bars_per_word)

@@ -9,7 +9,7 @@ from .langid import op4_langid
 from .license import op5_license
 from .lm import op2_lm
 from .packing import op6_packing
-from .quality import BOILERPLATE, QualityRules, op3_quality
+from .quality import BOILERPLATE, SENTENCE_END, QualityRules, op3_quality
 from .sharding import op9_sharding
 from .simhash import op8_simhash
 from .tokencount import op10_tokencount
@@ -18,6 +18,7 @@ QUERIES = {f.__name__: f for f in (op1_bpe, op2_lm, op3_quality, op4_langid, op5
 
 _WHITE = r"[\x20\x09-\x0D]"
 _RULES = QualityRules()
+_SENTENCE_END = SENTENCE_END.replace("'", "''")
 
 
 def _count(chars: str) -> str:
@@ -33,7 +34,7 @@ n as (select doc_id, count(distinct k) as n_repeat_words from (select doc_id, un
 l as (select doc_id, k, s, len(string_split_regex(s, '{_WHITE}+')) as n, length(regexp_replace(s, '{_WHITE}+', '', 'g')) as chars
   from (select doc_id, k, regexp_replace(x, '^{_WHITE}+|{_WHITE}+$', '', 'g') as s from (select doc_id, unnest(string_split(t, chr(10))) as x, generate_subscripts(string_split(t, chr(10)), 1) as k from d))),
 v as (select doc_id, sum(chars) filter (s = '' or (
-    (regexp_matches(s, '[.!?…:;,。！？؟।]["''”’»)\]]*$') or n < {_RULES.min_words_unpunctuated})
+    (regexp_matches(s, '{_SENTENCE_END}') or n < {_RULES.min_words_unpunctuated})
     and not {_count("#*$%&<>~^")} > n * {_RULES.max_symbols_per_word}
     and not length(s) - length(replace(s, '!!', '!')) > n * {_RULES.max_shouts_per_word}
     and not (n >= 4 and {_count("|»›•·")} > n * {_RULES.max_bars_per_word})
