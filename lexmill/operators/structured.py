@@ -8,11 +8,13 @@ need a block's size or its neighbours are conditions over the grouped rows. Bloc
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as fn
 from ..functions.pieces import fit, pack, sentences
@@ -134,8 +136,6 @@ def court_review(docs: DataFrame) -> DataFrame:
 
 
 def _first_sentence(text: Column) -> Column:
-    from pyspark.sql import types as T
-
     return F.pandas_udf(lambda rows: rows.map(lambda x: (sentences(x or "") or [x or ""])[0]), T.StringType())(text)
 
 
@@ -222,59 +222,119 @@ def blocks(docs: DataFrame, chunker: str) -> DataFrame:
     return CHUNKERS[chunker](docs)
 
 
-def cut_blocks(units: DataFrame, target: int = TARGET, least: int = LEAST) -> DataFrame:
-    """(doc_id, anchor, chunk_index, chunk_count, item, body): blocks over the soft maximum fall into groups of numbered items.
-
-    Items are grouped up to the target, each group after the block's opening lines if these take half of the target at most; items
-    over the soft maximum, and blocks without items, are cut at sentences.
-    """
-    most = target * 3 // 2
-
-    def pieces(lines: list[str]) -> list[tuple[str, str]]:
-        if len("\n".join(lines)) <= most:
-            return [("", "\n".join(lines))]
-        opening: list[str] = []
-        items: list[tuple[str, list[str]]] = []
-        for line in lines:
-            marker = line.split(")", 1)[0]
-            if ") " in line and marker.isdigit():
-                items.append((marker, [line]))
-            else:
-                (items[-1][1] if items else opening).append(line)
-        if not items:
-            return [("", x) for x in pack([p for line in lines for p in fit(line, target, least, most)], target, "\n", least, most)]
-        lead = "\n".join(opening)
-        out = [("", x) for x in fit(lead.replace("\n", " "), target, least, most)] if len(lead) > target else []
-        again = lead if len(lead) <= target / 2 else ""
-        head = lead if not out else ""
-        group: list[tuple[str, str]] = []
+#: How numbered items and lettered sub-items begin.
+_ITEMS = (re.compile(r"(\d+)\)\s"), re.compile(r"([а-яё])\)\s"))
+
+
+def _by_marker(lines: list[str], mark: re.Pattern) -> tuple[list[str], list[tuple[str, list[str]]]]:
+    """Lines before the first marked one, and each marked line with those that continue it."""
+    opening: list[str] = []
+    items: list[tuple[str, list[str]]] = []
+    for line in lines:
+        if m := mark.match(line):
+            items.append((m[1], [line]))
+        else:
+            (items[-1][1] if items else opening).append(line)
+    return opening, items
+
+
+class _Cutter:
+    """Cuts the lines of one block. Paths are (item, sub-item) labels."""
+
+    def __init__(self, target: int, least: int):
+        self.target, self.least, self.most = target, least, target * 3 // 2
+
+    def block(self, lines: list[str], items: bool) -> list[tuple[tuple, str]]:
+        text = "\n".join(lines)
+        if len(text) <= self.most:
+            return [((), text)]
+        return self.items(lines, [], _ITEMS, ()) if items else self.plain(lines, [], ())
+
+    def plain(self, lines: list[str], head: list[str], path: tuple) -> list[tuple[tuple, str]]:
+        """Paragraphs, cut at sentences where needed. Capital titles stay with what follows; a short first line that ends in a colon is repeated."""
+        capital = lambda x: x == x.upper() and any(map(str.isalpha, x))
+        n = next((i for i, x in enumerate(lines[:-1]) if not capital(x)), len(lines) - 1)
+        titles, body = "\n".join(lines[:n]), lines[n:]
+        if not titles and len(body) > 1 and body[0].endswith(":") and len(body[0]) <= 0.3 * self.target:
+            head, body = [*head, body[0]], body[1:]
+        taken = len("\n".join(head))
+        room = max(self.target - taken - 1, self.target // 2)
+        first = max(room - len(titles) - 1, room // 2) if titles else room
+        parts = [p for i, x in enumerate(body) for p in fit(x, room if i else first, self.least, self.most)]
+        if titles:
+            parts[0] = f"{titles}\n{parts[0]}"
+        return [(path, "\n".join([*head, p])) for p in pack(parts, room, "\n", self.least, max(self.most - taken - 1, room))]
+
+    def items(self, lines: list[str], head: list[str], marks: tuple, path: tuple) -> list[tuple[tuple, str]]:
+        """Groups of items up to the target after their opening lines; an item over the soft maximum is cut by what it holds."""
+        size = lambda x: len("\n".join(x))
+        found = next(((opening, each, marks[i + 1 :]) for i, m in enumerate(marks) for opening, each in [_by_marker(lines, m)] if each), None)
+        if found is None:
+            return self.plain(lines, head, path)
+        opening, each, deeper = found
+        short = lambda x: x if size(x) <= 0.5 * self.target else []
+        lead = [*head, *opening]
+        if size(lead) > self.target:
+            out, now, again = self.plain(opening, head, path), short(head), short(head)
+        else:
+            out, now, again = [], lead, short(lead) or short(head)
+        group: list[tuple[str, list[str]]] = []
 
         def close() -> None:
-            nonlocal group, head
+            nonlocal group, now
             if group:
-                label = group[0][0] if len(group) == 1 else f"{group[0][0]}–{group[-1][0]}"
-                out.append((label, "\n".join(x for x in (head, *(t for _, t in group)) if x)))
-                group, head = [], again
+                first, last = group[0][0], group[-1][0]
+                out.append(((*path, first if first == last else f"{first}–{last}"), "\n".join([*now, *(x for _, own in group for x in own)])))
+                group, now = [], again
 
-        for marker, own in items:
-            text = "\n".join(own)
-            if group and len(head) + sum(len(t) + 1 for _, t in group) + len(text) > target:
-                close()
-            if len(head) + 1 + len(text) > most:
+        for marker, own in each:
+            if group and size(now) + sum(size(x) + 1 for _, x in group) + size(own) + 1 > self.target:
                 close()
-                out.extend((marker, "\n".join(x for x in (head, p) if x)) for p in pack([p for line in own for p in fit(line, max(target - len(head) - 1, target // 2), least, most)], max(target - len(head) - 1, target // 2), "\n", least, most))
-                head = again
+            if not group and size(now) + size(own) + 1 > self.most:
+                out.extend(self.items(own, now, deeper, (*path, marker)))
+                now = again
             else:
-                group.append((marker, text))
+                group.append((marker, own))
         close()
         return out
 
+
+def cut_blocks(units: DataFrame, target: int = TARGET, least: int = LEAST, items: bool = True) -> DataFrame:
+    """The units with chunk_index, chunk_count, item, subitem and body: blocks over the soft maximum are cut, others stay whole.
+
+    items: cut between numbered and lettered items before sentences (not for reviews of practice)."""
+    keep = [f for f in units.schema.fields if f.name != "lines"]
+    own = T.StructType.fromJson({"type": "struct", "fields": [{"name": n, "type": t, "nullable": True, "metadata": {}} for n, t in (("chunk_index", "integer"), ("chunk_count", "integer"), ("item", "string"), ("subitem", "string"), ("body", "string"))]})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = _Cutter(target, least)
         for b in batches:
-            rows = [(d, a, i, len(p), item, body) for d, a, lines in zip(*(b.column(c).to_pylist() for c in ("doc_id", "anchor", "lines")), strict=True) for p in [pieces(lines)] for i, (item, body) in enumerate(p)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            types = (b.column("doc_id").type, pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "anchor", "chunk_index", "chunk_count", "item", "body"])
-
-    kind = units.schema["doc_id"].dataType.simpleString()
-    return units.select("doc_id", "anchor", "lines").mapInArrow(run, f"doc_id {kind}, anchor string, chunk_index int, chunk_count int, item string, body string")
+            rows, source = [], []
+            for at, lines in enumerate(b.column("lines").to_pylist()):
+                cut = cutter.block(lines, items)
+                for i, (path, body) in enumerate(cut):
+                    source.append(at)
+                    rows.append((i, len(cut), *(*path, None, None)[:2], body))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            taken = [b.column(f.name).take(pa.array(source, pa.int64())) for f in keep]
+            made = [pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*taken, *made], names=[*(f.name for f in keep), *own.names])
+
+    return units.mapInArrow(run, T.StructType(keep + own.fields))
+
+
+def chunks(docs: DataFrame, chunker: str) -> DataFrame:
+    """Chunks of documents (doc_id, text, prefix, source_display, source_kind) with narrow labels, citations and anchors, and the text that is indexed."""
+    cut = cut_blocks(blocks(docs, chunker), items=chunker != "court_review")
+    terms = ("п.", "пп.") if chunker == "federal_law" else ("пп.", "пп.")
+    part = lambda column, before: F.when(F.col(column).isNull(), "").otherwise(F.concat(F.lit(before), column))
+    narrow = F.concat(part("item", f", {terms[0]} "), part("subitem", f", {terms[1]} "))
+    named = cut.join(docs.select("doc_id", "source_display", "source_kind"), "doc_id")
+    named = named.withColumns({"label": F.concat("label", narrow), "citation": F.concat("citation", narrow), "anchor": F.concat("anchor", part("item", "/item."), part("subitem", "/sub."))})
+    return named.withColumn("text", fn.indexed_text(F.col("source_display"), F.col("source_kind"), F.col("label"), F.col("body")))
+
+
+def unstructured(docs: DataFrame, chunker: str) -> DataFrame:
+    """Documents in which the chunker finds none of its units: they aren't what they claim to be and shouldn't be indexed."""
+    found = blocks(docs, chunker).filter(~F.col("anchor").isin("preamble", "resolution", "annex")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti")

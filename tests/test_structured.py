@@ -56,4 +56,28 @@ def test_items_are_grouped(spark):
     docs = spark.createDataFrame([(1, text, "Закон")], "doc_id long, text string, prefix string")
     rows = structured.cut_blocks(structured.federal_law(docs)).orderBy("chunk_index").collect()
     assert len(rows) > 2 and all(r["body"].startswith("1. Условия таковы:") and len(r["body"]) <= 1200 for r in rows)
-    assert rows[0]["item"] == "1–2" and rows[0]["chunk_count"] == len(rows)
+    assert rows[0]["item"] == "1–2" and rows[0]["chunk_count"] == len(rows) and rows[0]["article"] == "1"
+
+
+def test_sub_items(spark):
+    letters = "\n".join(f"{x}) " + "длинное условие " * 28 for x in "абв")
+    text = f"Статья 9. Требования\n1. Состав:\n1) короткий пункт;\n2) длинный пункт:\n{letters}\n3) ещё один."
+    docs = spark.createDataFrame([(1, text, "Закон", "Закон N 9", "law")], "doc_id long, text string, prefix string, source_display string, source_kind string")
+    rows = structured.chunks(docs, "federal_law").orderBy("chunk_index").collect()
+    assert [(r["item"], r["subitem"]) for r in rows] == [("1", None), ("2", "а"), ("2", "б"), ("2", "в"), ("3", None)]
+    assert rows[1]["anchor"] == "art.9/part.1/item.2/sub.а" and rows[1]["citation"] == "Закон, ст. 9, ч. 1, п. 2, пп. а"
+    assert rows[0]["text"].startswith("[Источник: Закон N 9 | закон РФ]\n[Фрагмент: Статья 9. Требования — ч. 1, п. 1]\n\n1. Состав:\n1) короткий")
+    words = sorted(text.split("\n", 1)[1].split())
+    assert set(words) <= {w for r in rows for w in r["body"].split()}
+
+
+def test_plain_blocks_keep_titles_and_heads(spark):
+    lines = ["ОБЗОР", "ПРАКТИКИ", "Предложение обзора. " * 80]
+    units = spark.createDataFrame([(1, "preamble", lines)], "doc_id long, anchor string, lines array<string>")
+    rows = structured.cut_blocks(units, items=False).orderBy("chunk_index").collect()
+    assert len(rows) > 1 and rows[0]["body"].startswith("ОБЗОР\nПРАКТИКИ\nПредложение") and max(len(r["body"]) for r in rows) <= 1200
+
+
+def test_unstructured(spark):
+    docs = spark.createDataFrame([(1, "Просто текст.", "З"), (2, "Статья 1. Есть\nТекст.", "З")], "doc_id long, text string, prefix string")
+    assert [r["doc_id"] for r in structured.unstructured(docs, "federal_law").collect()] == [1]
