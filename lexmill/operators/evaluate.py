@@ -34,3 +34,8 @@ def with_truth(questions: Column, truths: Column) -> Column:
     """Questions and reference answers by position, an array of structs; lists of other lengths are an error."""
     zipped = F.arrays_zip(questions.alias("question"), truths.alias("ground_truth"))
     return F.when(F.size(questions) == F.size(truths), zipped).otherwise(F.raise_error(F.lit("as many reference answers as questions are needed")))
+
+
+def margin(best: DataFrame) -> DataFrame:
+    """The worst best distance of questions in scope and the best of those out of scope: a gate between them tells all apart."""
+    return best.agg(F.max(F.when(F.col("in_scope"), F.col("best_distance"))).alias("worst_in_scope"), F.min(F.when(~F.col("in_scope"), F.col("best_distance"))).alias("best_out_of_scope"))

@@ -106,3 +106,30 @@ def test_settings(monkeypatch):
             settings.max_distance()
     monkeypatch.setenv("X", " Yes ")
     assert settings.flag("X") and not settings.flag("NONE") and settings.path("NONE", "d") == "d"
+
+
+def test_remote(spark):
+    from lexmill.sources import remote
+
+    waits: list[float] = []
+    left = [3]
+
+    def flaky(x):
+        left[0] -= 1
+        if left[0] >= 0:
+            raise TimeoutError
+        return x
+
+    assert remote.patient(flaky, wait=waits.append)("ok") == "ok" and waits == [1, 2, 4]
+    left[0] = 99
+    with pytest.raises(TimeoutError):
+        remote.patient(flaky, 1, wait=waits.append)("ok")
+    texts = spark.createDataFrame([(i, "x" * i) for i in range(40)], "id int, text string").coalesce(1)
+    got = remote.embed(texts, lambda xs: [(i, [float(len(x)), float(len(xs))]) for i, x in reversed(list(enumerate(xs)))]).collect()
+    assert all(r["embedding"][0] == r["id"] for r in got) and max(r["embedding"][1] for r in got) == 16
+    said = remote.generate(texts.withColumnRenamed("text", "prompt"), lambda p: (p + "!", "stop")).first()
+    assert (said["answer"], said["finish_reason"]) == ("!", "stop")
+    with pytest.raises(Exception, match="blank answer"):
+        remote.generate(texts.withColumnRenamed("text", "prompt"), lambda p: (" ", "stop")).collect()
+    both = spark.createDataFrame([(True, 0.3), (True, 0.7), (False, 0.9)], "in_scope boolean, best_distance double")
+    assert tuple(evaluate.margin(both).first()) == (0.7, 0.9)
