@@ -47,8 +47,14 @@ def append(spark: SparkSession, rows: DataFrame, path: str, store_text: bool = F
         last = spark.read.schema(SCHEMA).parquet(path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     except Exception:  # noqa: BLE001 - no journal yet
         last = 0
-    number = F.row_number().over(Window.orderBy("created_at", "query")) + F.lit(last)
-    ready = rows.withColumns({
+    # Rows are numbered inside their minute, and minutes start where the ones before end: only counts meet in one task.
+    timed = rows.withColumn("_minute", F.date_trunc("minute", "created_at"))
+    ahead = Window.orderBy(F.asc_nulls_first("_minute")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = timed.groupBy("_minute").agg(F.count(F.lit(1)).alias("_n")).select("_minute", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_minute").orderBy("created_at", "query"))
+    placed = timed.withColumn("_inside", inside).alias("t").join(starts.alias("s"), F.expr("t._minute <=> s._minute"))
+    number = F.col("_start") + F.col("_inside") + F.lit(last)
+    ready = placed.withColumns({
         "id": number.cast("long"), "query": stored_text(F.col("query"), store_text, F.lit("")), "response": stored_text(F.col("response"), store_text, F.lit(None).cast("string")),
         "error_message": error_message(F.col("error_message")),
     })
