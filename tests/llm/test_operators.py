@@ -259,7 +259,12 @@ def test_attention_is_causal_and_sums_to_one():
     ids = np.random.default_rng(0).integers(0, 50000, 100)
     i, t = lm.windows(ids)
     assert t.ravel()[:100].tolist() == ids.tolist() and (t.ravel()[100:] == -1).all()
-    logs, _ = model.score(i, t)
+    logs, begin = model.score(i, t)
+    logits = model.forward(i)[-1].astype(float)
+    total = np.log(np.exp(logits).sum(axis=2))
+    plain = np.take_along_axis(logits, v.classes[np.maximum(t, 0)][..., None].astype(int), axis=2)[..., 0] - total + v.within[np.maximum(t, 0)]
+    assert np.allclose(logs[t >= 0], plain[t >= 0], atol=1e-4)
+    assert np.allclose(begin, np.log(np.exp(logits[..., : v.beginning]).sum(axis=2)) - total, atol=1e-4)
     changed = ids.copy()
     changed[60:] = 5
     again, _ = model.score(*lm.windows(changed))
