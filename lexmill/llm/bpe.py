@@ -11,6 +11,7 @@ replaced. Empty tables give empty results, repeated rows equal ones.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import as_text, documents, let, slices
-from .tokens import Memo, merge, pieces, read_ranks
+from .tokens import Encoder, merge, read_ranks
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -31,9 +32,9 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(path)
-        of = Memo(lambda word: np.array(merge(word.encode(), ranks), dtype="<i4").tobytes()).__getitem__
+        encode = Encoder(lambda word: array("i", merge(word.encode(), ranks)).tobytes())
         for b in slices(batches):
-            coded = [b"".join(map(of, pieces(x))) for x in as_text(b.column(text))]
+            coded = [encode(x) for x in as_text(b.column(text))]
             ends = np.cumsum([0, *map(len, coded)], dtype=np.int64) // 4
             values = pa.array(np.frombuffer(b"".join(coded), dtype="<i4"), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, type=kind)

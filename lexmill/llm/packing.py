@@ -16,6 +16,7 @@ results.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_text, documents, slices, written
-from .tokens import Memo, pieces, read_ranks
+from .tokens import Encoder, Memo, read_ranks
 
 SEQUENCE = 1024
 #: Sequences of a window.
@@ -41,13 +42,13 @@ def encoder(path: str):
 
     #: Each word is matched alone already, so here it is one piece.
     words = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=read_ranks(path), special_tokens={})
-    of = Memo(lambda word: np.array(words.encode_ordinary(word), dtype="<u2").tobytes()).__getitem__
+    plain = Encoder(lambda word: array("H", words.encode_ordinary(word)).tobytes())
     special = np.array([SPECIAL_ID], dtype="<u2").tobytes()
 
     def encode(text: str) -> bytes:
         if SPECIAL in text:
-            return special.join(b"".join(map(of, pieces(part))) for part in text.split(SPECIAL))
-        return b"".join(map(of, pieces(text)))
+            return special.join(map(plain, text.split(SPECIAL)))
+        return plain(text)
 
     return encode
 

@@ -139,7 +139,7 @@ class Merger:
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
         self.longest = max(map(len, ranks))
         self.token = {r: t for t, r in ranks.items()}
-        self.fits = Memo(lambda pair: merge(self.token[pair[0]] + self.token[pair[1]], ranks) == list(pair), 1 << 18)
+        self.fits = Memo(lambda pair: merge(self.token[pair[0]] + self.token[pair[1]], ranks) == list(pair), 1 << 17)
         self.clear()
 
     def clear(self) -> None:

@@ -13,8 +13,8 @@ import unicodedata
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Code points with the property White_Space.
 WHITE_SPACE = (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-#: Words remembered by a worker before it starts anew.
-CACHE_WORDS = 400_000
+#: Words remembered by a worker before older ones go.
+CACHE_WORDS = 250_000
 
 
 def _ranges(wanted) -> str:
@@ -47,22 +47,55 @@ def pieces(text: str) -> list[str]:
     return (exact if odd.search(text) else quick).findall(text)
 
 
+def parts(text: str) -> list[str]:
+    """The text cut at each blank before something that isn't white space; the blanks go.
+
+    Words never cross such a place, and what comes before it is split the same whatever follows."""
+    return (_BLANK.split if _SPACES.search(text) else _split)(text)
+
+
+_SPACES, _BLANK = re.compile(r" \s| $"), re.compile(r" (?=\S)")
+
+
+def _split(text: str) -> list[str]:
+    return text.split(" ")
+
+
+class Encoder:
+    """Text to the concatenated codes of its words, each a binary; remembers words and parts of texts."""
+
+    def __init__(self, code_of_word):
+        word = Memo(code_of_word, CACHE_WORDS // 4).__getitem__
+        self.first = lambda part: b"".join(map(word, pieces(part)))
+        # Letters after a blank are one word, and remembered as the part that they are.
+        self.rest = Memo(lambda part: code_of_word(" " + part) if part.isalpha() else b"".join(map(word, pieces(" " + part)))).__getitem__
+
+    def __call__(self, text: str) -> bytes:
+        first, *rest = parts(text)
+        return self.first(first) + b"".join(map(self.rest, rest))
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and starts anew when it is full: memory stays bounded, results don't change."""
+    """A dict that computes what it lacks. When it is full its entries become the old ones, and those used again move
+    back, so that frequent keys stay: memory is bounded by twice `most`, results don't change."""
 
     def __init__(self, compute, most: int = CACHE_WORDS):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.old = compute, most, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value
 
 
