@@ -33,7 +33,7 @@ SWITCH_PENALTY = 6.0
 #: A script counts for a language if it has at least this share of the language's letters.
 SCRIPT_SHARE = 0.01
 #: Texts and words that run in lockstep at a time.
-GROUP_TEXTS, GROUP_WORDS = 4096, 1 << 20
+GROUP_TEXTS, GROUP_WORDS = 8192, 1 << 22
 #: Words a worker remembers.
 KNOWN_WORDS = 200_000
 
@@ -41,11 +41,12 @@ KNOWN_WORDS = 200_000
 SCRIPT_STARTS = (0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x30A0, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00)
 SCRIPTS = ("latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "other", "devanagari", "indic", "thai", "other", "georgian", "hangul", "other", "latin", "greek", "other", "kana", "kana", "other", "han", "other", "hangul", "other", "han", "other")
 SCRIPT_NAMES = tuple(dict.fromkeys(SCRIPTS))
+FIRST_OTHER = chr(SCRIPT_STARTS[1])
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def script_of(word: str) -> int:
-    return SCRIPT_NAMES.index(SCRIPTS[bisect_right(SCRIPT_STARTS, ord(word[0])) - 1])
+    return 0 if word < FIRST_OTHER else SCRIPT_NAMES.index(SCRIPTS[bisect_right(SCRIPT_STARTS, ord(word[0])) - 1])
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -184,13 +185,15 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []
+        texts = words = 0
         for b in slices(batches):
             if len(model.index) > KNOWN_WORDS and not group:
                 model.index.clear()
             group.append((b, [model.look_up(words_of(x)) if model.languages else np.zeros(0, dtype=np.int64) for x in as_text(b.column(text))]))
-            if sum(len(r) for _, r in group) >= GROUP_TEXTS or sum(len(x) for _, r in group for x in r) >= GROUP_WORDS:
+            texts, words = texts + b.num_rows, words + sum(map(len, group[-1][1]))
+            if texts >= GROUP_TEXTS or words >= GROUP_WORDS:
                 yield from settle(group)
-                group = []
+                group, texts, words = [], 0, 0
         yield from settle(group)
 
     def settle(group: list) -> Iterator[pa.RecordBatch]:
