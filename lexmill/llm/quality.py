@@ -123,7 +123,8 @@ def quality(df: DataFrame, text: str = "text", rules: QualityRules = QualityRule
         return let(F.struct(F.split(t, "\n", -1).alias("lines"), words.alias("words")), with_parts)
 
     own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "cleaned_text")
-    out = df.withColumn("_q", let(t, facts)).withColumns({c: F.col("_q")[c] for c in own}).drop("_q")
+    # A generator of one row is evaluated once: a filter on its columns isn't pushed below it with a second evaluation.
+    out = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in own], F.inline(F.array(let(t, facts))))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     kept_chars = F.length(F.regexp_replace(F.col("cleaned_text"), SPACE_CLASS, ""))
     out = out.withColumns({"base_failed": failed, "lost_share": F.coalesce(1 - kept_chars / F.nullif(F.col("word_chars"), F.lit(0)), F.lit(0.0))})
