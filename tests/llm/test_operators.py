@@ -308,3 +308,8 @@ def test_empty_tables(spark, empty, run):
 def test_empty_embeddings(spark, tmp_path):
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert ann.op7_ann(spark, str(tmp_path)).count() == 0
+
+
+def test_model_size():
+    v = lm.Vocabulary(P.path("byte_bpe_50k.tiktoken"), np.ones(lm.IDS))
+    assert v.size == 2 * (48 + 16) and lm.Attention(v).w["c"].shape == (24, v.size)
