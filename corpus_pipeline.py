@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm.common import written
 from lexmill.llm.langid import langid_stage
+from lexmill.llm.nearcopies import near_copies_stage
 from lexmill.llm.packing import packing_stage
 from lexmill.llm.quality import quality_stage
-from lexmill.llm.simhash import simhash_stage
 
 #: Each takes (spark, docs, sf_dir); all but the last return the columns of documents.
-STAGES = [("quality", quality_stage), ("language", langid_stage), ("near_dedup", simhash_stage), ("packing", packing_stage)]
+STAGES = [("quality", quality_stage), ("language", langid_stage), ("near_dedup", near_copies_stage), ("packing", packing_stage)]
 
 #: Language ID and packing by a public vocabulary can't be written in SQL; tests hold run() against brute force.
 ORACLE_SQL = None

@@ -50,3 +50,43 @@ def test_run(spark):
     found = corpus_pipeline.run(spark, DATA)
     assert found.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert found.count() > 0
+
+
+def test_near_copies_by_words(spark):
+    import random
+
+    from lexmill.llm import nearcopies
+
+    def plain(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    rng = random.Random(4)
+    texts = []
+    for _ in range(15):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(60, 300))]
+        for changes in (0, 1, 2, 3, 12):
+            own = list(words)
+            for k in rng.sample(range(len(own)), changes):
+                own[k] = f"x{rng.randint(0, 5000)}"
+            texts.append(" ".join(own))
+    texts += [None, "", "one two", "One  two", "one three"]
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    sets, root = [plain(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    want = {i for i in range(len(texts)) if find(i) == i}
+    assert {r["doc_id"] for r in stage(spark, docs, DATA).collect()} == want
+    prints = [simhash.fingerprint((t or "").encode()) & (2**64 - 1) for t in texts]
+    assert any(root[i] != i and all((p ^ q).bit_count() > 2 for q in prints[:i]) for i, p in enumerate(prints))
+    assert nearcopies.similarity(set(), set()) == 1
