@@ -82,26 +82,41 @@ def family(identifier: str) -> str:
     return next((label for start, label in FAMILIES.items() if identifier == start or identifier.startswith((start + "-", start + "+"))), "other")
 
 
+def complete(tokens: list[str]) -> int:
+    """How many tokens the longest well-formed beginning has, in one pass."""
+    end, depth, operand = 0, 0, False
+    for i, t in enumerate(tokens, 1):
+        if operand != (t in PRIORITY or t == ")") or t == ")" and not depth:
+            break
+        if t in PRIORITY:
+            operand = False
+        elif t in "()":
+            depth += 1 if t == "(" else -1
+        else:
+            operand = True
+        if operand and not depth:
+            end = i
+    return end
+
+
 def evaluate(text: str) -> tuple[set[str], bool] | None:
     """(labels, whether one may choose terms without copyleft) of an expression; the longest well-formed beginning counts."""
-    tokens = _TOKEN.findall(text)[:64]
-    for end in range(len(tokens), 0, -1):
-        order = postfix(tokens[:end])
-        if order is None:
+    tokens = _TOKEN.findall(text)
+    order = postfix(tokens[: complete(tokens)])
+    if order is None:
+        return None
+    stack: list[tuple[set[str], bool]] = []
+    for t in order:
+        if t not in PRIORITY:
+            label = family(t)
+            stack.append(({label}, label not in COPYLEFT and label != "other"))
             continue
-        stack: list[tuple[set[str], bool]] = []
-        for t in order:
-            if t not in PRIORITY:
-                label = family(t)
-                stack.append(({label}, label not in COPYLEFT and label != "other"))
-                continue
-            (right, free_right), (left, free_left) = stack.pop(), stack.pop()
-            if t == "with":  # an exception changes terms, it is no licence
-                stack.append((left, free_left))
-            else:
-                stack.append((left | right, free_left or free_right if t == "or" else free_left and free_right))
-        return stack[0]
-    return None
+        (right, free_right), (left, free_left) = stack.pop(), stack.pop()
+        if t == "with":  # an exception changes terms, it is no licence
+            stack.append((left, free_left))
+        else:
+            stack.append((left | right, free_left or free_right if t == "or" else free_left and free_right))
+    return stack[0]
 
 
 def automaton():

@@ -313,3 +313,12 @@ def test_empty_embeddings(spark, tmp_path):
 def test_model_size():
     v = lm.Vocabulary(P.path("byte_bpe_50k.tiktoken"), np.ones(lm.IDS))
     assert v.size == 2 * (48 + 16) and lm.Attention(v).w["c"].shape == (24, v.size)
+
+
+def test_long_license_expressions():
+    assert license.evaluate(" and ".join(["mit"] * 40 + ["gpl-2.0-only"])) == ({"mit", "gpl"}, False)
+    rng = random.Random(8)
+    for _ in range(3000):
+        tokens = rng.choices(["mit", "gpl", "and", "or", "with", "(", ")"], k=rng.randint(0, 9))
+        want = next((n for n in range(len(tokens), 0, -1) if license.postfix(tokens[:n]) is not None), 0)
+        assert license.complete(tokens) == want, tokens
