@@ -15,7 +15,6 @@ Repeated rows are counted each; empty tables give empty results; other columns p
 from __future__ import annotations
 
 import functools
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import as_text, documents, slices
-from .tokens import NONE, WHITE_SPACE, Memo, merge, read_ranks
+from . import tokens
+from .tokens import NONE, Memo, merge, read_ranks
 
 SPECIAL = "<|endoftext|>"
 CHUNK = 512
-#: States of the merger, of 1 KB each, kept from one slice of rows to the next.
-MOST_STATES = 120_000
+#: States of the merger, of 1 KB each, before those that no word stands at are forgotten; words that run in lockstep.
+MOST_STATES, MOST_WORDS = 120_000, 1 << 17
+#: A transition holds its state and, in this many low bits, the change of the count plus HALF.
+COUNT_BITS = 8
+HALF = 1 << (COUNT_BITS - 1)
 
 # Character classes: letters are apart where contractions need them.
 LETTER, STMD, R, V, L, E, NUMBER, BLANK, SPACE, APOSTROPHE, OTHER, END, PAD = range(13)
@@ -41,12 +44,9 @@ NEW, LETTERS, NUMBERS, OTHERS, QUOTE, QUOTE_R, QUOTE_V, QUOTE_L, DONE, BLANK1, S
 
 @functools.cache
 def _classes() -> np.ndarray:
-    table = np.full(0x110000, OTHER, dtype=np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))[0]
-        if kind in "LN":
-            table[c] = LETTER if kind == "L" else NUMBER
-    table[list(WHITE_SPACE)] = SPACE
+    of = np.zeros(4, dtype=np.uint8)
+    of[[tokens.OTHER, tokens.LETTER, tokens.NUMBER, tokens.SPACE]] = OTHER, LETTER, NUMBER, SPACE
+    table = of[tokens.code_classes()]
     for chars, k in ((" ", BLANK), ("'", APOSTROPHE), ("stmd", STMD), ("r", R), ("v", V), ("l", L), ("e", E)):
         table[[ord(c) for c in chars]] = k
     return table
@@ -132,21 +132,25 @@ def word_marks(classes: np.ndarray) -> np.ndarray:
 
 
 class Merger:
-    """The transducer over the bytes of a word. `next` holds 16 * state + 8 + change of the count, or -1 where not compiled yet."""
+    """The transducer over the bytes of a word. `next` holds state, count change plus HALF in the low COUNT_BITS, or -1 where not compiled yet."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        self.states: list[tuple] = []
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
         self.longest = max(map(len, ranks))
         self.token = {r: t for t, r in ranks.items()}
         self.fits = Memo(lambda pair: merge(self.token[pair[0]] + self.token[pair[1]], ranks) == list(pair), 1 << 17)
-        self.clear()
+        self.forget([])
 
-    def clear(self) -> None:
+    def forget(self, live: list[int]) -> None:
+        """Drop all states but the first and those in `live`, which get the numbers from 1 on in their order."""
+        kept = [self.states[i] for i in live]
         #: (bytes that may continue a token, last token at each place before and between them, count at each place)
         self.states = [(b"", (-1,), (0,))]
-        self.index = {self.states[0]: 0}
-        self.next = np.full((1024, 256), -1, dtype=np.int32)
+        self.states += kept
+        self.index = {x: i for i, x in enumerate(self.states)}
+        self.next = np.full((max(1024, len(self.states)), 256), -1, dtype=np.int32)
 
     def compile(self, state: int, byte: int) -> int:
         tail, last, counts = self.states[state]
@@ -167,16 +171,26 @@ class Merger:
             self.states.append(key)
             if found >= len(self.next):
                 self.next = np.concatenate([self.next, np.full_like(self.next[: max(1024, len(self.next) // 4)], -1)])
-        self.next[state, byte] = value = 16 * found + 8 + count
+        if not -HALF <= count < HALF:
+            raise OverflowError(f"a byte changes the count by {count}")
+        self.next[state, byte] = value = (found << COUNT_BITS) + HALF + count
         return value
 
     def count(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The number of tokens of each word data[start : start + length], all words in lockstep."""
+        """The number of tokens of each word data[start : start + length], MOST_WORDS words at a time in lockstep."""
+        return np.concatenate([self._count(data, starts[at : at + MOST_WORDS], lengths[at : at + MOST_WORDS]) for at in range(0, len(starts), MOST_WORDS)] or [np.zeros(0, dtype=np.int64)])
+
+    def _count(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = starts[order], lengths[order]
         state, total = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=np.int64)
         active = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), side="left")
         for i, n in enumerate(active):
+            if len(self.states) > MOST_STATES:  # also amid long words
+                live, place = np.unique(state[:n], return_inverse=True)
+                some = live[live > 0]
+                self.forget(some.tolist())
+                state[:n] = place + (1 - (len(live) - len(some)))
             byte = data[starts[:n] + i]
             value = self.next[state[:n], byte]
             missing = np.flatnonzero(value < 0)
@@ -184,8 +198,8 @@ class Merger:
                 for pair in np.unique(state[missing] * 256 + byte[missing]):
                     self.compile(int(pair) >> 8, int(pair) & 255)
                 value = self.next[state[:n], byte]
-            state[:n] = value >> 4
-            total[:n] += (value & 15) - 8
+            state[:n] = value >> COUNT_BITS
+            total[:n] += (value & (2 * HALF - 1)) - HALF
         out = np.empty_like(total)
         out[order] = total
         return out
@@ -230,8 +244,6 @@ def token_counts(df: DataFrame, path: str, text: str = "text", name: str = "n_to
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = _merger(path)
         for b in slices(batches, 512):
-            if len(merger.states) > MOST_STATES:
-                merger.clear()
             n = pa.array(count_batch(as_text(b.column(text)), merger), pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), n], names=[*keep, name])
 

@@ -6,38 +6,61 @@ import base64
 import functools
 import re
 import sys
-import unicodedata
+
+import numpy as np
 
 #: The split of the public byte-level vocabularies is
 #: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-#: Code points with the property White_Space.
-WHITE_SPACE = (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Words remembered by a worker before older ones go.
 CACHE_WORDS = 250_000
 
 
-def _ranges(wanted) -> str:
+#: Keys longer than this aren't remembered, so that a memory's bound in entries is one in bytes too.
+LONGEST_KEY = 128
+OTHER, LETTER, NUMBER, SPACE = range(4)
+
+
+def _marked(letter: str, number: str, space: str) -> np.ndarray:
+    """The class of each code point, by strings of all letters, numbers and spaces."""
+    out = np.full(sys.maxunicode + 1, OTHER, dtype=np.uint8)
+    for chars, kind in ((letter, LETTER), (number, NUMBER), (space, SPACE)):
+        out[np.frombuffer(chars.encode("utf-32-le"), dtype="<u4")] = kind
+    return out
+
+
+def _every() -> str:
+    """All code points that texts may have, in order."""
+    return "".join(map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))))
+
+
+@functools.cache
+def code_classes() -> np.ndarray:
+    """OTHER, LETTER, NUMBER or SPACE by code point, as the tokenizer libraries' patterns have them.
+
+    Python's and the `regex` module's tables are of other Unicode versions. An encoding of single bytes returns what a pattern
+    matches and nothing else."""
+    import tiktoken
+
+    every, single = _every(), {bytes([b]): b for b in range(256)}
+    matched = lambda p: bytes(tiktoken.Encoding("class", pat_str=p, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)).decode()
+    return _marked(matched(r"\p{L}"), matched(r"\p{N}"), matched(r"\s"))
+
+
+def _ranges(wanted: np.ndarray) -> str:
     """A character class of the code points that are wanted."""
-    out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        yes = c <= sys.maxunicode and wanted(chr(c))
-        if yes and start is None:
-            start = c
-        elif not yes and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
+    at = np.flatnonzero(np.diff(np.concatenate([[False], wanted, [False]]).astype(np.int8)))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in at.reshape(-1, 2).tolist())
 
 
 @functools.cache
 def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    letter = _ranges(lambda c: unicodedata.category(c)[0] == "L")
-    number = _ranges(lambda c: unicodedata.category(c)[0] == "N")
-    space = "".join(f"\\U{c:08x}" for c in WHITE_SPACE)
+    classes = code_classes()
+    letter, number, space = (_ranges(classes == k) for k in (LETTER, NUMBER, SPACE))
     exact = rf"{CONTRACTIONS}| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
     quick = rf" ?[^\W\d_]+|{CONTRACTIONS}| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-    odd = _ranges(lambda c: unicodedata.category(c) in ("Nl", "No") or c.isspace() and ord(c) not in WHITE_SPACE)
+    own = _marked(*("".join(re.findall(p, _every())) for p in (r"[^\W\d_]+", r"\d+", r"\s+")))
+    odd = _ranges(classes != own)
     return re.compile(exact), re.compile(quick), re.compile(f"[{odd}]")
 
 
@@ -82,7 +105,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 class Memo(dict):
     """A dict that computes what it lacks. When it is full its entries become the old ones, and those used again move
-    back, so that frequent keys stay: memory is bounded by twice `most`, results don't change."""
+    back, so that frequent keys stay. Texts longer than LONGEST_KEY are computed anew each time: memory is bounded by
+    twice `most` short keys, results don't change."""
 
     def __init__(self, compute, most: int = CACHE_WORDS):
         super().__init__()
@@ -92,6 +116,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
+            if isinstance(key, (str, bytes)) and len(key) > LONGEST_KEY:
+                return value
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
