@@ -1,14 +1,19 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
-Vectors are projected at random, once for each curve, and ordered by the Hilbert index of their shifted projections. Spark cuts each
-order into key ranges of about equal size; a query is compared with the vectors of its own range and of both
-neighbours, in tiles, and the best of all curves merge and rerank by the exact measure. For inner products vectors get
-one more component that makes their norms equal, so that near on the sphere means a large product. A range holds a
-fixed share of the rows: data without structure need that for recall, and the README has measured figures.
+Vectors are projected at random, once for each curve, and ordered by the Hilbert index of their shifted projections.
+Spark partitions all curves' keys by range and sorts each range; a query is compared with the window of rows about its
+own key on every curve, and the windows' best merge. Comparison inside windows is by vectors of one byte a
+component with a scale of their own; the KEEP * k best of each query are reranked by the exact measure in double precision. For inner products vectors get one more
+component that makes their norms equal, so that near on the sphere means a large product.
+
+A window holds WINDOW_SHARE * rows ** WINDOW_POWER rows unless `window` says how many: data without structure need windows
+that grow so, data with clusters are served by a fixed number (the README has candidate shares and recall). A window ends where a range partition
+does; each partition has many windows.
 
 Rows with a null or zero vector, with null or non-finite components, or of another dimension than most, take no part.
-Of equal vectors only the first 21 by id can be among a query's nearest 20, so no more of each are searched, and equal query
-vectors are searched once; all rows are indexed by that. Repeated ids are rows of their own. An empty table gives no rows.
+Of equal vectors only the first k + 1 by id can be among a query's nearest, so no more of each are searched, and equal query
+vectors are searched once; all rows are indexed by that. Repeated ids are rows of their own. An empty table gives no rows; other columns
+don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import embeddings, written
 
-#: Curves, projected dimensions and bits of each, and key ranges of a curve.
-CURVES, DIMENSIONS, BITS, RANGES = 8, 8, 7, 12
-#: Rows of a tile on either side.
-TILE = 8192
+#: Curves, projected dimensions and bits of each.
+CURVES, DIMENSIONS, BITS = 48, 10, 4
+WINDOW_SHARE, WINDOW_POWER, LEAST_WINDOW = 0.08, 5 / 6, 64
+#: How many times k rows of each query are reranked exactly.
+KEEP = 2
+#: Vectors whose keys are computed at a time.
+KEYED = 8192
 SEED = 7
 
 
@@ -53,100 +61,131 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def usable(vector: Column) -> Column:
+    """Not null, no null or non-finite component, not all zero."""
+    finite = ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
 def vectors_of(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
 
-def usable(vector: Column) -> Column:
-    """Not null, no null or non-finite component, not all zero."""
-    finite = ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+def curve_keys(points: np.ndarray, spread: float) -> Iterator[np.ndarray]:
+    """The points' Hilbert keys, curve by curve. Projections go through a logistic function, so that cells hold alike numbers of rows."""
+    d = points.shape[1]
+    for c in range(CURVES):
+        rng = np.random.default_rng([SEED, c])
+        axes = np.linalg.qr(rng.normal(size=(d, d)))[0][:, : min(DIMENSIONS, d)]
+        even = 1 / (1 + np.exp(np.clip(points @ axes * (-1.7 / spread), -50, 50)))
+        yield hilbert(((even + rng.uniform(0, 1, axes.shape[1])) / 2 * (1 << BITS)).astype(np.int64), BITS)
+
+
+#: id, curve, key, a mark that spreads equal keys, the vector in bytes and its scale.
+PLACED = "id long, asks boolean, curve int, key long, mark int, v binary, scale double"
 
 
-def keys(rows: DataFrame, norm: float, spread: float, query: bool) -> DataFrame:
-    """Adds an array of the rows' curve keys. Queries lie on the sphere of radius `norm` with nothing in the extra component."""
+def placed(rows: DataFrame, norm: float, spread: float) -> DataFrame:
+    """rows (id, v, asks) on every curve. Queries lie on the sphere of radius `norm` with nothing in the extra component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, KEYED):
+                b = whole.slice(at, KEYED)
+                v, asks = vectors_of(b.column("v")), b.column("asks").to_numpy(zero_copy_only=False)[:, None]
+                length = np.linalg.norm(v, axis=1, keepdims=True)
+                points = np.hstack([np.where(asks, v * (norm / length), v), np.where(asks, 0, np.sqrt(np.maximum(0, norm**2 - length**2)))])
+                scale = np.abs(v).max(axis=1, keepdims=True) / 127
+                coded = np.rint(v / scale).astype(np.int8)
+                binary = pa.FixedSizeBinaryArray.from_buffers(pa.binary(v.shape[1]), len(v), [None, pa.py_buffer(np.ascontiguousarray(coded))]).cast(pa.binary())
+                ids = b.column("id")
+                mark = (ids.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int32)
+                for c, key in enumerate(curve_keys(points, spread)):
+                    yield pa.RecordBatch.from_arrays(
+                        [ids, b.column("asks"), pa.array(np.full(len(v), c), pa.int32()), pa.array(key), pa.array(mark, pa.int32()), binary, pa.array(scale[:, 0])],
+                        names=["id", "asks", "curve", "key", "mark", "v", "scale"],
+                    )
+
+    return rows.select("id", "v", "asks").mapInArrow(run, PLACED)
+
+
+def best_in_windows(sorted_rows: DataFrame, window: int, keep: int) -> DataFrame:
+    """(query, id, about): for each query on each curve the `keep` best rows of its window, by the rows' order in their partition.
+
+    A partition streams through; what is held is one step of rows and half a window before and after it.
+    """
+    half, step = max(1, window // 4), max(2, window // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        begin = 0  # rows of `held` before it only serve as neighbours
         for b in batches:
-            if not b.num_rows:
+            fresh = pa.Table.from_batches([b])
+            held = fresh if held is None else pa.concat_tables([held, fresh])
+            if held.num_rows - begin < 4 * step + half:
                 continue
-            v = vectors_of(b.column("v"))
-            length = np.linalg.norm(v, axis=1, keepdims=True)
-            extra = np.zeros_like(length) if query else np.sqrt(np.maximum(0, norm**2 - length**2))
-            points = np.hstack([v * (norm / length) if query else v, extra])
-            all_keys = []
-            for c in range(CURVES):
-                rng = np.random.default_rng([SEED, c])
-                axes = rng.normal(size=(points.shape[1], max(points.shape[1], DIMENSIONS)))
-                axes = np.linalg.qr(axes.T if axes.shape[1] > axes.shape[0] else axes)[0]
-                axes = axes.T if axes.shape[0] != points.shape[1] else axes
-                dims = min(DIMENSIONS, axes.shape[1])
-                shift = rng.uniform(0, 1, dims)
-                cells = (points @ axes[:, :dims] / (4 * spread) + 1 + shift) / 3 * (1 << BITS)
-                all_keys.append(hilbert(np.clip(cells, 0, (1 << BITS) - 1).astype(np.int64), BITS))
-            flat = pa.array(np.stack(all_keys, axis=1).ravel(), pa.int64())
-            out = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * CURVES, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "keys"])
-
-    from pyspark.sql import types as T
-
-    return rows.mapInArrow(run, T.StructType(rows.schema.fields + [T.StructField("keys", T.ArrayType(T.LongType()))]))
-
-
-def best(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
-    """The k best rows of a tile for each query of a tile, by the exact inner product, ties to the smaller id."""
-    found: list[list] = [[], [], []]
-    if queries.num_rows and rows.num_rows:
-        q, x = vectors_of(queries.column("v").combine_chunks()), vectors_of(rows.column("v").combine_chunks())
-        q_ids, x_ids = queries.column("id").to_numpy(), rows.column("id").to_numpy()
-        for at in range(0, len(q), 256):
-            products = q[at : at + 256] @ x.T
-            cut = np.partition(products, -k, axis=1)[:, -k] if products.shape[1] > k else np.full(len(products), -np.inf)
-            i, j = np.nonzero(products >= (cut - 1e-9 * np.abs(cut))[:, None])
-            exact = (q[at + i] * x[j]).sum(axis=1)
-            order = np.lexsort((x_ids[j], -exact, i))
-            i, j, exact = i[order], j[order], exact[order]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            keep = place < k
-            for column, value in zip(found, (q_ids[at + i[keep]], x_ids[j[keep]], exact[keep]), strict=True):
-                column.append(value)
-    columns = [np.concatenate(c) if c else np.zeros(0) for c in found]
-    return pa.table({"query": pa.array(columns[0], pa.int64()), "id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
-
-
-def nearest(rows: DataFrame, queries: Column, k: int = 20, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+            stop = begin + (held.num_rows - half - begin) // step * step
+            yield from compared(held, begin, stop)
+            held, begin = held.slice(max(0, stop - half)), min(half, stop)
+        if held is not None and held.num_rows:
+            yield from compared(held, begin, held.num_rows)
+
+    def compared(table: pa.Table, begin: int, stop: int) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        ids, curve = table.column("id").to_numpy(), table.column("curve").to_numpy()
+        asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        scale = table.column("scale").to_numpy()
+        v = np.frombuffer(b"".join(table.column("v").to_pylist()), dtype=np.int8).reshape(len(ids), -1).astype(np.float32)
+        found: list[list] = [[], [], []]
+        for at in range(begin, stop, step):
+            end = min(at + step, stop)
+            q = at + np.flatnonzero(asks[at:end])
+            if not len(q):
+                continue
+            low = max(0, at - half)
+            near = low + np.flatnonzero(~asks[low : end + half])
+            if not len(near):
+                continue
+            about = (v[q] @ v[near].T) * scale[near] * scale[q][:, None]
+            about[curve[q][:, None] != curve[near]] = -np.inf
+            n = min(keep, len(near))
+            top = np.argpartition(about, len(near) - n, axis=1)[:, len(near) - n :]
+            value = np.take_along_axis(about, top, axis=1)
+            i, j = np.nonzero(value > -np.inf)
+            for column, x in zip(found, (ids[q[i]], ids[near[top[i, j]]], value[i, j]), strict=True):
+                column.append(x)
+        if found[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query", "id", "about"])
+
+    return sorted_rows.mapInArrow(run, "query long, id long, about double")
+
+
+def nearest(rows: DataFrame, queries: Column, k: int = 20, id: str = "vec_id", vector: str = "embedding", window: int | None = None) -> DataFrame:
     """(query, neighbours): the array of up to k (score, id), nearest first, for each row where `queries` holds."""
+    spark = rows.sparkSession
     good = rows.filter(usable(F.col(vector)) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v"), queries.alias("is_query"))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    facts = good.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("top"), F.avg(square).alias("mean"), F.count_if("is_query").alias("q")).orderBy(F.desc("n"), "d").first()
+    facts = good.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("top"), F.avg(square).alias("mean")).orderBy(F.desc("n"), "d").first()
     if facts is None:
-        return rows.sparkSession.createDataFrame([], "query long, neighbours array<struct<score:double,id:long>>")
+        return spark.createDataFrame([], "query long, neighbours array<struct<score:double,id:long>>")
     good = good.filter(F.size("v") == facts["d"])
     norm, spread = float(np.sqrt(facts["top"])), float(np.sqrt(facts["mean"] / facts["d"]))
     copies = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    index = written(keys(good.select("id", "v").withColumn("copy", copies).filter(F.col("copy") <= k + 1).drop("copy"), norm, spread, False), "curves")
-    asked = written(keys(good.filter("is_query").groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), norm, spread, True), "queries")
-    # Cuts of each curve: a few numbers, whatever the input.
-    shares = [i / RANGES for i in range(1, RANGES)]
-    cuts = index.select(F.posexplode("keys").alias("curve", "key")).groupBy("curve").agg(F.percentile_approx("key", shares, 10_000).alias("cuts")).collect()
-    by_curve = {r["curve"]: r["cuts"] for r in cuts}
-    literal = F.array(*[F.array(*[F.lit(int(x)) for x in by_curve.get(c, [])]).cast("array<bigint>") for c in range(CURVES)])
-    span = F.size(F.filter(F.element_at(literal, F.col("curve") + 1), lambda x: x < F.col("key")))
-    row_tiles = max(1, -(-facts["n"] // (RANGES * TILE)))
-    query_tiles = max(1, -(-3 * facts["q"] // (RANGES * TILE)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    tile = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = asked.select("id", "v", F.posexplode("keys").alias("curve", "key")).withColumn("span", span)
-    left = left.select("id", "v", "curve", F.explode(F.array(F.col("span") - 1, F.col("span"), F.col("span") + 1)).alias("span"), tile(query_tiles).alias("q_tile")).select("*", every(row_tiles).alias("r_tile"))
-    right = index.select("id", "v", F.posexplode("keys").alias("curve", "key")).withColumn("span", span)
-    right = right.select("id", "v", "curve", "span", tile(row_tiles).alias("r_tile"), every(query_tiles).alias("q_tile"))
-    by = ["curve", "span", "q_tile", "r_tile"]
-    met = left.groupBy(by).cogroup(right.groupBy(by)).applyInArrow(lambda q, x: best(q, x, k + 1), "query long, id long, score double")
-    # The same pair may come from several curves; the merge keeps k + 1 of each query, in two steps that shuffle little.
-    ranked = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    merged = met.distinct().withColumn("rank", ranked).filter(F.col("rank") <= k + 1)
-    lists = merged.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("near"))
+    index = written(good.select("id", "v").withColumn("copy", copies).filter(F.col("copy") <= k + 1).drop("copy"), "indexed")
+    asked = written(good.filter("is_query").groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), "asked")
+    both = index.withColumn("asks", F.lit(False)).union(asked.withColumn("asks", F.lit(True)))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = ["curve", "key", "mark"]
+    ordered = placed(both, norm, spread).repartitionByRange(partitions, *by).sortWithinPartitions(*by)
+    wide = window or max(LEAST_WINDOW, int(WINDOW_SHARE * facts["n"] ** WINDOW_POWER))
+    met = best_in_windows(ordered, wide, KEEP * k + 1)
+    # The same pair may come from several curves; a query's own row and its copies take places of their own.
+    ranked = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("about"), "id"))
+    about = met.groupBy("query", "id").agg(F.max("about").alias("about")).withColumn("rank", ranked).filter(F.col("rank") <= KEEP * k + 1)
+    pairs = about.select("query", "id").join(index.select("id", F.col("v").alias("x")), "id").join(asked.select(F.col("id").alias("query"), F.col("v").alias("y")), "query")
+    score = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    lists = pairs.select("query", "id", score.alias("score")).groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("near"))
     answers = asked.select(F.col("id").alias("query"), "v").join(lists, "query").select("v", "near")
     own = good.filter("is_query").select(F.col("id").alias("query"), "v").join(answers, "v")
     others = F.slice(F.filter("near", lambda x: x["id"] != F.col("query")), 1, k)
