@@ -13,6 +13,7 @@ through, but those named as results are replaced.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -27,22 +28,22 @@ from .common import as_text, boxed, documents, held_out, slices, unboxed
 #: n-grams are hashed into so many buckets; the model has languages x BUCKETS numbers.
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
-#: Languages a model may have, the most frequent ones first; the model's size is bounded by it.
-MAX_LANGUAGES = 200
+#: A model holds languages x BUCKETS numbers on the driver and in each worker; more labels than this are an error, none is left out.
+MAX_LANGUAGES = 2000
 SWITCH_PENALTY = 6.0
 #: A script counts for a language if it has at least this share of the language's letters.
 SCRIPT_SHARE = 0.01
-#: Texts and words that run in lockstep at a time.
-GROUP_TEXTS, GROUP_WORDS = 8192, 1 << 22
-#: Words a worker remembers.
-KNOWN_WORDS = 200_000
+#: Texts and words that run in lockstep at a time, and words a worker remembers; fewer where words x languages would exceed CELLS.
+GROUP_TEXTS, GROUP_WORDS, KNOWN_WORDS, CELLS = 8192, 1 << 22, 200_000, 1 << 26
 
 #: Where ranges of scripts begin, by code point, and what they hold.
 SCRIPT_STARTS = (0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x30A0, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00)
 SCRIPTS = ("latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "other", "devanagari", "indic", "thai", "other", "georgian", "hangul", "other", "latin", "greek", "other", "kana", "kana", "other", "han", "other", "hangul", "other", "han", "other")
 SCRIPT_NAMES = tuple(dict.fromkeys(SCRIPTS))
 FIRST_OTHER = chr(SCRIPT_STARTS[1])
-_WORD = re.compile(r"[^\W\d_]+")
+#: Combining marks continue a word: scripts such as Devanagari and Thai write vowels with them.
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x20000)) if unicodedata.category(c)[0] == "M")
+_LETTERS, _WORD, _MARK, _HIGH = map(re.compile, (r"[^\W\d_]+", rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*", f"[{_MARKS}]", "[\u0300-\U0010ffff]"))
 
 
 def script_of(word: str) -> int:
@@ -66,7 +67,9 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in _WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+    text = text.lower()
+    pattern = _WORD if _HIGH.search(text) and _MARK.search(text) else _LETTERS
+    return [w for w in pattern.findall(text) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 class Model:
@@ -107,7 +110,8 @@ class Model:
         lengths = np.array([len(rows[i]) for i in order])
         flat = np.concatenate([rows[i] for i in order])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        back = np.zeros((len(flat), len(self.languages)), dtype=np.uint8)
+        cell = np.min_scalar_type(len(self.languages))
+        back = np.zeros((len(flat), len(self.languages)), dtype=cell)
         best = self.scores[flat[starts]]
         steps = int(lengths[0])
         active = np.searchsorted(-lengths, -np.arange(steps), side="left")
@@ -121,7 +125,7 @@ class Model:
             back[starts[:n] + t] = np.where(stay, np.arange(prior.shape[1]), top[:, None])
             end[:n] = np.where(stay, prior, switched) + self.scores[flat[starts[:n] + t]]
         at = end.argmax(axis=1)
-        path = np.zeros(len(flat), dtype=np.uint8)
+        path = np.zeros(len(flat), dtype=cell)
         path[starts + lengths - 1] = at
         for t in range(steps - 1, 0, -1):
             n = active[t]
@@ -136,7 +140,9 @@ class Model:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Counts over all texts with a label. Each task sums into a table of languages x BUCKETS; Spark adds the tables up."""
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    languages = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    languages = [r["lang"] for r in known.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels to learn from")
     languages.sort()
     number = {x: i for i, x in enumerate(languages)}
 
@@ -186,12 +192,13 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []
         texts = words = 0
+        most = CELLS // max(1, len(model.languages))
         for b in slices(batches):
-            if len(model.index) > KNOWN_WORDS and not group:
+            if len(model.index) > min(KNOWN_WORDS, most) and not group:
                 model.index.clear()
             group.append((b, [model.look_up(words_of(x)) if model.languages else np.zeros(0, dtype=np.int64) for x in as_text(b.column(text))]))
             texts, words = texts + b.num_rows, words + sum(map(len, group[-1][1]))
-            if texts >= GROUP_TEXTS or words >= GROUP_WORDS:
+            if texts >= GROUP_TEXTS or words >= min(GROUP_WORDS, most):
                 yield from settle(group)
                 group, texts, words = [], 0, 0
         yield from settle(group)
