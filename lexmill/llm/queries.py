@@ -49,8 +49,8 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 
-def _bits(name: str) -> str:
-    return f"('0x' || substr(md5('{sharding.SEED}:{name}:' || key), 1, 13))::bigint"
+def _bits(name: str, of: str = "key") -> str:
+    return f"('0x' || substr(md5('{sharding.SEED}:{name}:' || {of}), 1, 13))::bigint"
 
 
 def _winner(node) -> str:
@@ -78,7 +78,7 @@ _OP9 = f"""
 with t as (select doc_id, coalesce(text, '') as text, coalesce(doc_id::varchar, 'null') as key from documents),
 c as (select doc_id, key, strlen(text) + 1 as size, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint)),
   lambda a, b: xor(a >> 8, {_crc_table()}[(xor(a, b) & 255) + 1])), 4294967295::bigint) as text_crc32 from t),
-p as (select *, {_winner(sharding.tree(8))} as shard, {_winner(sharding.tree(9))} as grown_shard, {_bits("slot")} % {sharding.BUCKETS} as bucket from c)
+p as (select *, {_winner(sharding.tree(8))} as shard, {_winner(sharding.tree(9))} as grown_shard, {_bits("slot", "key || ':' || size || ':' || text_crc32")} % {sharding.BUCKETS} as bucket from c)
 select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by bucket, doc_id, size, text_crc32) - 1 as slot, grown_shard from p"""
 
 ORACLE_SQL: dict[str, str] = {"op3_quality": _OP3, "op9_sharding": _OP9}
