@@ -115,13 +115,49 @@ def test_packing(spark, docs, at):
     assert sorted(by) == list(range(len(by))) and set(sizes[:-1]) <= {1024} and sizes[-1] <= 1024
 
 
-def test_round_robin_is_a_merge():
-    totals = np.array([5, 17, 1, 40])
-    order = sorted(((j + 0.5) / n, q, j) for q, n in enumerate(totals) for j in range(n))
-    for k, (_, q, j) in enumerate(order):
-        assert packing.place(q, j, totals) == k
-    for k in range(len(order) + 1):
-        assert packing.served(k, totals).tolist() == [sum(q == i for _, q, _ in order[:k]) for i in range(4)]
+def stream(spark, rows, **more):
+    """(pieces in their order, sources of all tokens in their order)"""
+    docs = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
+    found = packing.pack(docs, P.path("byte_bpe_50k.tiktoken"), **more).orderBy("sequence_id", "offset").collect()
+    return found, [rows[r["doc_id"]][1] for r in found for _ in range(r["length"])]
+
+
+def test_targets_hold_in_every_window(spark):
+    rng = random.Random(7)
+    rows = [(" ".join(rng.choices(WORDS, k=rng.randint(1, 400))), s) for s, n in (("a", 60), ("b", 40), ("c", 30), (None, 5)) for _ in range(n)]
+    targets = {"a": 0.7, "b": 0.2, "c": 0.1}
+    found, sources = stream(spark, rows, targets=targets, sequence=64, window=8)
+    totals = Counter(sources)
+    size, at = 64 * 8, 0
+    while True:
+        at += size
+        had = Counter(sources[:at])
+        if any(had[s] > totals[s] - size for s in targets):
+            break
+        # windows may be a token off at their ends, each source within one of its quanta
+        assert all(abs(had[s] - p * at) <= 2 for s, p in targets.items()) and not had[None]
+    assert at > 5 * size and sources[-1] is None and totals == Counter(sources)
+    with pytest.raises(ValueError, match="shares"):
+        stream(spark, rows, targets={"a": 0.9, "b": 0.2})
+
+
+def test_many_sources_each_have_a_queue(spark):
+    rng = random.Random(8)
+    rows = [(" ".join(rng.choices(WORDS, k=rng.randint(1, 60))), f"s{i % 1500}") for i in range(3000)]
+    found, sources = stream(spark, rows, sequence=16, window=4)
+    totals, n = Counter(sources), len(sources)
+    size = 16 * 1500
+    had = Counter(sources[:size])
+    assert all(abs(had[s] - totals[s] * size / n) <= 2 for s in totals) and len(totals) == 1500
+    by_doc = Counter()
+    for r in found:
+        by_doc[r["doc_id"]] += r["length"]
+    assert all(by_doc[r["doc_id"]] == r["doc_tokens"] for r in found)
+
+
+def test_schedule():
+    times, rows = packing.schedule({"a": 100, "b": 10, "rest": 30}, {"a": 0.5, "b": 0.5, "rest": 0.0})
+    assert times == [0.0, 20.0, 110.0] and rows["a"] == ([0.0, 10.0, 100.0], [0.5, 1.0, 0.0]) and rows["rest"] == ([0.0, 0.0, 0.0], [0.0, 0.0, 1.0])
 
 
 def test_quality(spark, docs, at):
