@@ -8,28 +8,33 @@ import re
 ABBREVIATIONS = frozenset(
     "ст пп гл разд абз подп ред изм гг см ср напр др пр прим им руб коп тыс млн млрд рис табл стр тел доп обл кв мин сек мп".split()
 )
-_STOP = re.compile(r"([.!?…]+)[\"»”)\]]*\s+(?=(\S))")
-_INITIALS = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
+_TOKEN = re.compile(r"\S+")
+#: What may stand between a stop and the blank after it, before a token, and at the beginning of a sentence.
+_CLOSERS, _OPENERS, _STOPS = "\"»”)]", "(«\"“[", ".!?…"
 
 
-def _abbreviates(before: str) -> bool:
-    """Whether the period after `before` belongs to its last token: an abbreviation, a letter, initials or a leading number."""
-    tail = before.split()[-1:] if before and not before[-1].isspace() else []
-    if not tail:
-        return False
-    token = tail[0].lstrip("(«\"“[").lower()
-    number_first = before.strip() == tail[0] and re.fullmatch(r"[\d.]+", token)
-    return token in ABBREVIATIONS or len(token) == 1 and token.isalpha() or bool(_INITIALS.fullmatch(token) or number_first)
+def _ends_sentence(token: str, leads: bool) -> bool:
+    """Whether a token closes a sentence if something that can open one follows; leads: it is the text's first."""
+    bare = token.rstrip(_CLOSERS)
+    word = bare.rstrip(_STOPS)
+    stops = bare[len(word) :]
+    if not stops.startswith("."):
+        return bool(stops)
+    word = word.lstrip(_OPENERS).lower()
+    initials = word and all(len(x) == 1 and x.isalpha() for x in word.split("."))
+    numbering = leads and word and not word.strip("0123456789.")
+    return not (word in ABBREVIATIONS or initials or numbering)
 
 
 def sentences(text: str) -> list[str]:
-    out, start = [], 0
-    for m in _STOP.finditer(text):
-        opens = m[2].isupper() or m[2].isdigit() or m[2] in "«\"“(["
-        if opens and not (m[1][0] == "." and _abbreviates(text[: m.start()])):
-            out.append(text[start : m.end()].strip())
-            start = m.end()
-    return [s for s in (*out, text[start:].strip()) if s]
+    """One pass over the tokens; a sentence ends between a token that closes one and a token that can open the next."""
+    tokens = list(_TOKEN.finditer(text))
+    starts = [m.start() for m in tokens[:1]]
+    for i, (m, after) in enumerate(zip(tokens, tokens[1:], strict=False)):
+        first = after[0][0]
+        if (first.isupper() or first.isdigit() or first in _OPENERS) and _ends_sentence(m[0], not i):
+            starts.append(after.start())
+    return [text[a:z].strip() for a, z in zip(starts, [*starts[1:], len(text)], strict=True)]
 
 
 def pack(parts: list[str], limit: int, glue: str, least: int = 0, most: int | None = None) -> list[str]:

@@ -15,14 +15,16 @@ MIN_CHARS, MIN_RATIO = 40, 0.92
 
 
 def exact(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The first document of each normalised text; blank texts all stay.
+    """The first row of each normalised text, by id (null ids last); blank texts all stay.
 
-    Groups are found on a hash of the text and its length, and a group's first id by a minimum combined before the shuffle.
+    Rows are ranked within the 256-bit hash of their normal form; Spark keeps one row of each group before the shuffle, so a hot group is
+    one row per task. Repeated ids don't matter, as rows are what is kept. Blank texts have a key of their own each and don't meet.
     """
     norm = normalize_text(F.coalesce(F.col(text), F.lit("")))
-    keyed = docs.withColumn("_key", F.when(norm != "", F.sha2(norm, 256)))
-    first = keyed.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.min(id).alias(id)).select(id)
-    return docs.join(first.union(keyed.filter(F.col("_key").isNull()).select(id)), id, "left_semi")
+    alone = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
+    keyed = docs.withColumn("_key", F.when(norm != "", F.sha2(norm, 256)).otherwise(alone))
+    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.asc_nulls_last(id)))
+    return keyed.withColumn("_first", first).filter("_first = 1").drop("_key", "_first")
 
 
 def _keep(pdf: pd.DataFrame, most: int) -> pd.DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import error_message, present, stored_text
+from ..sources.corpus import exists
 
 _L, _S, _I = T.LongType(), T.StringType(), T.IntegerType()
 SCHEMA = T.StructType(
@@ -43,10 +44,7 @@ def append(spark: SparkSession, rows: DataFrame, path: str, store_text: bool = F
     """Number new rows after the largest id there is (one writer at a time) and add them."""
     from pyspark.sql import Window
 
-    try:
-        last = spark.read.schema(SCHEMA).parquet(path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    except Exception:  # noqa: BLE001 - no journal yet
-        last = 0
+    last = spark.read.schema(SCHEMA).parquet(path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if exists(spark, path) else 0
     # Rows are numbered inside their minute, and minutes start where the ones before end: only counts meet in one task.
     timed = rows.withColumn("_minute", F.date_trunc("minute", "created_at"))
     ahead = Window.orderBy(F.asc_nulls_first("_minute")).rowsBetween(Window.unboundedPreceding, -1)
@@ -62,4 +60,5 @@ def append(spark: SparkSession, rows: DataFrame, path: str, store_text: bool = F
 
 
 def export_csv(journal: DataFrame, path: str) -> None:
-    journal.select(*SCHEMA.names).orderBy("id").coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    """Parts sorted by range of id, each with a header: in the order of their names they are the journal."""
+    journal.select(*SCHEMA.names).orderBy("id").write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)

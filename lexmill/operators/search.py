@@ -21,26 +21,35 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def _tile(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     q_ids, r_ids = queries.column("id").to_numpy(), rows.column("id").to_numpy()
-    kept: list[np.ndarray] = []
+    kept: list[tuple] = []
     if len(q_ids) and len(r_ids):
         q, r = _matrix(queries.column("v")), _matrix(rows.column("v"))
         q, r = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (q, r))
         for at in range(0, len(q), 512):
             distance = np.round(1 - q[at : at + 512] @ r.T, 9)
-            order = np.lexsort((np.broadcast_to(r_ids, distance.shape), distance), axis=1)[:, :k]
-            near = np.take_along_axis(distance, order, axis=1)
-            kept.append(np.stack([np.repeat(q_ids[at : at + 512], order.shape[1]), r_ids[order.ravel()], near.ravel()]))
-    found = np.concatenate(kept, axis=1) if kept else np.zeros((3, 0))
-    return pa.table({"query_id": pa.array(found[0].astype(np.int64)), "vec_id": pa.array(found[1].astype(np.int64)), "distance": pa.array(found[2])})
+            # All rows up to the k-th distance, ties included; only these are sorted.
+            last = np.partition(distance, k - 1, axis=1)[:, k - 1] if distance.shape[1] > k else np.full(len(distance), np.inf)
+            i, j = np.nonzero(distance <= last[:, None])
+            near = distance[i, j]
+            order = np.lexsort((r_ids[j], near, i))
+            i, j, near = i[order], j[order], near[order]
+            best = np.arange(len(i)) - np.searchsorted(i, i) < k
+            kept.append((q_ids[at + i[best]], r_ids[j[best]], near[best]))
+    found = [np.concatenate(c) for c in zip(*kept, strict=True)] if kept else [np.zeros(0)] * 3
+    return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "distance": pa.array(found[2], pa.float64())})
 
 
 def knn(rows: DataFrame, queries: Column, k: int = CANDIDATES, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, vec_id, distance, rank): the k nearest by cosine distance, ties to the smaller id, for rows where `queries` holds.
 
-    Query tiles meet row tiles; each pair of tiles keeps k of each query, and the merge ranks these.
+    Query tiles meet row tiles; each pair of tiles keeps k of each query, and the merge ranks these. The search is exact, so its products are
+    queries x rows, and each row is sent once for every query tile. Vectors that are null or zero, hold null, infinite or NaN
+    components or have another size than most take no part.
     """
-    usable = F.exists(vector, lambda x: x != 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
-    good = rows.filter(F.coalesce(usable, F.lit(False))).select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v"), queries.alias("asks"))
+    finite = ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    sound = rows.filter(F.coalesce(F.exists(vector, lambda x: x != 0) & finite, F.lit(False)))
+    size = sound.groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").first()
+    good = sound.filter(F.size(vector) == (size["d"] if size else 0)).select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v"), queries.alias("asks"))
     sizes = good.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     r_tiles, q_tiles = (max(1, -(-n // TILE)) for n in sizes)
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")

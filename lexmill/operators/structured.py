@@ -228,14 +228,9 @@ _ITEMS = (re.compile(r"(\d+)\)\s"), re.compile(r"([а-яё])\)\s"))
 
 def _by_marker(lines: list[str], mark: re.Pattern) -> tuple[list[str], list[tuple[str, list[str]]]]:
     """Lines before the first marked one, and each marked line with those that continue it."""
-    opening: list[str] = []
-    items: list[tuple[str, list[str]]] = []
-    for line in lines:
-        if m := mark.match(line):
-            items.append((m[1], [line]))
-        else:
-            (items[-1][1] if items else opening).append(line)
-    return opening, items
+    marked = [(i, m[1]) for i, m in enumerate(map(mark.match, lines)) if m]
+    ends = [i for i, _ in marked[1:]] + [len(lines)]
+    return lines[: marked[0][0]] if marked else lines, [(label, lines[i:end]) for (i, label), end in zip(marked, ends, strict=False)]
 
 
 class _Cutter:

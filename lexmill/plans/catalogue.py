@@ -49,12 +49,18 @@ def knn_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""with {_KNN}, m as (select * from (values ('cosine'), ('ip'), ('l2')) t(metric))
-select query_id, vec_id, metric, round(case when metric = 'l2' then 2 * distance / 2 else distance end, 6) as cosine_distance from hits, m""")
+@query(f"""with {_KNN}, p as (select h.query_id, h.vec_id, q.embedding::double[] as x, v.embedding::double[] as y from hits h join embeddings q on q.vec_id = h.query_id join embeddings v on v.vec_id = h.vec_id),
+m as (select query_id, vec_id, unnest(['cosine', 'ip', 'l2']) as metric, unnest([1 - list_cosine_similarity(x, y), 1 - list_inner_product(x, y), list_distance(x, y) ** 2 / 2]) as d from p)
+select query_id, vec_id, metric, round(d, 5) + 0.0 as cosine_distance from m""")
 def knn_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _hits(spark, sf_dir).withColumn("metric", F.explode(F.array(*map(F.lit, ("cosine", "ip", "l2")))))
-    raw = F.when(F.col("metric") == "l2", 2 * F.col("distance")).otherwise(F.col("distance"))
-    return each.select("query_id", "vec_id", "metric", F.round(fn.cosine_distance(raw, F.col("metric")), 6).alias("cosine_distance"))
+    """Hits measured under each metric from their vectors, as cosine distances."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("y"))
+    pairs = _hits(spark, sf_dir).join(vectors, "vec_id").join(vectors.select(F.col("vec_id").alias("query_id"), F.col("y").alias("x")), "query_id")
+    total = lambda a, b, f: F.aggregate(F.zip_with(a, b, lambda s, t: f(s.cast("double"), t.cast("double"))), F.lit(0.0), lambda s, t: s + t)
+    dot = lambda a, b: total(a, b, lambda s, t: s * t)
+    raw = {"cosine": 1 - dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y")), "ip": 1 - dot("x", "y"), "l2": total("x", "y", lambda s, t: (s - t) * (s - t))}
+    each = pairs.select("query_id", "vec_id", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), d.alias("raw")) for m, d in raw.items()])))
+    return each.select("query_id", "vec_id", "metric", (F.round(fn.cosine_distance(F.col("raw"), F.col("metric")), 5) + 0.0).alias("cosine_distance"))
 
 
 @query(f"""with {_KNN} select query_id, min(distance) filter (vec_id <> query_id) <= {MAX_DISTANCE} as sufficient, round(min(distance) filter (vec_id <> query_id), 6) as best_distance,
@@ -105,13 +111,16 @@ def chunk_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = r"len(list_filter(string_split_regex({0}, '\s+'), lambda x: x <> ''))"
 
 
-@query(f"select doc_id, {_WORDS.format('text')} as words, {_WORDS.format('text')} as chunk_words from documents")
+@query(rf"select doc_id, count(w) as words, 0 as missing, 0 as added from (select doc_id, unnest(case when text = '' then [null] else string_split_regex(text, '\s+') end) as w from documents) where w is null or w <> '' group by doc_id")
 def word_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks without overlap have each word of their document once."""
+    """The multisets of a document's words and of its chunks' words without overlap: how often words are missing or added."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    count = lambda c: F.size(F.array_remove(F.split(c, r"(?U)\s+"), "")).cast("long")
-    words = chunking.generic(docs, overlap=0).groupBy("doc_id").agg(F.sum(count(F.col("body"))).alias("chunk_words"))
-    return docs.select("doc_id", count(F.col("text")).alias("words")).join(words, "doc_id", "left").select("doc_id", "words", F.coalesce("chunk_words", F.lit(0)).alias("chunk_words"))
+    words = lambda df, c, n: df.select("doc_id", F.explode(F.array_remove(F.split(c, r"(?U)\s+"), "")).alias("word"), F.lit(n).alias("n"))
+    both = words(docs, F.col("text"), 1).withColumn("own", F.lit(1)).union(words(chunking.generic(docs, overlap=0), F.col("body"), -1).withColumn("own", F.lit(0)))
+    each = both.groupBy("doc_id", "word").agg(F.sum("n").alias("d"), F.sum("own").alias("own")).groupBy("doc_id")
+    found = each.agg(F.sum("own").alias("words"), F.sum(F.greatest("d", F.lit(0))).alias("missing"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("added"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", zero("words"), zero("missing").cast("int"), zero("added").cast("int"))
 
 
 @query("""with s as (select source, length(text) as size from documents), r as (select *, row_number() over (partition by source order by size) as i, count(*) over (partition by source) as n from s)
@@ -246,8 +255,10 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the cache: turns as times, conversations as answers."""
-    return _asked(spark, sf_dir).select("query_hash", F.col("conv_id").cast("string").alias("answer"), F.col("turn").alias("created_at"))
+    """A cache that even conversations have filled and odd ones refresh: turns as times, conversations as answers."""
+    rows = _asked(spark, sf_dir).select("query_hash", F.col("conv_id").cast("string").alias("answer"), F.col("turn").alias("created_at"), (F.col("conv_id") % 2 == 0).alias("old"))
+    old, fresh = rows.filter("old").drop("old"), rows.filter("not old").drop("old")
+    return answers.upsert(answers.upsert(old.limit(0), old), fresh)
 
 
 @query(f"select conv_id, turn, query_hash from {_ANSWERED}")
@@ -256,28 +267,25 @@ def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _UPSERT = f"""select query_hash, answer, created_at from (select query_hash, conv_id::varchar as answer, turn as created_at,
-row_number() over (partition by query_hash order by turn desc, conv_id::varchar) as n from {_ANSWERED}) where n = 1"""
+row_number() over (partition by query_hash order by turn desc, conv_id % 2 desc, conv_id::varchar) as n from {_ANSWERED}) where n = 1"""
 
 
 @query(_UPSERT)
 def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _stored(spark, sf_dir)
-    return answers.upsert(rows.limit(0), rows).select("query_hash", "answer", "created_at")
+    return _stored(spark, sf_dir).select("query_hash", "answer", "created_at")
 
 
 @query(f"with c as ({_UPSERT}), h as (select * from c where created_at > 0) select conv_id, turn, h.answer as answer, h.answer is not null as hit from {_ANSWERED} a left join h using (query_hash)")
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only answers given after the first turn are stored."""
-    rows = _stored(spark, sf_dir)
-    cache = answers.upsert(rows.limit(0), rows).filter("created_at > 0")
+    cache = _stored(spark, sf_dir).filter("created_at > 0")
     found = answers.lookup(_asked(spark, sf_dir).drop("query_hash"), cache, NAMESPACE, "text")
     return found.select("conv_id", "turn", "answer", F.col("answer").isNotNull().alias("hit"))
 
 
 @query(f"with c as ({_UPSERT}) select count(*) as total, min(created_at) as oldest, max(created_at) as newest from c")
 def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _stored(spark, sf_dir)
-    return answers.cache_stats(answers.upsert(rows.limit(0), rows))
+    return answers.cache_stats(_stored(spark, sf_dir))
 
 
 # Scores.

@@ -17,7 +17,7 @@ def path(name: str, default: str) -> str:
     return os.environ.get(name, "").strip() or default
 
 
-def max_distance(name: str = "RAG_MAX_DISTANCE") -> float | None:
+def max_distance(name: str = "LEXMILL_MAX_DISTANCE") -> float | None:
     """None if blank; else a number in (0, 2], or an error that names the variable."""
     raw = os.environ.get(name, "").strip()
     if not raw:

@@ -13,6 +13,7 @@ SCHEMA_VERSION = 2
 MANIFEST = "path string, source string, source_display string, source_kind string, doc_type string, chunker string, citation string"
 
 
+#: The defaults of an index.
 @dataclass(frozen=True)
 class Settings:
     embedding_model: str = "text-embedding-3-small"
@@ -66,11 +67,14 @@ def table_fingerprint(docs: DataFrame, *columns: str) -> DataFrame:
     return total.select("n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), "p0", "p1", "p2", "p3"), 256).alias("fingerprint"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def build_index(chunks: DataFrame, path: str) -> DataFrame:
     """Write the index unless it is there already; Spark's commit leaves no half-written one."""
     spark = chunks.sparkSession
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, f"{path}/_SUCCESS"):
         chunks.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -98,11 +98,11 @@ def test_settings(monkeypatch):
     from lexmill import settings
 
     for value, want in (("", None), ("0.75", 0.75), ("2", 2.0)):
-        monkeypatch.setenv("RAG_MAX_DISTANCE", value)
+        monkeypatch.setenv("LEXMILL_MAX_DISTANCE", value)
         assert settings.max_distance() == want
     for value in ("abc", "0", "-0.5", "2.5", "nan", "inf", "0,5"):
-        monkeypatch.setenv("RAG_MAX_DISTANCE", value)
-        with pytest.raises(ValueError, match="RAG_MAX_DISTANCE"):
+        monkeypatch.setenv("LEXMILL_MAX_DISTANCE", value)
+        with pytest.raises(ValueError, match="LEXMILL_MAX_DISTANCE"):
             settings.max_distance()
     monkeypatch.setenv("X", " Yes ")
     assert settings.flag("X") and not settings.flag("NONE") and settings.path("NONE", "d") == "d"
