@@ -288,9 +288,62 @@ def test_lm(spark, docs, at):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in found)
 
 
+def test_lm_score_is_the_models(spark, docs, at):
+    """The score, text by text and word by word from the fitted weights."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    rows = rows_of(docs)
+    out = {("" if i is None else str(i)): zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows}
+    model = lm.fit(docs.filter(~lm.held_out(F.col("doc_id"), 7, 2)), path)
+    c, v, spell = {r["word"].encode(): r["c"] for r in model.counts.collect()}, model.attention.v, lm.speller(path)
+    assert model.hot == {w: n for w, n in c.items()} and model.n == sum(c.values())
+
+    def cut(t):
+        """(words, log-probability) of each passage of a text, and its key."""
+        words = [*lower(t).encode().split(), b""]
+        ids = [np.frombuffer(spell[w], dtype="<u2") for w in words]
+        inputs, targets = lm.windows(np.concatenate(ids))
+        logits = model.attention.forward(inputs)[-1].astype(float).reshape(-1, v.size)[: sum(map(len, ids))]
+        p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+        begin, at_ = p[:, : v.beginning].sum(axis=1), 0
+        logs = []
+        for w, x in zip(words, ids):
+            n = len(x)
+            own = np.prod([p[at_ + k, v.classes[i]] * np.exp(v.within[i]) for k, i in enumerate(x)])
+            after = begin[at_ + n] if w else 1.0
+            group = p[at_, v.classes[x[0]]] / begin[at_]
+            logs.append(math.log((1 - model.spelling) * group * c.get(w, 0) / max(1, v.words[v.classes[x[0]]]) + model.spelling * own / begin[at_] * after))
+            at_ += n
+        h = np.array([xxhash.xxh64_intdigest(w, lm.SEED) for w in words], dtype=np.uint64)
+        starts, marks = lm.passages(h, np.arange(len(words)) == len(words) - 1)
+        return [(m, sum(logs[a:z])) for m, a, z in zip(marks.tolist(), starts, [*starts[1:], len(words)])]
+
+    texts_ = [(str(i if i is not None else ""), cut(t)) for i, t in rows]
+    seen = Counter(m for i, ps in texts_ if not out[i] for m, _ in ps)
+    again, all_ = sum(n - 1 for n in seen.values()), sum(seen.values())
+    assert again
+    want = sorted((i, sum(math.log((1 - again / all_) * math.exp(x) + (seen[m] - 1) * (seen[m] > 1) / all_) if x > -700 or seen[m] > 1 else x + math.log(1 - again / all_) for m, x in ps) / math.log(10)) for i, ps in texts_)
+    got = sorted(("" if r["doc_id"] is None else str(r["doc_id"]), r["score"]) for r in lm.op2_lm(spark, at).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert np.allclose([x for _, x in got], [x for _, x in want], rtol=5e-3, atol=0.02)
+
+
+def test_passages_depend_on_their_words_alone():
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
+    ends = np.zeros(2000, dtype=bool)
+    ends[[300, 1999]] = True
+    starts, marks = lm.passages(h, ends)
+    assert 301 in starts and 15 < len(starts) < 80
+    shifted, again = lm.passages(h[120:], ends[120:])
+    assert set(marks.tolist()[-10:]) <= set(again.tolist())
+
+
 def test_attention_is_causal_and_sums_to_one():
-    v = lm.Vocabulary(P.path("byte_bpe_50k.tiktoken"), np.arange(lm.IDS, dtype=float) % 97)
+    counts = np.arange(lm.IDS, dtype=float) % 97
+    v = lm.Vocabulary(P.path("byte_bpe_50k.tiktoken"), counts, np.random.default_rng(3).integers(0, 9, (lm.IDS, 6)).astype(float))
     assert np.allclose(np.bincount(v.classes[: lm.START], np.exp(v.within[: lm.START]), v.size), 1, atol=1e-3)
+    begins = lm.begins_word(P.path("byte_bpe_50k.tiktoken"))
+    assert set(v.classes[begins]) == set(range(v.beginning)) and np.isclose(v.words.sum(), counts[begins].sum())
     model = lm.Attention(v)
     ids = np.random.default_rng(0).integers(0, 50000, 100)
     i, t = lm.windows(ids)
@@ -298,7 +351,7 @@ def test_attention_is_causal_and_sums_to_one():
     logs, begin = model.score(i, t)
     logits = model.forward(i)[-1].astype(float)
     total = np.log(np.exp(logits).sum(axis=2))
-    plain = np.take_along_axis(logits, v.classes[np.maximum(t, 0)][..., None].astype(int), axis=2)[..., 0] - total + v.within[np.maximum(t, 0)]
+    plain = np.take_along_axis(logits, v.classes[np.maximum(t, 0)][..., None].astype(int), axis=2)[..., 0] - total
     assert np.allclose(logs[t >= 0], plain[t >= 0], atol=1e-4)
     assert np.allclose(begin, np.log(np.exp(logits[..., : v.beginning]).sum(axis=2)) - total, atol=1e-4)
     changed = ids.copy()
@@ -307,6 +360,28 @@ def test_attention_is_causal_and_sums_to_one():
     assert np.allclose(logs.ravel()[:60], again.ravel()[:60], atol=1e-5)
 
 
+def test_slopes_are_those_of_the_loss():
+    v = lm.Vocabulary(P.path("byte_bpe_50k.tiktoken"), np.arange(lm.IDS, dtype=float) % 89, np.ones((lm.IDS, 3)))
+    model = lm.Attention(v)
+    i, t = lm.windows(np.random.default_rng(1).integers(0, 50000, 70))
+
+    def loss():
+        logits = model.forward(i)[-1].astype(float)
+        logs = np.take_along_axis(logits, v.classes[np.maximum(t, 0)][..., None].astype(int), axis=2)[..., 0] - np.log(np.exp(logits).sum(axis=2))
+        return -logs[t >= 0].mean()
+
+    slopes = model.slopes(i, t)
+    for name in ("q", "k", "v", "o", "c", "p"):
+        at_ = np.unravel_index(np.abs(slopes[name]).argmax(), slopes[name].shape)
+        was = model.w[name][at_]
+        model.w[name][at_] = was + 0.01
+        up = loss()
+        model.w[name][at_] = was - 0.01
+        down = loss()
+        model.w[name][at_] = was
+        assert abs((up - down) / 0.02 - slopes[name][at_]) < 0.02 * abs(slopes[name][at_]) + 1e-4, name
+
+
 def test_ann(spark, tmp_path):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 16)).astype("f4")
@@ -346,11 +421,6 @@ def test_empty_embeddings(spark, tmp_path):
     assert ann.op7_ann(spark, str(tmp_path)).count() == 0
 
 
-def test_model_size():
-    v = lm.Vocabulary(P.path("byte_bpe_50k.tiktoken"), np.ones(lm.IDS))
-    assert v.size == 2 * (48 + 16) and lm.Attention(v).w["c"].shape == (24, v.size)
-
-
 def test_long_license_expressions():
     assert license.evaluate(" and ".join(["mit"] * 40 + ["gpl-2.0-only"])) == ({"mit", "gpl"}, False)
     rng = random.Random(8)
