@@ -1,11 +1,16 @@
 """Near-copy removal for the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from MinHash: ROWS minima to a band, and texts that agree in one of BANDS bands meet. Two texts at 0.8
-meet with probability 1 - (1 - 0.8^5)^20 = 0.9996. Every link is verified by the exact similarity of the words. Where at most
-SMALL distinct texts meet, all pairs are verified; where more meet, each against the one of smallest row number.
+Candidates come from two sides. The SimHash operator's ball hashing, over fingerprints of the five-word shingles, links the texts that
+hardly differ; two bits are too few for 0.8 (about ten of 64 differ there), so MinHash adds the rest: ROWS minima to a band, and texts that agree in one of
+BANDS bands meet. Two texts at 0.8 meet with probability 1 - (1 - 0.8^5)^20 = 0.9996. Candidates whose sketches (a byte of each minimum) agree in fewer than
+AGREE places are dropped, which two texts at 0.8 are with probability 2e-6; all others are verified by the exact similarity of their words.
 
-Texts of the same words are one node, however many. Texts of fewer than five words are one shingle; those without words
-are copies of each other.
+In a band each text first meets the smallest one and the NEAR before it, so that thousands of copies of one text become one component after a number of
+comparisons linear in them. Then, in the bands that still hold several components, every text outside the largest meets all of other components: no
+pair that could join components is left out, however large a band is.
+
+Texts of the same words are one node, however many. Texts of fewer than five words are one shingle; those without words (null, empty, blanks)
+are copies of each other. Very long texts are hashed in blocks. Empty tables give empty results; a table's columns may have any names.
 """
 
 from __future__ import annotations
@@ -15,15 +20,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LOWER_BYTES, as_bytes, boxed, slices, unboxed, written
-from .simhash import SEED, components
+from .simhash import SEED, components, fingerprint_of, links
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, SMALL = 20, 5, 8
+BANDS, ROWS, NEAR, AGREE = 20, 5, 7, 60
+#: Removed rows are broadcast by their numbers up to so many (16 MB), and joined by a shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _FACTORS[:ROWS]
 
@@ -33,14 +40,20 @@ def shingles(text: bytes) -> set[bytes]:
     return {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
 
 
-def bands(found: set[bytes]) -> list[int]:
-    """The bands' hashes of a set of shingles, signed."""
-    if not found:
-        return []
-    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), dtype=np.uint64, count=len(found))
+def hashes(found: set[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), dtype=np.uint64, count=len(found))
+
+
+def minima(h: np.ndarray) -> np.ndarray:
+    """The least product of the shingles' hashes with each factor."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(h), 4096):  # long texts in blocks, so that memory stays bounded
         least = np.minimum(least, (h[at : at + 4096, None] * _FACTORS).min(axis=0))
+    return least
+
+
+def bands(least: np.ndarray) -> list[int]:
+    """The bands' hashes, signed."""
     mixed = ((least ^ (least >> np.uint64(29))).reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _FACTORS[-1]
     return mixed.view(np.int64).tolist()
 
@@ -51,28 +64,65 @@ def similarity(a: set[bytes], b: set[bytes]) -> float:
 
 
 def signed(df: DataFrame) -> DataFrame:
-    """Adds `key`, the same for texts of the same words, and `bands`."""
-    schema = T.StructType([*df.schema.fields, T.StructField("key", T.StringType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """Adds `key`, the same for texts of the same words, `fp` (the fingerprint), `bands` and `sketch`."""
+    own = [T.StructField("key", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
+    schema = T.StructType([*df.schema.fields, *own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            texts = as_bytes(b.column("text"))
-            keys = pa.array([xxhash.xxh128_hexdigest(b" ".join(x.translate(LOWER_BYTES).split())) for x in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, keys, pa.array([bands(shingles(x)) for x in texts], pa.list_(pa.int64()))], names=schema.names)
+            keys, prints, banded, sketches = [], [], [], []
+            for x in as_bytes(b.column("text")):
+                h = hashes(shingles(x))
+                least = minima(h)
+                keys.append(xxhash.xxh128_hexdigest(b" ".join(x.translate(LOWER_BYTES).split())))
+                prints.append(fingerprint_of(h))
+                banded.append(bands(least) if len(h) else [])
+                sketches.append((least >> np.uint64(40)).astype(np.uint8).tobytes())
+            made = [pa.array(c, t) for c, t in zip((keys, prints, banded, sketches), (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes that meet in a band."""
-    met = nodes.select("node", F.explode("bands").alias("band"))
-    size = met.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
-    inside = met.join(size, "band")
-    large = inside.filter(F.col("n") > SMALL).select(F.col("least").alias("a"), F.col("node").alias("b"))
+def ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes whose fingerprints are equal or linked by ball hashing."""
+    least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    same = nodes.join(least, "fp").filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    ball = links(least).join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    return same.union(ball.select(*ordered(F.col("x"), F.col("y"))))
+
+
+def by_bands(met: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes that meet in a band (node, band): each with the smallest and the NEAR before it."""
     by = Window.partitionBy("band").orderBy("node")
-    before = F.array(*[F.lag("node", i).over(by) for i in range(1, SMALL)])
-    small = inside.filter(F.col("n") <= SMALL).withColumn("before", before).select(F.explode("before").alias("a"), F.col("node").alias("b"))
-    return large.union(small).filter("a < b").distinct()
+    partners = F.array(F.min("node").over(Window.partitionBy("band")), *[F.lag("node", i).over(by) for i in range(1, NEAR + 1)])
+    return met.withColumn("partners", partners).select(F.explode(F.array_distinct("partners")).alias("a"), F.col("node").alias("b")).filter("a < b").distinct()
+
+
+def across(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components that meet in a band of more than NEAR + 1: those outside the band's largest component, with all others."""
+    placed = met.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("band").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"), F.max_by("root", F.struct("n", "root")).alias("largest")).filter((F.col("parts") > 1) & (F.col("all") > NEAR + 1))
+    open_ = placed.join(mixed.select("band", "largest"), "band")
+    minor = open_.filter("root <> largest").select("band", F.col("node").alias("x"), F.col("root").alias("own"))
+    return minor.join(open_, "band").filter("own <> root and (root = largest or x < node)").select(*ordered(F.col("x"), F.col("node"))).distinct()
+
+
+def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose sketches agree in AGREE places or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1) for c in ("x", "y"))
+            yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE)) if b.num_rows else b.select(["a", "b"])
+
+    sketch = lambda key, name: nodes.select(F.col("node").alias(key), F.col("sketch").alias(name))
+    return pairs.join(sketch("b", "y"), "b").join(sketch("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -95,16 +145,26 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest id (null ids last), and of equal ids the first row."""
+    """One document of each component stays: the one with the smallest id (null ids last), and of equal ids the first row.
+
+    Texts are written once and read twice, by the verification of candidates and by the result; what is grouped and joined are their numbers and signatures."""
     rows = written(signed(boxed(docs, "doc_id", "text")).drop("text").withColumn("_row", F.monotonically_increasing_id()), "signed")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
-    nodes = written(rows.select("key", rank.alias("rank"), "bands").groupBy("key").agg(F.min("rank").alias("rank"), F.first("bands").alias("bands")).withColumn("node", F.col("rank")["r"]).drop("key"), "nodes")
-    pairs = written(candidates(nodes), "candidates")
+    of = rows.select("key", "_row", rank.alias("rank"), "fp", "bands", "sketch")
+    nodes = written(of.groupBy("key").agg(F.min("rank").alias("rank"), *[F.first(c).alias(c) for c in ("fp", "bands", "sketch")]).withColumn("node", F.col("rank")["r"]), "nodes")
+    met = nodes.select("node", F.explode("bands").alias("band"))
     texts = rows.select(F.col("_row").alias("node"), F.col("_doc")["text"].alias("text"))
-    roots = components(written(verified(pairs, texts), "links"))
+    links_ = lambda pairs: written(verified(written(alike(pairs, nodes), "candidates"), texts), "links")
+    first = links_(by_bands(met).union(by_fingerprint(nodes)).distinct())
+    roots = components(first)
+    second = links_(across(met, roots))
+    if not second.isEmpty():
+        roots = components(first.union(second))
     # Of each component the node of smallest rank stays; nodes without links stay all.
     member = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     ranked = written(nodes.select("node", "rank").join(member, "node"), "members")
-    least = ranked.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank")["r"].alias("_row"))
-    kept = least.union(nodes.select(F.col("node").alias("_row")).join(ranked.select(F.col("node").alias("_row")), "_row", "left_anti"))
-    return unboxed(rows.join(kept, "_row", "left_semi"), docs)
+    least = ranked.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank")["r"].alias("node"))
+    kept = nodes.select("node").join(ranked.select("node"), "node", "left_anti").union(least).withColumnRenamed("node", "_row")
+    removed = written(of.select("_row").join(kept, "_row", "left_anti"), "removed")
+    small = removed.count() <= BROADCAST_ROWS
+    return unboxed(rows.join(F.broadcast(removed) if small else removed, "_row", "left_anti"), docs)

@@ -37,6 +37,10 @@ BOILERPLATE = (
 SENTENCE_END = r"""[.!?…。！？؟।][\x22'”’»)\]]*(?:[\x20\x09-\x0D]|$)|[:;,]$"""
 
 
+#: Marks between entries of a menu. Closing quotes aren't among them, as texts in French or German have those in every sentence.
+BARS = "|›•·"
+
+
 @dataclass(frozen=True)
 class QualityRules:
     """Thresholds. Shares are of characters in words or of words; see the rules in `line_passes`."""
@@ -63,7 +67,7 @@ def line_passes(line: Column, rules: QualityRules) -> Column:
             punctuated = stripped.rlike(SENTENCE_END) | (n < rules.min_words_unpunctuated)
             symbols = _count(stripped, r"#*$%&<>~^") > n * rules.max_symbols_per_word
             shouts = F.length(stripped) - F.length(F.regexp_replace(stripped, "!!", "!")) > n * rules.max_shouts_per_word
-            bars = (n >= 4) & (_count(stripped, r"|»›•·") > n * rules.max_bars_per_word)
+            bars = (n >= 4) & (_count(stripped, BARS) > n * rules.max_bars_per_word)
             furniture = (n <= rules.max_boilerplate_line_words) & F.lower(stripped).rlike("|".join(BOILERPLATE))
             return punctuated & ~symbols & ~shouts & ~bars & ~furniture
 

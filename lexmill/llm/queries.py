@@ -9,7 +9,7 @@ from .langid import op4_langid
 from .license import op5_license
 from .lm import op2_lm
 from .packing import op6_packing
-from .quality import BOILERPLATE, SENTENCE_END, QualityRules, op3_quality
+from .quality import BARS, BOILERPLATE, SENTENCE_END, QualityRules, op3_quality
 from .sharding import op9_sharding
 from .simhash import op8_simhash
 from .tokencount import op10_tokencount
@@ -37,7 +37,7 @@ v as (select doc_id, sum(chars) filter (s = '' or (
     (regexp_matches(s, '{_SENTENCE_END}') or n < {_RULES.min_words_unpunctuated})
     and not {_count("#*$%&<>~^")} > n * {_RULES.max_symbols_per_word}
     and not length(s) - length(replace(s, '!!', '!')) > n * {_RULES.max_shouts_per_word}
-    and not (n >= 4 and {_count("|»›•·")} > n * {_RULES.max_bars_per_word})
+    and not (n >= 4 and {_count(BARS)} > n * {_RULES.max_bars_per_word})
     and not (n <= {_RULES.max_boilerplate_line_words} and regexp_matches(lower(s), '{"|".join(BOILERPLATE)}')))) as kept_chars from l group by doc_id),
 f as (select doc_id, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as n_words, length(regexp_replace(t, '{_WHITE}+', '', 'g')) as word_chars,
   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,

@@ -7,7 +7,8 @@ link between any two is thereby kept as a path. Everything runs on distinct fing
 however many, are one row.
 
 Null texts count as empty; texts without words have fingerprint zero. Rows with a null id take part; a component's id
-is its smallest id that isn't null. Repeated rows are in one component.
+is its smallest id that isn't null. Repeated rows are in one component. Very long texts are summed up in blocks. Empty tables give empty results;
+other columns than doc_id and text don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,9 +34,14 @@ def fingerprint(text: bytes) -> int:
         return 0
     hashed = xxhash.xxh64_intdigest
     if len(words) < SHINGLE:
-        hashes = [hashed(b" ".join(words), SEED)]
-    else:
-        hashes = [hashed(b"%b %b %b" % w, SEED) for w in zip(words, words[1:], words[2:], strict=False)]
+        return fingerprint_of([hashed(b" ".join(words), SEED)])
+    return fingerprint_of([hashed(b"%b %b %b" % w, SEED) for w in zip(words, words[1:], words[2:], strict=False)])
+
+
+def fingerprint_of(hashes: list[int]) -> int:
+    """The fingerprint of a text by its shingles' hashes."""
+    if not len(hashes):
+        return 0
     raw = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(raw), 1 << 15):  # long texts in blocks, so that memory stays bounded
@@ -101,11 +107,3 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = written(fingerprints(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "fp"), "fingerprints")
     of = grouped(docs, "doc_id").withColumnRenamed("doc_id", "component_id")
     return docs.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest id (null ids last), and of equal ids the first row."""
-    rows = written(fingerprints(boxed(docs, "doc_id", "text")).drop("text").withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
-    kept = grouped(rows.select("fp", rank.alias("rank")), "rank").select(F.col("rank")["r"].alias("_row")).distinct()
-    return unboxed(rows.join(kept, "_row", "left_semi"), docs)
