@@ -13,7 +13,7 @@ from lexmill.llm.quality import quality_stage
 #: Each takes (spark, docs, sf_dir); all but the last return the columns of documents.
 STAGES = [("quality", quality_stage), ("language", langid_stage), ("near_dedup", near_copies_stage), ("packing", packing_stage)]
 
-#: Language ID and packing by a public vocabulary can't be written in SQL; tests hold run() against brute force.
+#: Language ID and packing by a public vocabulary can't be written in SQL; tests/llm/test_pipeline.py holds run() against a plain chain of the four stages.
 ORACLE_SQL = None
 
 
