@@ -49,6 +49,74 @@ def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count(F.lit(1)).alias("total"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"))
 
 
+#: A stored cache is a folder of snapshots; the newest whole one counts.
+CACHE = "query_hash string, query string, answer string, context string, created_at timestamp"
+
+
+class Cache:
+    """A stored answer cache. Every change writes a new snapshot, so that readers and failed writes never meet a half-written one."""
+
+    def __init__(self, spark: SparkSession, path: str, enabled: bool = True):
+        self.spark, self.path, self.enabled = spark, path, enabled
+
+    def _snapshots(self) -> list[str]:
+        from ..sources.corpus import exists
+
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.path)
+        if not exists(self.spark, self.path):
+            return []
+        files = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = sorted(f.getPath().getName() for f in files.listStatus(where))
+        return [n for n in names if exists(self.spark, f"{self.path}/{n}/_SUCCESS")]
+
+    def rows(self) -> DataFrame:
+        found = self._snapshots() if self.enabled else []
+        return self.spark.read.schema(CACHE).parquet(f"{self.path}/{found[-1]}") if found else self.spark.createDataFrame([], CACHE)
+
+    def _store(self, rows: DataFrame) -> None:
+        found = self._snapshots()
+        following = int(found[-1]) + 1 if found else 0
+        rows.select(*[f.split()[0] for f in CACHE.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/{following:012}")
+
+    def upsert(self, fresh: DataFrame) -> None:
+        if self.enabled:
+            self._store(upsert(self.rows(), fresh))
+
+    def clear(self) -> None:
+        """Forget all answers: an empty snapshot follows, and older ones are deleted."""
+        self._store(self.spark.createDataFrame([], CACHE))
+        jvm = self.spark.sparkContext._jvm
+        for name in self._snapshots()[:-1]:
+            old = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+    def stats(self) -> DataFrame:
+        """(total, oldest, newest, enabled, size_mb); zero and null where the cache is disabled. Times are text, to the second."""
+        found = self._snapshots() if self.enabled else []
+        size = 0
+        if found:
+            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{found[-1]}")
+            size = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+        each = cache_stats(self.rows()).withColumns({c: shown_time(F.col(c)) for c in ("oldest", "newest")})
+        return each.withColumns({"enabled": F.lit(self.enabled), "size_mb": F.round(F.lit(size / 1e6), 2)})
+
+
+def iso_time(time: Column) -> Column:
+    """A timestamp as ISO 8601 text with microseconds."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def shown_time(time: Column) -> Column:
+    """The first 19 characters of the ISO form: to the second."""
+    return F.substring(iso_time(time), 1, 19)
+
+
+def stored_context(context: Column) -> Column:
+    """A context as JSON text for the cache, null where it has no fragment."""
+    return F.when(F.size(context) > 0, F.to_json(context))
+
+
 def complete(answer: Column, finish: Column) -> tuple[Column, Column]:
     """(answer with a notice where it is incomplete, whether it may be cached)"""
     notices = F.create_map(*[F.lit(x) for pair in INCOMPLETE.items() for x in pair])

@@ -318,9 +318,9 @@ def cut_blocks(units: DataFrame, target: int = TARGET, least: int = LEAST, items
     return units.mapInArrow(run, T.StructType(keep + own.fields))
 
 
-def chunks(docs: DataFrame, chunker: str) -> DataFrame:
+def chunks(docs: DataFrame, chunker: str, target: int = TARGET, least: int = LEAST) -> DataFrame:
     """Chunks of documents (doc_id, text, prefix, source_display, source_kind) with narrow labels, citations and anchors, and the text that is indexed."""
-    cut = cut_blocks(blocks(docs, chunker), items=chunker != "court_review")
+    cut = cut_blocks(blocks(docs, chunker), target, least, items=chunker != "court_review")
     terms = ("п.", "пп.") if chunker == "federal_law" else ("пп.", "пп.")
     part = lambda column, before: F.when(F.col(column).isNull(), "").otherwise(F.concat(F.lit(before), column))
     narrow = F.concat(part("item", f", {terms[0]} "), part("subitem", f", {terms[1]} "))
@@ -329,7 +329,18 @@ def chunks(docs: DataFrame, chunker: str) -> DataFrame:
     return named.withColumn("text", fn.indexed_text(F.col("source_display"), F.col("source_kind"), F.col("label"), F.col("body")))
 
 
+#: Columns that a chunker's own units have.
+UNITS = {"civil_code": "article", "federal_law": "article", "court_review": "position", "government_resolution": "point"}
+
+
 def unstructured(docs: DataFrame, chunker: str) -> DataFrame:
-    """Documents in which the chunker finds none of its units: they aren't what they claim to be and shouldn't be indexed."""
-    found = blocks(docs, chunker).filter(~F.col("anchor").isin("preamble", "resolution", "annex")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """Documents in which the chunker finds none of its units (articles, numbered points, positions with text): they aren't what they claim to be and shouldn't be indexed."""
+    found = blocks(docs, chunker)
+    good = found.filter(F.col(UNITS[chunker]).isNotNull()).select("doc_id").distinct()
+    if chunker == "court_review":
+        # A position that is announced must say something.
+        lines = lines_of(docs).filter("line <> ''")
+        after = F.lead("line").over(Window.partitionBy("doc_id").orderBy("pos"))
+        bare = lines.withColumn("after", after).filter(F.col("line").rlike(POSITION_LINE) & (F.col("after").isNull() | F.col("after").rlike(POSITION_LINE)))
+        good = good.join(bare.select("doc_id").distinct(), "doc_id", "left_anti")
+    return docs.join(good, "doc_id", "left_anti")

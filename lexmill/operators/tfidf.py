@@ -44,6 +44,14 @@ def weights(terms_of: DataFrame, idf: DataFrame, total: int, id: str, bucketed:
     return listed.withColumn("norm", norm).select(id, "norm", F.inline("all")).select(id, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def vectors(weights_of: DataFrame, ids: DataFrame, id: str) -> DataFrame:
+    """(id, vector): bucketed weights as dense vectors of DIMENSIONS; an id without a stem has the unit vector of the last place."""
+    listed = weights_of.groupBy(id).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("of"))
+    slots = F.sequence(F.lit(0), F.lit(DIMENSIONS - 1))
+    at = lambda i: F.when(F.col("of").isNull(), (i == DIMENSIONS - 1).cast("double")).otherwise(F.coalesce(F.try_element_at("of", i), F.lit(0.0)))
+    return ids.select(id).join(listed, id, "left").select(id, F.transform(slots, at).alias("vector"))
+
+
 def search(queries: DataFrame, docs: DataFrame, query: str, doc: str, k: int) -> DataFrame:
     """(query, doc, distance, rank) of the k documents of least cosine distance that share a term.
 
