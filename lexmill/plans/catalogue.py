@@ -324,3 +324,6 @@ def sanitize_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table_fingerprint(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
+from . import statutes  # noqa: E402, F401 - registers its queries
