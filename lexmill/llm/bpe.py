@@ -6,7 +6,7 @@ distinct words with a literal rank map (see the README for why the query takes t
 binary pieces of the ids from a literal array, in higher-order functions.
 
 Null and empty texts give no ids and decode to no bytes. Other columns pass through, but one named as the result is
-replaced. Empty tables give empty results, repeated rows equal ones.
+replaced. Empty tables give empty results, repeated rows equal ones; very long texts are encoded whole, a word of n bytes in n log n steps.
 """
 
 from __future__ import annotations

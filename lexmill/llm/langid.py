@@ -6,8 +6,8 @@ length up to a bound; languages that don't use the word's script can't have it.
 labels spans of mixed-language text; all texts of a group run in lockstep.
 
 A null text or one without a letter is `und` with score 0 and no spans. Labels may be any strings; rows with a null
-label or text aren't learned from. Ties go to the language that sorts first. Without a label to learn from all texts are `und`. Other columns pass
-through, but those named as results are replaced.
+label or text aren't learned from. Ties go to the language that sorts first. Without a label to learn from all texts are `und`. Repeated rows are learned
+from and labelled each, very long texts as a group of their own; empty tables give empty results. Other columns pass through, but those named as results are replaced.
 """
 
 from __future__ import annotations
@@ -232,6 +232,8 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def langid_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that holds at least half of their words, learned from the stage's own labelled rows."""
+    """Documents with a language that holds at least half of their words, learned from the stage's own labelled rows.
+
+    Texts that are null or without a letter go, and all do where no row has a label; nulls in other columns stay."""
     model = learn(docs.filter(~held_out(F.col("doc_id"), 3, 1)))
     return unboxed(identify(boxed(docs, "text"), model).filter("lang_pred <> 'und' and score >= 0.5"), docs)

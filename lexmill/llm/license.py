@@ -4,7 +4,7 @@ One automaton finds identifier tags and notice phrases in a text of lower-case w
 phrase matches where its words stand consecutively, whatever stands between them. An expression after an identifier
 tag is put in postfix order and evaluated: with binds tighter than and, and tighter than or.
 
-Null and empty texts have no words and no labels. Repeated rows are scanned each; empty tables give empty results; other
+Null and empty texts have no words and no labels. Repeated rows are scanned each, very long texts and expressions whole; empty tables give empty results; other
 columns pass through, but those named as results are replaced.
 """
 

@@ -181,6 +181,7 @@ def pack(docs: DataFrame, path: str, targets: dict[str | None, float] | None = N
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, null texts and sources included, at their natural shares."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("ids")

@@ -3,7 +3,7 @@
 Every line is judged by itself (punctuation, navigation, boilerplate); lines that fail are removed, and a document
 goes if the removed lines held too much of its text or if it fails the base rules.
 
-Null texts count as empty and fail (no words). Empty tables give empty results. Other columns of the input stay as
+Null texts count as empty and fail (no words). Empty tables give empty results, repeated rows are judged each, and very long texts whole. Other columns of the input stay as
 they are and may have any name but the operator's own results, which replace equal names.
 """
 
@@ -143,6 +143,6 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, with the failed lines removed from their text and n_chars counted anew."""
+    """Documents that pass, with the failed lines removed from their text and n_chars counted anew. Null and empty texts go; nulls in other columns stay."""
     text = F.col("cleaned_text")
     return unboxed(quality(boxed(docs, "text")).filter("kept"), docs, text=text, n_chars=F.length(text).cast("long"))

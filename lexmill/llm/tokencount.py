@@ -9,7 +9,8 @@ merger is what later merges can still depend on: the end of the word so far that
 the encoding ends with at each place of it. States are compiled as texts need them and are exact for any input.
 
 Null and empty texts have no tokens. The vocabulary's special string inside a text is one token and splits the text.
-Repeated rows are counted each; empty tables give empty results; other columns pass through.
+Repeated rows are counted each, very long texts in many chunks; empty tables give empty results; other columns pass through, but one named as
+the result is replaced.
 """
 
 from __future__ import annotations

@@ -428,3 +428,116 @@ def test_long_license_expressions():
         tokens = rng.choices(["mit", "gpl", "and", "or", "with", "(", ")"], k=rng.randint(0, 9))
         want = next((n for n in range(len(tokens), 0, -1) if license.postfix(tokens[:n]) is not None), 0)
         assert license.complete(tokens) == want, tokens
+
+
+def test_trees_grow_into_the_new_shard_alone(spark):
+    chain = [sharding.tree(1)]
+    for _ in range(15):
+        chain.append(sharding.grow(chain[-1]))
+    fixed = [sharding.tree(n) for n in range(8, 17)]
+    rows = spark.range(3000)
+    for kind, trees in (("c", chain), ("f", fixed)):
+        for i, t in enumerate(trees):
+            rows = sharding.assign(rows, "id", t, f"{kind}{i}")
+    found = rows.toPandas()
+    for kind, trees in (("c", chain), ("f", fixed)):
+        for i in range(1, len(trees)):
+            old, new = found[f"{kind}{i - 1}"], found[f"{kind}{i}"]
+            assert set(new[old != new]) == {max(sharding.shards_of(trees[i]))}
+    assert found["c15"].nunique() == 16 and found["c15"].value_counts().max() < 1.5 * 3000 / 16
+
+
+def test_weights_move_rows_beside_their_path_alone(spark):
+    old, new = sharding.tree(8), sharding.reweighted(sharding.tree(8), {3: 3.0})
+    rows = sharding.assign(sharding.assign(spark.range(12000), "id", old, "a"), "id", new, "b").toPandas()
+    moved = rows[rows["a"] != rows["b"]]
+    region, rack = {0, 1, 2, 3}, {2, 3}
+    for a, b in zip(moved["a"], moved["b"]):
+        if a in region and b in region:
+            assert 3 in (a, b) or (a in rack) != (b in rack)
+        else:
+            assert (a in region) != (b in region)
+    assert abs((rows["b"] == 3).mean() - 0.3) < 0.02 and not (sharding.assign(spark.range(2000), "id", sharding.reweighted(old, {5: 0.0})).filter("shard = 5").count())
+    with pytest.raises(ValueError, match="above 0"):
+        sharding.assign(spark.range(1), "id", {"r": {"k": {"s0": (0, 0.0)}}})
+
+
+def test_slots_of_one_hot_key(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), (F.col("id") % 2).alias("size"), F.lit(7).alias("text_crc32")).repartition(5)
+    found = sharding.number(sharding.assign(rows, "doc_id", 8), "shard", "doc_id", ["size", "text_crc32"]).toPandas()
+    assert all(sorted(own["slot"]) == list(range(len(own))) for _, own in found.groupby("shard")) and len(found) == 3000
+
+
+def test_code_points_are_the_libraries():
+    """Ids and counts of every code point that Python's tables have otherwise, and the class of all others."""
+    import tiktoken
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    from lexmill.llm import tokens
+
+    every = tokens._every()
+    table = tokens.code_classes()
+    for kind, pattern in ((tokens.LETTER, r"\p{L}+"), (tokens.NUMBER, r"\p{N}+"), (tokens.SPACE, r"\s+")):
+        left = "".join(x for x, _ in pre_tokenizers.Split(Regex(pattern), behavior="removed").pre_tokenize_str(every))
+        assert {ord(c) for c in set(every) - set(left)} == set(np.flatnonzero(table == kind).tolist())
+    odd = [c for c in every if tokens._patterns()[2].match(c)]
+    assert len(odd) > 1000
+    shown = [f" {c}{c}'s {c}1 a{c}" for c in odd]
+    want = [e.ids for e in Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode_batch(shown, add_special_tokens=False)]
+    counts = tokencount.count_batch(shown, tokencount.Merger(read_ranks(P.path("byte_bpe_50k.tiktoken"))))
+    assert counts.tolist() == list(map(len, want))
+    encode = packing.encoder(P.path("byte_bpe_50k.tiktoken"))
+    assert all(np.frombuffer(encode(x), dtype="<u2").tolist() == ids for x, ids in zip(shown, want))
+    ranks = read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert all([i for p in pieces(x) for i in merge(p.encode(), ranks)] == e.encode_ordinary(x) for x in shown)
+
+
+def test_merger_forgets_and_counts_alike(monkeypatch):
+    ranks = read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(12)
+    shown = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, 3000))) for _ in range(8)] + ["the words of a text " * 40]
+    want = tokencount.count_batch(shown, tokencount.Merger(ranks)).tolist()
+    monkeypatch.setattr(tokencount, "MOST_STATES", 300)
+    monkeypatch.setattr(tokencount, "MOST_WORDS", 5)
+    small = tokencount.Merger(ranks)
+    assert tokencount.count_batch(shown, small).tolist() == want == [sum(len(merge(p.encode(), ranks)) for p in pieces(t)) for t in shown]
+    assert len(small.states) < 1000
+
+
+@pytest.fixture(scope="module")
+def long_at(spark, tmp_path_factory):
+    """A text of 1 MB beside a short one."""
+    rng = random.Random(2)
+    long = "\n".join(" ".join(rng.choices(["word", "text", "sehr", "über", "the", "MIT", "License", "don't"], k=12)) + "." for _ in range(17_000))
+    assert len(long.encode()) > 1_000_000
+    path = tmp_path_factory.mktemp("long")
+    spark.createDataFrame([(1, long, "en", "a", len(long)), (2, "short one", "en", "b", 9)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return str(path), long
+
+
+@pytest.mark.parametrize("run", [bpe.op1_bpe, lm.op2_lm, quality.op3_quality, langid.op4_langid, license.op5_license, packing.op6_packing, simhash.op8_simhash, sharding.op9_sharding, tokencount.op10_tokencount])
+def test_very_long_texts(spark, long_at, run):
+    from tokenizers import Tokenizer
+
+    path, long = long_at
+    found = [r.asDict() for r in run(spark, path).filter("doc_id = 1").collect()]
+    n = len(Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(long, add_special_tokens=False).ids)
+    if run is packing.op6_packing:
+        assert sum(r["length"] for r in found) == n + 1 == found[0]["doc_tokens"]
+        return
+    (r,) = found
+    if run is tokencount.op10_tokencount:
+        assert (r["n_tokens"], r["n_bytes"]) == (n, len(long.encode()))
+    if run is bpe.op1_bpe:
+        assert r["decoded_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    if run is quality.op3_quality:
+        assert r["n_words"] == len(long.split()) and r["base_failed"]
+    if run is license.op5_license:
+        assert r["n_base"] == len(re.findall(r"(?=\bmit\s+license\b)", re.sub(r"[^a-z0-9ü\s]", " ", long.lower()))) and r["base_labels"] == "mit"
+    if run is lm.op2_lm:
+        assert r["n_tokens"] == len(long.split()) + 1 and math.isfinite(r["score"])
+    if run is simhash.op8_simhash:
+        assert r["component_id"] == 1
+    if run is sharding.op9_sharding:
+        assert r["text_crc32"] == zlib.crc32(long.encode())

@@ -2,7 +2,7 @@
 
 import numpy as np
 import public_tokenizers as P
-import regex
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -11,15 +11,14 @@ from lexmill.llm.tokens import Encoder, merge, pieces, read_ranks
 
 RANKS = read_ranks(P.path("byte_bpe_50k.tiktoken"))
 MERGER = tokencount.Merger(RANKS)
-SPLIT = regex.compile(P.PATTERN)
-TEXT = st.text(alphabet=st.one_of(st.sampled_from("the and'sretvlmd \n\t\r 　\x1c\x85é中²Ⅷ１!?_-"), st.characters(exclude_categories=["Cs", "Cn"])), max_size=60)
+WHOLE = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+TEXT = st.text(alphabet=st.one_of(st.sampled_from("the and'sretvlmd \n\t\r 　\x1c\x85é中²Ⅷ１!?_-"), st.characters(exclude_categories=["Cs"])), max_size=60)
 
 
 @settings(max_examples=400, deadline=None)
 @given(TEXT)
 def test_pieces_are_the_matches_of_the_pattern(text):
-    if all(c not in text for c in "\x1c\x1d\x1e\x1f"):  # the module's own \s has these, the vocabularies' doesn't
-        assert pieces(text) == SPLIT.findall(text)
+    assert [i for p in pieces(text) for i in merge(p.encode(), RANKS)] == WHOLE.encode_ordinary(text)
     assert "".join(pieces(text)) == text
 
 
