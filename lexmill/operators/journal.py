@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,20 +40,23 @@ def recent(journal: DataFrame, n: int = 10) -> DataFrame:
     return journal.orderBy(F.desc("id")).limit(n).select("id", "created_at", "status", "from_cache", "response_time_ms", dash("model"), dash("interface"))
 
 
-def append(spark: SparkSession, rows: DataFrame, path: str, store_text: bool = False) -> None:
-    """Number new rows after the largest id there is (one writer at a time) and add them."""
-    from pyspark.sql import Window
+def numbered(rows: DataFrame, last: int = 0) -> DataFrame:
+    """Adds number: last + 1 and on, by time and query.
 
-    last = spark.read.schema(SCHEMA).parquet(path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if exists(spark, path) else 0
-    # Rows are numbered inside their minute, and minutes start where the ones before end: only counts meet in one task.
+    Rows are numbered inside their minute, and minutes start where the ones before end: only counts meet in one task."""
     timed = rows.withColumn("_minute", F.date_trunc("minute", "created_at"))
     ahead = Window.orderBy(F.asc_nulls_first("_minute")).rowsBetween(Window.unboundedPreceding, -1)
     starts = timed.groupBy("_minute").agg(F.count(F.lit(1)).alias("_n")).select("_minute", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_minute").orderBy("created_at", "query"))
     placed = timed.withColumn("_inside", inside).alias("t").join(starts.alias("s"), F.expr("t._minute <=> s._minute"))
-    number = F.col("_start") + F.col("_inside") + F.lit(last)
-    ready = placed.withColumns({
-        "id": number.cast("long"), "query": stored_text(F.col("query"), store_text, F.lit("")), "response": stored_text(F.col("response"), store_text, F.lit(None).cast("string")),
+    return placed.withColumn("number", (F.col("_start") + F.col("_inside") + F.lit(last)).cast("long")).select("t.*", "number").drop("_minute", "_inside")
+
+
+def append(spark: SparkSession, rows: DataFrame, path: str, store_text: bool = False) -> None:
+    """Number new rows after the largest id there is (one writer at a time) and add them."""
+    last = spark.read.schema(SCHEMA).parquet(path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if exists(spark, path) else 0
+    ready = numbered(rows, last).withColumns({
+        "id": F.col("number"), "query": stored_text(F.col("query"), store_text, F.lit("")), "response": stored_text(F.col("response"), store_text, F.lit(None).cast("string")),
         "error_message": error_message(F.col("error_message")),
     })
     ready.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA.fields]).write.mode("append").parquet(path)
