@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 #: Abbreviations whose period ends no sentence.
 ABBREVIATIONS = frozenset(
@@ -11,6 +12,7 @@ ABBREVIATIONS = frozenset(
 _TOKEN = re.compile(r"\S+")
 #: What may stand between a stop and the blank after it, before a token, and at the beginning of a sentence.
 _CLOSERS, _OPENERS, _STOPS = "\"»”)]", "(«\"“[", ".!?…"
+_LAST = frozenset(_STOPS + _CLOSERS)
 
 
 def _ends_sentence(token: str, leads: bool) -> bool:
@@ -28,13 +30,18 @@ def _ends_sentence(token: str, leads: bool) -> bool:
 
 def sentences(text: str) -> list[str]:
     """One pass over the tokens; a sentence ends between a token that closes one and a token that can open the next."""
-    tokens = list(_TOKEN.finditer(text))
-    starts = [m.start() for m in tokens[:1]]
-    for i, (m, after) in enumerate(zip(tokens, tokens[1:], strict=False)):
-        first = after[0][0]
-        if (first.isupper() or first.isdigit() or first in _OPENERS) and _ends_sentence(m[0], not i):
-            starts.append(after.start())
-    return [text[a:z].strip() for a, z in zip(starts, [*starts[1:], len(text)], strict=True)]
+    tokens = text.split()
+    ends = list(accumulate(map(len, tokens), lambda at, n: at + 1 + n))
+    starts, found = [0], []
+    for i, token in enumerate(tokens[:-1]):
+        if token[-1] in _LAST and ((first := tokens[i + 1][0]).isupper() or first.isdigit() or first in _OPENERS) and _ends_sentence(token, not i):
+            found.append(i + 1)
+    if not ends or ends[-1] == len(text):  # single blanks between tokens, so that places follow from lengths
+        starts += [ends[i - 1] + 1 for i in found]
+    else:
+        places = [m.start() for m in _TOKEN.finditer(text)]
+        starts += [places[i] for i in found]
+    return [s for a, z in zip(starts, [*starts[1:], len(text)], strict=True) if (s := text[a:z].strip())]
 
 
 def pack(parts: list[str], limit: int, glue: str, least: int = 0, most: int | None = None) -> list[str]:
