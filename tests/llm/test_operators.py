@@ -313,7 +313,7 @@ def test_lm_score_is_the_models(spark, docs, at):
             group = p[at_, v.classes[x[0]]] / begin[at_]
             logs.append(math.log((1 - model.spelling) * group * c.get(w, 0) / max(1, v.words[v.classes[x[0]]]) + model.spelling * own / begin[at_] * after))
             at_ += n
-        h = np.array([xxhash.xxh64_intdigest(w, lm.SEED) for w in words], dtype=np.uint64)
+        h = lm.word_hashes(np.concatenate(ids), np.cumsum([0, *map(len, ids)])[:-1])
         starts, marks = lm.passages(h, np.arange(len(words)) == len(words) - 1)
         return [(m, sum(logs[a:z])) for m, a, z in zip(marks.tolist(), starts, [*starts[1:], len(words)])]
 
@@ -327,6 +327,17 @@ def test_lm_score_is_the_models(spark, docs, at):
     assert np.allclose([x for _, x in got], [x for _, x in want], rtol=5e-3, atol=0.02)
 
 
+def test_id_counts_are_those_of_words(spark):
+    path = P.path("byte_bpe_50k.tiktoken")
+    some = [(w, i + 1) for i, w in enumerate(["the", "don't", "x²", "中文", "a-b", "a\u00a0", "\u3000b", "12ab", "ß", ""])] + [(f"w{i}", 2) for i in range(300)]
+    spell = lm.speller(path)
+    for rows in (some, [r for r in some if r[0] and not lm._OTHER_SPACE.search(r[0])]):
+        want = np.zeros(lm.IDS)
+        for w, c in rows:
+            np.add.at(want, np.frombuffer(spell[w.encode()], dtype="<u2"), c)
+        assert (lm.id_counts(spark.createDataFrame(rows, "word string, c long"), path) == want).all()
+
+
 def test_passages_depend_on_their_words_alone():
     rng = np.random.default_rng(4)
     h = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)

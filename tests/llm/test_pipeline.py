@@ -189,3 +189,13 @@ def test_large_groups_lose_no_link(spark):
     roots = spark.createDataFrame([(n, 0) for n in range(1, 37)] + [(39, 38)], "node long, root long")
     pairs = {(r["a"], r["b"]) for r in nearcopies.across(met, roots).collect()}
     assert pairs == {(a, b) for b in (37, 38, 39) for a in range(37)} | {(37, 38), (37, 39)}
+
+
+def test_written_tables_go(spark, tmp_path, monkeypatch):
+    from lexmill.llm import common
+
+    monkeypatch.setattr(common, "_written", [])
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}")
+    assert common.written(spark.range(3), "three").count() == 3 and len(list(tmp_path.iterdir())) == 1
+    common.release(spark)
+    assert not list(tmp_path.iterdir()) and not common._written
