@@ -12,6 +12,7 @@ import numpy as np
 #: The split of the public byte-level vocabularies is
 #: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+PATTERN = rf"{CONTRACTIONS}| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+"
 #: Words remembered by a worker before older ones go.
 CACHE_WORDS = 250_000
 
