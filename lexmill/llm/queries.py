@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import sharding
 from .ann import op7_ann
 from .bpe import op1_bpe
+from .cuckoo import op12_cuckoo
 from .langid import op4_langid
 from .license import op5_license
 from .lm import op2_lm
@@ -14,7 +15,7 @@ from .sharding import op9_sharding
 from .simhash import op8_simhash
 from .tokencount import op10_tokencount
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_lm, op3_quality, op4_langid, op5_license, op6_packing, op7_ann, op8_simhash, op9_sharding, op10_tokencount)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_lm, op3_quality, op4_langid, op5_license, op6_packing, op7_ann, op8_simhash, op9_sharding, op10_tokencount, op12_cuckoo)}
 
 _WHITE = r"[\x20\x09-\x0D]"
 _RULES = QualityRules()
@@ -81,4 +82,8 @@ c as (select doc_id, key, strlen(text) + 1 as size, xor(list_reduce(list_prepend
 p as (select *, {_winner(sharding.tree(8))} as shard, {_winner(sharding.tree(9))} as grown_shard, {_bits("slot", "key || ':' || size || ':' || text_crc32")} % {sharding.BUCKETS} as bucket from c)
 select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by bucket, doc_id, size, text_crc32) - 1 as slot, grown_shard from p"""
 
-ORACLE_SQL: dict[str, str] = {"op3_quality": _OP3, "op9_sharding": _OP9}
+_OP12 = rf"""
+select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size, row_number() over (g order by doc_id) = 1 as kept, text_sha256
+from (select doc_id, sha256(regexp_replace(coalesce(text, ''), '{_WHITE}+', ' ', 'g')) as text_sha256 from documents) window g as (partition by text_sha256)"""
+
+ORACLE_SQL: dict[str, str] = {"op3_quality": _OP3, "op9_sharding": _OP9, "op12_cuckoo": _OP12}
