@@ -11,11 +11,12 @@ from .license import op5_license
 from .lm import op2_lm
 from .packing import op6_packing
 from .quality import BARS, BOILERPLATE, SENTENCE_END, QualityRules, op3_quality
+from .repair import op13_repair
 from .sharding import op9_sharding
 from .simhash import op8_simhash
 from .tokencount import op10_tokencount
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_lm, op3_quality, op4_langid, op5_license, op6_packing, op7_ann, op8_simhash, op9_sharding, op10_tokencount, op12_cuckoo)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_lm, op3_quality, op4_langid, op5_license, op6_packing, op7_ann, op8_simhash, op9_sharding, op10_tokencount, op12_cuckoo, op13_repair)}
 
 _WHITE = r"[\x20\x09-\x0D]"
 _RULES = QualityRules()
@@ -86,4 +87,28 @@ _OP12 = rf"""
 select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size, row_number() over (g order by doc_id) = 1 as kept, text_sha256
 from (select doc_id, sha256(regexp_replace(coalesce(text, ''), '{_WHITE}+', ' ', 'g')) as text_sha256 from documents) window g as (partition by text_sha256)"""
 
-ORACLE_SQL: dict[str, str] = {"op3_quality": _OP3, "op9_sharding": _OP9, "op12_cuckoo": _OP12}
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode({of})), '..'), lambda x: ('0x' || x)::bigint)), lambda a, b: xor(a >> 8, " + _crc_table() + "[(xor(a, b) & 255) + 1])), 4294967295::bigint)"
+
+_OP13 = rf"""
+with recursive t as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_CRC.format(of="coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as fate from conversations),
+d as (select conv_id, turn, if(fate = 4, 'user', role) as role, case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(if(fate = 3, [0, 1], [0])) as copy from t where fate <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) as i from d),
+s as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as again, regexp_extract(text, '([^\x20\x09-\x0D]){_WHITE}*$', 1) as e, substr(role, 1, 1) as x, lag(substr(role, 1, 1)) over (partition by conv_id order by i) as y from o),
+f as (select *, e = '' as blank, e <> '' and again as dup, e <> '' and not again and e not in ('.', '!', '?') as cut from s),
+stat as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (dup) as duplicate, count(*) filter (cut) as truncated, count(*) filter (i > 1 and y || x not in ('su', 'ua', 'au')) as illegal, count(*) as n from f group by conv_id),
+r(state, k, led, leads) as (values (0, 0, 0, []::varchar[]), (0, 1, 2, ['user:']), (0, 2, 3, ['user:', 'assistant:']), (1, 0, 1, []), (1, 1, 2, ['user:']), (1, 2, 3, ['user:', 'assistant:']), (2, 0, 2, []), (2, 1, 3, ['assistant:']), (2, 2, 2, ['assistant:', 'user:']), (3, 0, 3, []), (3, 1, 2, ['user:']), (3, 2, 3, ['user:', 'assistant:'])),
+g(led, x, became) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+e as (select state, k, leads, led as became, 'D' as op, '' as x from r union all select state, k, leads, g.became, 'K', g.x from r join g using (led) union all select state, k, leads, g.became, 'R', g.x from r join g using (led) where g.x <> 's'),
+p as (select conv_id, 0::bigint as i, 0 as state, 0 as cost, '' as audit, []::varchar[] as turns from stat
+  union all
+  (select p.conv_id, f.i, e.became, p.cost + 2 * k + case op when 'D' then 3 when 'R' then 2 + cut::int else cut::int end as c, p.audit || repeat('I', k) || op as a,
+    list_concat(p.turns, leads, case op when 'D' then [] when 'K' then [role || ':' || text] else [if(e.x = 'u', 'user:', 'assistant:') || text] end)
+  from p join f on f.conv_id is not distinct from p.conv_id and f.i = p.i + 1 join e on e.state = p.state and (op = 'D' or not blank and not dup and (op = 'R' or e.x = f.x))
+  qualify row_number() over (partition by p.conv_id, e.became order by c, a) = 1)),
+z as (select p.conv_id, p.cost + 2 * k as cost, audit || repeat('I', k) as audit, list_concat(turns, leads) as turns from p join stat on stat.conv_id is not distinct from p.conv_id and stat.n = p.i join r using (state) where r.led in (0, 3)
+  qualify row_number() over (partition by p.conv_id order by p.cost + 2 * k, audit || repeat('I', k)) = 1)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, sha256(coalesce(array_to_string(turns, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join stat on stat.conv_id is not distinct from c.conv_id left join z on z.conv_id is not distinct from c.conv_id"""
+
+ORACLE_SQL: dict[str, str] = {"op3_quality": _OP3, "op9_sharding": _OP9, "op12_cuckoo": _OP12, "op13_repair": _OP13}
