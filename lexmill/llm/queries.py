@@ -15,8 +15,9 @@ from .repair import op13_repair
 from .sharding import op9_sharding
 from .simhash import op8_simhash
 from .tokencount import op10_tokencount
+from .trie import op11_trie
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_lm, op3_quality, op4_langid, op5_license, op6_packing, op7_ann, op8_simhash, op9_sharding, op10_tokencount, op12_cuckoo, op13_repair)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_lm, op3_quality, op4_langid, op5_license, op6_packing, op7_ann, op8_simhash, op9_sharding, op10_tokencount, op11_trie, op12_cuckoo, op13_repair)}
 
 _WHITE = r"[\x20\x09-\x0D]"
 _RULES = QualityRules()
@@ -111,4 +112,18 @@ select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coales
   coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, sha256(coalesce(array_to_string(turns, chr(10)), '')) as repaired_sha256
 from (select distinct conv_id from conversations) c left join stat on stat.conv_id is not distinct from c.conv_id left join z on z.conv_id is not distinct from c.conv_id"""
 
-ORACLE_SQL: dict[str, str] = {"op3_quality": _OP3, "op9_sharding": _OP9, "op12_cuckoo": _OP12, "op13_repair": _OP13}
+_OP11 = rf"""
+with c as (select conv_id, text, sha256(length(role)::varchar || ':' || role || text) as token, row_number() over (partition by conv_id order by turn nulls first, sha256(length(role)::varchar || ':' || role || text)) as pos
+  from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)),
+k as (select distinct conv_id, conv_id - conv_id % 100 as base, {_CRC.format(of="conv_id::varchar")} % 6 as h from c),
+r as (select k.conv_id, pos, token, text from k join c on c.conv_id = base and pos <= h union all select k.conv_id, pos, token, text from k join c using (conv_id) where pos > h),
+m as (select conv_id, row_number() over (partition by conv_id order by pos) as depth, sha256(string_agg(token, '') over (partition by conv_id order by pos)) as node, length(text) as points from r union all select conv_id, 0, '', 0 from k),
+n as (select node, any_value(depth) as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(points) as points from m group by node),
+p as (select n.*, m.node as parent from n left join m on m.conv_id = n.conv_id and m.depth = n.depth - 1),
+w as (select parent as node, count(*) as n_children from p group by parent),
+e as (select node, string_agg(conv_id::varchar, ',' order by conv_id) as ids from (select conv_id, arg_max(node, depth) as node from m group by conv_id) group by node),
+a as (select m.node, count(*) filter (w.node is null) as n_leaves, sum((n.n_convs - 1) * n.points)::bigint as saved_tokens from n left join w on w.node = n.node join m on m.conv_id = n.conv_id and m.depth <= n.depth group by m.node)
+select p.conv_id, p.depth, up.conv_id as parent_conv_id, p.n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from p left join n up on up.node = p.parent left join w on w.node = p.node left join e on e.node = p.node join a on a.node = p.node"""
+
+ORACLE_SQL: dict[str, str] = {"op3_quality": _OP3, "op9_sharding": _OP9, "op11_trie": _OP11, "op12_cuckoo": _OP12, "op13_repair": _OP13}
