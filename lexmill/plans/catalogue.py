@@ -326,4 +326,4 @@ def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table_fingerprint(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
 
 
-from . import details, statutes  # noqa: E402, F401 - they register their queries
+from . import corpora, details, statutes  # noqa: E402, F401 - they register their queries
