@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -169,7 +170,6 @@ def test_near_copies_by_words(spark):
     prints = [simhash.fingerprint((t or "").encode()) & (2**64 - 1) for t in texts]
     stay = first_of_each(texts)
     assert any(i not in stay and all((p ^ q).bit_count() > 2 for q in prints[:i]) for i, p in enumerate(prints))
-    assert nearcopies.similarity(set(), set()) == 1
 
 
 def test_large_groups_lose_no_link(spark):
@@ -185,10 +185,38 @@ def test_large_groups_lose_no_link(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
     want = first_of_each(texts)
     assert {r["doc_id"] for r in NEAR(spark, docs, DATA).collect()} == want and len(want) < 160
-    met = spark.createDataFrame([(n, 7) for n in range(40)], "node long, band long")
+    met = spark.createDataFrame([(7, 0, False, (100, n, 0)) for n in range(40)], "token long, salt int, frequent boolean, at struct<size: int, node: long, pos: int>")
     roots = spark.createDataFrame([(n, 0) for n in range(1, 37)] + [(39, 38)], "node long, root long")
     pairs = {(r["a"], r["b"]) for r in nearcopies.across(met, roots).collect()}
     assert pairs == {(a, b) for b in (37, 38, 39) for a in range(37)} | {(37, 38), (37, 39)}
+    few = met.filter("at.node < 3")
+    assert nearcopies.across(few, roots.limit(0)).count() == 0 and nearcopies.across(few.withColumn("frequent", F.lit(True)), roots.limit(0)).count() == 3
+
+
+@pytest.mark.parametrize("frequent", [1, 1000])
+def test_any_order_of_tokens_loses_no_link(spark, monkeypatch, frequent):
+    """Most tokens frequent, so that groups are split, or none."""
+    monkeypatch.setattr("lexmill.operators.selfjoin.LEAST", frequent)
+    monkeypatch.setattr(nearcopies, "NEAR", 2)
+    monkeypatch.setattr(nearcopies, "in_sample", lambda key: F.lit(True))
+    rng = random.Random(frequent)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(90):
+        own = list(base)
+        for k in rng.sample(range(120), rng.choice((0, 1, 2, 3, 4, 6))):
+            own[k] = f"x{rng.randint(0, 99)}"
+        texts.append(" ".join(own[rng.randint(0, 3) :]))
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    assert {r["doc_id"] for r in NEAR(spark, docs, DATA).collect()} == first_of_each(texts)
+
+
+def test_bins_never_exclude():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 900, rng.integers(1, 800))) for _ in range(2))
+        x, y = (np.frombuffer(nearcopies.counted(s), dtype="<u2").astype(int) for s in (a, b))
+        assert np.minimum(x, y).sum() >= len(np.intersect1d(a, b))
 
 
 def test_written_tables_go(spark, tmp_path, monkeypatch):
