@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import cache_key, source_label
-from . import dedup, search, tfidf
+from . import dedup, index, lexical, search
 
 NO_EVIDENCE = "No fragment of the corpus is near enough to answer this question."
 #: Finish reasons after which an answer is incomplete, and what is added to it.
@@ -49,55 +51,70 @@ def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count(F.lit(1)).alias("total"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"))
 
 
-#: A stored cache is a folder of snapshots; the newest whole one counts.
+#: A stored cache is a folder of parts; the newest row of a key counts.
 CACHE = "query_hash string, query string, answer string, context string, created_at timestamp"
+#: Parts that are merged into one by the next change.
+PARTS = 32
 
 
 class Cache:
-    """A stored answer cache. Every change writes a new snapshot, so that readers and failed writes never meet a half-written one."""
+    """A stored answer cache. A change adds a part of its own under a new name, so that writers never take each other's place and nothing is written again.
+
+    Parts are added whole (Spark's commit marks them) and merged when there are many. Of equal times the part that was begun later counts."""
 
     def __init__(self, spark: SparkSession, path: str, enabled: bool = True):
         self.spark, self.path, self.enabled = spark, path, enabled
 
-    def _snapshots(self) -> list[str]:
+    def _files(self):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _parts(self) -> list[str]:
         from ..sources.corpus import exists
 
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not exists(self.spark, self.path):
-            return []
-        files = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = sorted(f.getPath().getName() for f in files.listStatus(where))
+        where, files = self._files()
+        names = sorted(f.getPath().getName() for f in files.listStatus(where)) if exists(self.spark, self.path) else []
         return [n for n in names if exists(self.spark, f"{self.path}/{n}/_SUCCESS")]
 
+    def _read(self, parts: list[str]) -> DataFrame:
+        """The newest row of each key in these parts, with the part's time."""
+        read = self.spark.read.schema(f"{CACHE}, part long").parquet(*[f"{self.path}/{n}" for n in parts]) if parts else self.spark.createDataFrame([], f"{CACHE}, part long")
+        return dedup.latest(read, "query_hash", F.desc("created_at"), F.desc("part"), "answer")
+
     def rows(self) -> DataFrame:
-        found = self._snapshots() if self.enabled else []
-        return self.spark.read.schema(CACHE).parquet(f"{self.path}/{found[-1]}") if found else self.spark.createDataFrame([], CACHE)
+        return self._read(self._parts() if self.enabled else []).drop("part")
+
+    def _add(self, rows: DataFrame) -> None:
+        rows.write.parquet(f"{self.path}/{time.time_ns():020}-{uuid.uuid4().hex}")
 
-    def _store(self, rows: DataFrame) -> None:
-        found = self._snapshots()
-        following = int(found[-1]) + 1 if found else 0
-        rows.select(*[f.split()[0] for f in CACHE.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/{following:012}")
+    def _drop(self, parts: list[str]) -> None:
+        where, files = self._files()
+        for name in parts:
+            files.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where, name), True)
 
     def upsert(self, fresh: DataFrame) -> None:
         if self.enabled:
-            self._store(upsert(self.rows(), fresh))
+            names = [f.split()[0] for f in CACHE.split(", ")]
+            self._add(fresh.select(*names, F.lit(time.time_ns()).alias("part")))
+            if len(self._parts()) > PARTS:
+                self.merge()
+
+    def merge(self) -> None:
+        """All parts as one. Readers in between find rows twice, which changes nothing; parts that come meanwhile stay."""
+        parts = self._parts()
+        self._add(self._read(parts))
+        self._drop(parts)
 
     def clear(self) -> None:
-        """Forget all answers: an empty snapshot follows, and older ones are deleted."""
-        self._store(self.spark.createDataFrame([], CACHE))
-        jvm = self.spark.sparkContext._jvm
-        for name in self._snapshots()[:-1]:
-            old = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        """Forget all answers there are now; a disabled cache is left as it is."""
+        if self.enabled:
+            self._drop(self._parts())
 
     def stats(self) -> DataFrame:
         """(total, oldest, newest, enabled, size_mb); zero and null where the cache is disabled. Times are text, to the second."""
-        found = self._snapshots() if self.enabled else []
-        size = 0
-        if found:
-            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{found[-1]}")
-            size = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+        parts = self._parts() if self.enabled else []
+        where, files = self._files()
+        size = sum(files.getContentSummary(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where, n)).getLength() for n in parts)
         each = cache_stats(self.rows()).withColumns({c: shown_time(F.col(c)) for c in ("oldest", "newest")})
         return each.withColumns({"enabled": F.lit(self.enabled), "size_mb": F.round(F.lit(size / 1e6), 2)})
 
@@ -124,24 +141,12 @@ def complete(answer: Column, finish: Column) -> tuple[Column, Column]:
     return F.when(notice.isNull(), answer).otherwise(F.concat(answer, F.lit("\n\n"), notice)), notice.isNull()
 
 
-def ask(spark: SparkSession, questions: DataFrame, docs: DataFrame, cache: DataFrame, ns: str, max_distance: float | None, generate: Callable[[Column], Column]) -> DataFrame:
-    """(question_id, outcome, answer, n_sources): cached answers first; the rest are searched, gated and generated from their context.
-
-    questions: question_id, question. docs: doc_id, text, source. generate: the prompt's answer, as a Column.
-    """
-    asked = lookup(questions, cache, ns)
+def _answered(asked: DataFrame, hits: DataFrame, max_distance: float | None, generate: Callable[[Column], Column]) -> DataFrame:
+    """(question_id, outcome, answer, n_sources) of questions looked up in the cache, with the hits (query_id, rank, distance, text and what names their source) of those it lacks."""
     missed = asked.filter(F.col("answer").isNull()).select("question_id", "question")
-    total = docs.count()
-    doc_terms = tfidf.terms(docs, "doc_id", "text")
-    idf = tfidf.document_frequency(doc_terms, total)
-    held = tfidf.weights(doc_terms, idf, total, "doc_id")
-    wanted = tfidf.weights(tfidf.terms(missed, "question_id", "question"), idf, total, "question_id")
-    hits = tfidf.search(wanted, held, "question_id", "doc_id", search.CANDIDATES).withColumnRenamed("question_id", "query_id")
     judged = search.gate(missed.select(F.col("question_id").alias("query_id")), hits, "cosine", max_distance)
-    passed = hits.join(judged.filter("sufficient").select("query_id"), "query_id", "left_semi").join(docs.select("doc_id", "text", "source"), "doc_id")
-    kept = dedup.context(passed.select("query_id", "doc_id", "rank", "text", "source"), search.WANTED)
-    none = F.lit(None).cast("string")
-    context = prompt_context(kept.withColumns({"citation": none, "source_display": none, "source_kind": none, "heading": none}))
+    passed = hits.join(judged.filter("sufficient").select("query_id"), "query_id", "left_semi")
+    context = prompt_context(dedup.context(passed.select("query_id", "rank", "text", *NAMED), search.WANTED))
     answered = missed.join(context, missed["question_id"] == context["query_id"], "left")
     made = F.col("context").isNotNull()
     prompt = F.concat(F.lit("Context:\n"), F.col("context"), F.lit("\n\nQuestion: "), F.col("question"))
@@ -150,6 +155,32 @@ def ask(spark: SparkSession, questions: DataFrame, docs: DataFrame, cache: DataF
     return cached.unionByName(fresh)
 
 
+#: What a fragment says of its source.
+NAMED = ("source", "citation", "source_display", "source_kind", "heading")
+
+
+def ask(spark: SparkSession, questions: DataFrame, docs: DataFrame, cache: DataFrame, ns: str, max_distance: float | None, generate: Callable[[Column], Column]) -> DataFrame:
+    """(question_id, outcome, answer, n_sources): cached answers first; the rest are searched, gated and generated from their context.
+
+    questions: question_id, question. docs: doc_id, text, source. generate: the prompt's answer, as a Column.
+    """
+    asked = lookup(questions, cache, ns)
+    missed = asked.filter(F.col("answer").isNull()).select("question_id", "question")
+    found = lexical.search(missed.withColumnRenamed("question_id", "query_id"), docs.select("doc_id", "text"), search.CANDIDATES)
+    none = F.lit(None).cast("string")
+    named = found.join(docs.select("doc_id", "text", "source"), "doc_id").withColumns({c: none for c in NAMED[1:]})
+    return _answered(asked, named, max_distance, generate)
+
+
+def ask_index(spark: SparkSession, questions: DataFrame, path: str, cache: DataFrame, ns: str, max_distance: float | None, generate: Callable[[Column], Column], embed: Callable[..., DataFrame], exact: bool = False) -> DataFrame:
+    """As `ask`, over the chunks and vectors of a stored index: fragments have their citation, kind and heading. embed(rows, id, text) gives (id, embedding) as it did for the index."""
+    asked = lookup(questions, cache, ns)
+    missed = asked.filter(F.col("answer").isNull()).select("question_id", "question")
+    vectors = embed(missed, "question_id", "question").withColumnRenamed("question_id", "query_id")
+    hits = index.nearest(spark, path, vectors, search.CANDIDATES, exact).withColumnRenamed("section_heading", "heading")
+    return _answered(asked, hits, max_distance, generate)
+
+
 def document_text(*columns: Column) -> Column:
     """A document's text under any of its names: the first that isn't empty."""
     from ..functions.text import first_present

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as fn
 from ..sources.corpus import Settings, exists, manifest_row, read_texts
-from . import chunking, structured
+from ..sources.shared import written
+from . import chunking, numbering, structured, vectors
 
 #: What a chunk says about itself beside its text.
 METADATA = (
@@ -71,13 +73,9 @@ def repeated(chunks: DataFrame) -> DataFrame:
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
-    """Adds id: doc_0, doc_1 and so on in the order of sources, places and pieces.
-
-    Chunks are numbered inside their source; the counts of sources are added up, so no window holds the corpus."""
-    before = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    starts = chunks.groupBy("n").agg(F.count(F.lit(1)).alias("_n")).select("n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("n").orderBy("pos", "chunk_index")) - 1
-    return chunks.withColumn("_inside", inside).join(starts, "n").withColumn("id", F.concat(F.lit("doc_"), (F.col("_start") + F.col("_inside")).cast("string"))).drop("_start", "_inside")
+    """Adds id: doc_0, doc_1 and so on in the order of sources, places and pieces."""
+    placed = numbering.numbered(chunks, "n", "pos", "chunk_index", name="_number")
+    return placed.withColumn("id", F.concat(F.lit("doc_"), F.col("_number").cast("string"))).drop("_number")
 
 
 def checked(chunks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -97,34 +95,107 @@ def resolved(path: str, base: str) -> str:
     return path if path.startswith("/") or "://" in path else f"{base.rstrip('/')}/{path}"
 
 
-def corpus_docs(spark: SparkSession, entries: list[dict], base: str = ".") -> DataFrame:
-    """The manifest's sources with their whole texts."""
-    full = [manifest_row(e) | {"n": n, "file": resolved(e["path"], base)} for n, e in enumerate(entries)]
-    keys = ("n", "file", "source", "source_display", "source_kind", "doc_type", "chunker", "citation")
-    listed = spark.createDataFrame([tuple(e[k] for k in keys) for e in full], "n long, file string, source string, source_display string, source_kind string, doc_type string, chunker string, citation string")
-    bare = lambda c: F.regexp_replace(c, "^[a-z]+:/+|^/+", "")
-    texts = read_texts(spark, [e["file"] for e in full]).select(bare(F.col("path")).alias("file"), "text").distinct()
+def _listed(entries: list[dict], base: str) -> list[dict]:
+    return [manifest_row(e) | {"n": n, "file": resolved(e["path"], base)} for n, e in enumerate(entries)]
+
+
+_FACTS = ("source", "source_display", "source_kind", "doc_type", "chunker", "citation")
+
+
+def _bare(path: Column) -> Column:
+    return F.regexp_replace(path, "^[a-z]+:/+|^/+", "")
+
+
+def corpus_docs(spark: SparkSession, entries: list[dict], base: str = ".", places: list[int] | None = None) -> DataFrame:
+    """The manifest's sources, or those at some places, with their whole texts."""
+    full = [e for e in _listed(entries, base) if places is None or e["n"] in places]
+    keys = ("n", "file", *_FACTS)
+    listed = spark.createDataFrame([tuple(e[k] for k in keys) for e in full], "n long, file string, " + ", ".join(f"{f} string" for f in _FACTS))
+    if not full:
+        return listed.drop("file").withColumn("text", F.lit(""))
+    texts = read_texts(spark, sorted({e["file"] for e in full})).select(_bare(F.col("path")).alias("file"), "text")
     # An empty file gives no row; a missing one has failed by then.
-    return listed.withColumn("file", bare(F.col("file"))).join(texts, "file", "left").drop("file").withColumn("text", F.coalesce("text", F.lit("")))
+    return listed.withColumn("file", _bare(F.col("file"))).join(texts, "file", "left").drop("file").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def fingerprints(spark: SparkSession, entries: list[dict], base: str = ".", settings: Settings = Settings()) -> DataFrame:
+    """(n, source, fingerprint) of the manifest's sources: SHA-256 over what the manifest says of one, the settings of chunks, and the content, hashed where it is."""
+    full = _listed(entries, base)
+    sizes = f"{settings.chunk_size}|{settings.chunk_overlap}|{settings.min_chunk_len}"
+    listed = spark.createDataFrame([(e["n"], e["source"], e["file"], "\u0001".join([*(e[f] for f in _FACTS), sizes])) for e in full], "n long, source string, file string, facts string")
+    files = spark.read.format("binaryFile").load(sorted({e["file"] for e in full})).select(_bare(F.col("path")).alias("file"), F.sha2("content", 256).alias("digest"))
+    known = listed.withColumn("file", _bare(F.col("file"))).join(files, "file", "left")
+    return known.select("n", "source", F.sha2(F.concat_ws("\u0001", "facts", F.coalesce("digest", F.lit(""))), 256).alias("fingerprint"))
+
+
+def _put(spark: SparkSession, path: str, fill: Callable[[str], None]) -> None:
+    """Have a folder filled beside path and renamed to it when whole; of a failed one nothing stays."""
+    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        fill(staged)
+        files.delete(target, True)  # what was there, a failed build's or another tool's
+        if not files.rename(source, target):
+            raise OSError(f"{staged} could not be renamed to {path}")
+    finally:
+        files.delete(source, True)
+
 
+def _fill(spark: SparkSession, staged: str, chunks: DataFrame, docs: DataFrame, known: DataFrame, facts: tuple, embed: Callable[[DataFrame], DataFrame] | None) -> None:
+    """Write an index of chunks, check them as they are there, and its info last."""
+    numbered(chunks).write.parquet(f"{staged}/chunks")
+    stored = checked(spark.read.parquet(f"{staged}/chunks"), docs)
+    known.write.parquet(f"{staged}/sources")
+    if embed is not None:
+        vectors.build(embed(stored.select("id", "text")), f"{staged}/vectors", "id")
+    name, *rest = facts
+    spark.createDataFrame([(name, stored.count(), *rest)], INFO).write.parquet(f"{staged}/_info")
 
-def load_corpus(spark: SparkSession, entries: list[dict], path: str, base: str = ".", settings: Settings = Settings(), metric: str = "cosine") -> DataFrame:
-    """The index of a corpus at `path`, built unless it is there: chunks are checked and written beside it, and renamed when whole."""
+
+def _facts(path: str, metric: str, settings: Settings) -> tuple:
+    return path, metric, settings.embedding_model, settings.chunk_size, settings.chunk_overlap, settings.min_chunk_len
+
+
+def load_corpus(spark: SparkSession, entries: list[dict], path: str, base: str = ".", settings: Settings = Settings(), metric: str = "cosine", embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The index of a corpus at `path`, built unless it is there: chunks are written beside it once, checked as they are there, and renamed when whole.
+
+    `embed` gives (id, embedding) of chunks (id, text); with it the index has vectors that `nearest` searches."""
     if not exists(spark, f"{path}/_info"):
         docs = corpus_docs(spark, entries, base)
-        staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-        numbered(checked(chunk_corpus(docs, settings), docs)).write.parquet(f"{staged}/chunks")
-        n = spark.read.parquet(f"{staged}/chunks").count()
-        spark.createDataFrame([(path, n, metric, settings.embedding_model, settings.chunk_size, settings.chunk_overlap, settings.min_chunk_len)], INFO).write.parquet(f"{staged}/_info")
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files.delete(target, True)  # what a failed build or another tool may have left
-        if not files.rename(jvm.org.apache.hadoop.fs.Path(staged), target):
-            raise OSError(f"{staged} could not be renamed to {path}")
+        known = fingerprints(spark, entries, base, settings)
+        _put(spark, path, lambda staged: _fill(spark, staged, chunk_corpus(docs, settings), docs, known, _facts(path, metric, settings), embed))
     return spark.read.parquet(f"{path}/chunks")
 
 
+def update_corpus(spark: SparkSession, entries: list[dict], path: str, base: str = ".", settings: Settings = Settings(), metric: str = "cosine", embed: Callable[[DataFrame], DataFrame] | None = None) -> list[str]:
+    """Bring the index at `path` to the manifest as it is now and say which sources were cut anew: only those that are new or whose text, facts or sizes have changed.
+
+    Chunks of other sources are taken over, wherever the source now stands; ids are dense again, as those of a full build. An index from nothing is built whole."""
+    if not exists(spark, f"{path}/_info"):
+        load_corpus(spark, entries, path, base, settings, metric, embed)
+        return [e["source"] for e in entries]
+    now = written(fingerprints(spark, entries, base, settings), "fingerprints")
+    before = spark.read.parquet(f"{path}/sources").withColumnRenamed("n", "old_n")
+    places = now.join(before, ["source", "fingerprint"], "left").select("n", "old_n", "source").orderBy("n").collect()  # as long as the manifest, which the driver has
+    changed = [r for r in places if r["old_n"] is None]
+    if not changed and [r["old_n"] for r in places] == list(range(before.count())):
+        return []
+    docs = corpus_docs(spark, entries, base, [r["n"] for r in changed])
+    moved = spark.createDataFrame([(r["old_n"], r["n"]) for r in places if r["old_n"] is not None], "n long, new_n long")
+    taken = spark.read.parquet(f"{path}/chunks").drop("id").join(F.broadcast(moved), "n").withColumn("n", F.col("new_n")).drop("new_n")
+    chunks = written(taken.unionByName(chunk_corpus(docs, settings)), "chunks")  # read before what it reads is replaced
+    _put(spark, path, lambda staged: _fill(spark, staged, chunks, docs, now, _facts(path, metric, settings), embed))
+    return [r["source"] for r in changed]
+
+
+def nearest(spark: SparkSession, path: str, questions: DataFrame, k: int, exact: bool = False) -> DataFrame:
+    """(query_id, distance, rank) with the chunk's id, text and METADATA: the k nearest chunks of questions (query_id, embedding) in the index at `path`."""
+    found = vectors.VectorIndex(spark, f"{path}/vectors").search(questions, k, exact=exact)
+    return found.join(spark.read.parquet(f"{path}/chunks").select("id", "text", *(f"`{c}`" for c, _ in METADATA)), "id")
+
+
 INFO = "name string, count long, metric string, embedding_model string, chunk_size int, chunk_overlap int, min_chunk_len int"
 
 

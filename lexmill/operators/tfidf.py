@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stems
+from ..sources.shared import written
 
 DIMENSIONS = 4096
 #: Tiles of documents in a search.
@@ -63,3 +64,16 @@ def search(queries: DataFrame, docs: DataFrame, query: str, doc: str, k: int) ->
     scored = met.groupBy("tile", query, doc).agg(F.round(1 - F.sum(F.col("qw") * F.col("w")), 6).alias("distance")).drop("tile")
     by = Window.partitionBy(query).orderBy("distance", doc)
     return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+
+
+class Embedder:
+    """The lexical embedding as vectors of DIMENSIONS, with the document frequencies of the texts it was made for."""
+
+    def __init__(self, texts: DataFrame, id: str = "id", text: str = "text"):
+        self.total = texts.count()
+        self.idf = written(document_frequency(terms(texts, id, text), self.total), "idf")
+
+    def __call__(self, texts: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
+        """(id, embedding)"""
+        found = weights(terms(texts, id, text), self.idf, self.total, id, True)
+        return vectors(found, texts, id).withColumnRenamed("vector", "embedding")

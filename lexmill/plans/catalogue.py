@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import answers, chunking, dedup, evaluate, journal, sanitize, search, tfidf
+from ..operators import answers, chunking, dedup, evaluate, journal, lexical, sanitize, search, tfidf
 from ..sources import corpus
 
 QUERIES: dict = {}
@@ -166,11 +166,7 @@ def tfidf_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, sf_dir: str, bucketed: bool, k: int = search.CANDIDATES) -> DataFrame:
-    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    total, held = docs.count(), tfidf.terms(docs, "doc_id", "text")
-    idf = tfidf.document_frequency(held, total)
-    wanted = tfidf.weights(tfidf.terms(asked, "item_id", "text"), idf, total, "item_id", bucketed)
-    return tfidf.search(wanted, tfidf.weights(held, idf, total, "doc_id", bucketed), "item_id", "doc_id", k)
+    return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k, "item_id", "text", bucketed=bucketed)
 
 
 @query(f"""with {_TERMS}, qt as (select item_id, stem, count(*) as tf from (select item_id, unnest({_STEMS.format('text')}) as stem from benchmark) group by all),
@@ -182,9 +178,25 @@ def tfidf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir, False).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
+def crc_sql(of: str) -> str:
+    """CRC-32 of a text in DuckDB: 256 remainders by its rule (eight times, halve, and add the polynomial where a bit falls out), then a fold over bytes."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    byte = f"list_transform(regexp_extract_all(hex(encode({of})), '..'), lambda x: ('0x' || x)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {byte}), lambda a, b: xor(a >> 8, ({table}::bigint[])[(xor(a, b) & 255) + 1])), 4294967295::bigint)"
+
+
+@query(f"""with {_TERMS}, qt as (select item_id, stem, count(*) as tf from (select item_id, unnest({_STEMS.format('text')}) as stem from benchmark) group by all),
+b as (select stem, {crc_sql('stem')} % {tfidf.DIMENSIONS - 1} as term from (select stem from df union select stem from qt)),
+dw as (select doc_id, term, sum((1 + ln(tf)) * idf) as w from dt join df using (stem) join b using (stem) group by all), dn as (select doc_id, sqrt(sum(w * w)) as norm from dw group by doc_id),
+qw as (select item_id, term, sum((1 + ln(tf)) * coalesce(idf, ln(1 + n.n) + 1)) as w from qt left join df using (stem) join b using (stem), n group by all), qn as (select item_id, sqrt(sum(w * w)) as norm from qw group by item_id),
+s as (select item_id, doc_id, round(1 - sum(qw.w * dw.w / qn.norm / dn.norm), 6) as distance from qw join qn using (item_id) join dw using (term) join dn using (doc_id) group by all)
+select item_id, doc_id, distance, rank from (select *, row_number() over (partition by item_id order by distance, doc_id) as rank from s) where rank <= 15""")
 def tfidf_search_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lexical(spark, sf_dir, True)
+    return _lexical(spark, sf_dir, True).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query()
@@ -321,7 +333,11 @@ def sanitize_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", sanitize.sanitize_html(F.col("html")).alias("clean"))
 
 
-@query()
+_ROW = "sha256(coalesce(doc_id::varchar, chr(2)) || chr(1) || coalesce(text, chr(2)) || chr(1) || coalesce(source, chr(2)))"
+
+
+@query(f"""with r as (select {_ROW} as h from documents), s as (select count(*) as n, {', '.join(f"sum(('0x' || substr(h, {1 + 12 * i}, 12))::bigint)::varchar as p{i}" for i in range(4))} from r)
+select n, sha256(n || '|' || p0 || '|' || p1 || '|' || p2 || '|' || p3) as fingerprint from s""")
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table_fingerprint(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import selfjoin
-from .catalogue import query, table
+from ..operators import search, selfjoin, vectors
+from ..sources.shared import own_path
+from .catalogue import _KNN, _hits, query, table
 
 _LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -21,3 +22,28 @@ select s.doc_id, class_id, class_size, coalesce(n_links, 0) as n_links, coalesce
 def near_dup_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of equal shingle sets and its links to classes of a similarity of 0.8 or more."""
     return selfjoin.linked(table(spark, sf_dir, "documents"))
+
+
+@query(f"with {_KNN} select query_id, vec_id, round(distance, 6) as distance, rank from hits")
+def index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest by a stored index that goes on until nothing nearer is left."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = vectors.build(rows, own_path(spark, "index"))
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = index.search(asked, search.CANDIDATES, exact=True)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""with q as (select vec_id, embedding::double[] as v from embeddings where vec_id % 20 = 0)
+select q.vec_id as query_id, 15 as hits, 0 as wrong_distances, true as reached from q""")
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index as it is searched by default, against all rows: hits of each query, hits whose distance isn't the exact one, and whether 0.9 of all neighbours are found."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = vectors.build(rows, own_path(spark, "index"))
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = index.search(asked, search.CANDIDATES)
+    true = _hits(spark, sf_dir).select("query_id", F.col("vec_id").alias("id"), F.col("distance").alias("exact"))
+    both = found.join(true, ["query_id", "id"], "left")
+    share = both.agg((F.count("exact") / F.count(F.lit(1))).alias("share")).first()["share"]
+    each = both.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("hits"), F.count_if(F.abs(F.col("distance") - F.col("exact")) > 2e-9).cast("int").alias("wrong_distances"))
+    return each.withColumn("reached", F.lit(share >= 0.9))

@@ -116,3 +116,82 @@ def distinct_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = structured.federal_law(_law(_turns(spark, sf_dir))).withColumn("source", F.concat(F.lit("conversation "), F.col("doc_id").cast("string")))
     none = F.lit(None).cast("string")
     return index.anchors(blocks.withColumns({"point": none, "position": none}))
+
+
+#: A list as an article: two short items, then one of three long sub-items, and so on.
+_ITEMS = rf"""{_TURNS}, i as (select conv_id, k, k % 3 = 0 as big, k || ') ' || rtrim(short) as line, rtrim(substr(repeat(short || ' ', 30), 1, 500)) as long from t),
+n as (select conv_id, max(k) as n from i group by conv_id),
+c as (select conv_id, k as o, k::varchar as item, array_extract(['а', 'б', 'в'], u) as sub, k || ') Состав:' || chr(10) || array_extract(['а', 'б', 'в'], u) || ') ' || long as body from i, unnest([1, 2, 3]) as x(u) where big
+union all select conv_id, min(k), case when count(*) = 1 then min(k)::varchar else min(k) || '–' || max(k) end, null, string_agg(line, chr(10) order by k) from i where not big group by conv_id, (k - 1) // 3),
+w as (select *, row_number() over (partition by conv_id order by o, sub) - 1 as chunk_index, count(*) over (partition by conv_id) as chunk_count from c)"""
+
+
+@query(rf"""with {_ITEMS}, named as (select conv_id, chunk_index, chunk_count, case when n > 2 then item end as item, case when n > 2 then sub end as subitem, body from w join n using (conv_id))
+select conv_id, chunk_index::int as chunk_index, chunk_count::int as chunk_count, item, subitem, 'art.1/part.1' || coalesce('/item.' || item, '') || coalesce('/sub.' || subitem, '') as anchor,
+'Разговор ' || conv_id || ', ст. 1, ч. 1' || coalesce(', п. ' || item, '') || coalesce(', пп. ' || subitem, '') as citation, 'Статья 1. Перечень — ч. 1' || coalesce(', п. ' || item, '') || coalesce(', пп. ' || subitem, '') as label,
+md5('1. Условия таковы:' || chr(10) || body) as digest from named""")
+def law_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and sub-items of a part that exceeds a chunk: groups, their ranges, the lead that is said again, narrow labels and citations."""
+    turns = _turns(spark, sf_dir)
+    long = F.rtrim(F.substring(F.repeat(F.concat("short", F.lit(" ")), 30), 1, 500))
+    big = F.concat_ws("\n", _k("", ") Состав:"), *[F.concat(F.lit(f"{x}) "), long) for x in "абв"])
+    docs = _docs(turns, "Статья 1. Перечень\n1. Условия таковы:\n", F.when(F.col("k") % 3 == 0, big).otherwise(F.concat(_k("", ") "), F.rtrim("short"))))
+    made = structured.chunks(docs.withColumns({"source_display": F.col("prefix"), "source_kind": F.lit("law")}), "federal_law")
+    return made.select(F.col("doc_id").alias("conv_id"), "chunk_index", "chunk_count", "item", "subitem", "anchor", "citation", "label", F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
+_FORM = "Правительство постановляет:\n1. Утвердить форму.\n\nПриложение N 3\nк постановлению\n\nФОРМА ТРЕБОВАНИЯ\nДанные сторон\n"
+
+
+@query(rf"""with {_TURNS}, p as (select conv_id, k::varchar as point, 'p.' || k as place, k || '. ' || x as lines, 'п. ' || k as said from t
+union all select distinct conv_id, null, 'head', 'ФОРМА ТРЕБОВАНИЯ' || chr(10) || 'Данные сторон', 'начало формы (реквизиты)' from t
+union all select distinct conv_id, null, 'tail', 'Уполномоченное лицо' || chr(10) || '1. Подпись', 'подпись и сноски' from t)
+select conv_id, 'payment_demand_form/app.3/' || place as anchor, point, 'payment_demand_form' as form, 3 as appendix,
+'Приложение N 3. Форма требования об уплате денежной суммы по независимой гарантии — ' || said as label, 'Разговор ' || conv_id || ', прил. 3, форма требования об уплате, ' || said as citation, md5(lines) as digest from p
+union all select distinct conv_id, 'resolution/p.1', '1', null, 0, 'Постановление — п. 1', 'Разговор ' || conv_id || ', постановление, п. 1', md5('Правительство постановляет:' || chr(10) || '1. Утвердить форму.') from t""")
+def form_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A form in an appendix: the appendix's own lines are dropped, its head, points and signed tail are blocks."""
+    docs = _docs(_turns(spark, sf_dir), _FORM, F.concat(_k("", ". "), F.col("x"))).withColumn("text", F.concat("text", F.lit("\nУполномоченное лицо\n1. Подпись")))
+    return _shown(structured.government_resolution(docs).withColumn("appendix", F.coalesce("appendix", F.lit(0))), "point", "form", "appendix", "label", "citation")
+
+
+#: Titles of acts, one for each rule and one for none, with what they are: title, slug, whether it is a form, label, short label.
+_TITLES = (
+    ("ПОЛОЖЕНИЕ", "regulation", False, "Положение о независимых гарантиях", ""),
+    ("ПЕРЕЧЕНЬ ДОКУМЕНТОВ", "document_list", False, "Перечень документов, представляемых заказчиком гаранту", "перечень документов"),
+    ("ДОПОЛНИТЕЛЬНЫЕ ТРЕБОВАНИЯ", "requirements", False, "Дополнительные требования к независимой гарантии", "дополнительные требования"),
+    ("ПРАВИЛА ФОРМИРОВАНИЯ И ВЕДЕНИЯ ЗАКРЫТОГО РЕЕСТРА", "closed_registry_rules", False, "Правила формирования и ведения закрытого реестра независимых гарантий", "правила закрытого реестра"),
+    ("ПРАВИЛА ВЕДЕНИЯ И РАЗМЕЩЕНИЯ СВЕДЕНИЙ", "registry_rules", False, "Правила ведения и размещения реестра независимых гарантий", "правила ведения реестра"),
+    ("ТИПОВАЯ ФОРМА ДЛЯ ЗАЯВКИ", "bid_guarantee_form", True, "Типовая форма независимой гарантии (обеспечение заявки)", "типовая форма обеспечения заявки"),
+    ("ТИПОВАЯ ФОРМА ДЛЯ ИСПОЛНЕНИЯ ДОГОВОРА", "contract_guarantee_form", True, "Типовая форма независимой гарантии (обеспечение исполнения договора)", "типовая форма обеспечения исполнения договора"),
+    ("ТИПОВАЯ ФОРМА ДЛЯ ИСПОЛНЕНИЯ КОНТРАКТА", "contract_guarantee_form", True, "Типовая форма независимой гарантии (обеспечение исполнения контракта)", "типовая форма обеспечения исполнения контракта"),
+    ("ФОРМА ТРЕБОВАНИЯ", "payment_demand_form", True, "Форма требования об уплате денежной суммы по независимой гарантии", "форма требования об уплате"),
+    ("ТРЕБОВАНИЕ ПО ЗАЯВКЕ", "bid_demand_form", True, "Форма требования об уплате (обеспечение заявки)", "форма требования (обеспечение заявки)"),
+    ("ТРЕБОВАНИЕ ОБ ИСПОЛНЕНИИ", "contract_demand_form", True, "Форма требования об уплате (обеспечение исполнения контракта)", "форма требования (обеспечение исполнения контракта)"),
+    ("СПИСОК", "annex", False, "СПИСОК", "список"),
+)
+_ACT_ROWS = ", ".join(f"({i}, '{t}', '{slug}', {form}, '{name}', '{short}')" for i, (t, slug, form, name, short) in enumerate(_TITLES))
+
+
+@query(rf"""with {_TURNS}, a(i, title, slug, is_form, name, short) as (values {_ACT_ROWS}), d as (select t.conv_id, k, x, a.* exclude (short), a.short as brief from t join a on a.i = t.conv_id % {len(_TITLES)}),
+p as (select *, k::varchar as point, '/p.' || k as place, ' — п. ' || k as said, ', п. ' || k as cited, case when k = 1 and not is_form then title || chr(10) else '' end || k || '. ' || x as lines from d
+union all select distinct on (conv_id) *, null, '/head', ' — начало формы (реквизиты)', ', начало формы (реквизиты)', title from d where is_form)
+select conv_id, slug || place as anchor, point, case when is_form then slug end as form, case when slug <> 'regulation' then name end as section, name || said as label,
+'Разговор ' || conv_id || case when brief <> '' then ', ' || brief else '' end || cited as citation, md5(lines) as digest from p
+union all select distinct conv_id, 'resolution/p.1', '1', null, 'Постановление', 'Постановление — п. 1', 'Разговор ' || conv_id || ', постановление, п. 1', md5('Правительство постановляет:' || chr(10) || '1. Утвердить.') from t""")
+def act_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approved acts of every kind, known by their titles."""
+    title = F.element_at(F.array(*[F.lit(t) for t, *_ in _TITLES]), (F.col("doc_id") % len(_TITLES) + 1).cast("int"))
+    points = _docs(_turns(spark, sf_dir), "", F.concat(_k("", ". "), F.col("x")))
+    text = F.concat(F.lit("Правительство постановляет:\n1. Утвердить.\n\nУТВЕРЖДЕНЫ\nпостановлением N 7\n\n"), title, F.lit("\n\n"), "text")
+    return _shown(structured.government_resolution(points.withColumn("text", text)), "point", "form", "section", "label", "citation")
+
+
+@query(rf"""with {_TURNS} select conv_id, 'pos.' || k as anchor, k::int as position, 'Позиция ' || k || '. Сказано ' || k || ' раз.' as label, 'РАЗДЕЛ' as section,
+md5(k || '. Сказано ' || k || ' раз. Далее следует.' || chr(10) || x || chr(10) || '1. Это не позиция.') as digest from t
+union all select distinct conv_id, 'preamble', 0, 'Вводная часть обзора', 'вводная часть', md5('Обзор разговора') from t""")
+def inline_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions that are numbered in their line: numbers that don't exceed those before are text; the thesis is a label's first sentence."""
+    number = F.col("k").cast("string")
+    docs = _docs(_turns(spark, sf_dir), "Обзор разговора\nРАЗДЕЛ\n", F.concat(number, F.lit(". Сказано "), F.col("k").cast("string"), F.lit(" раз. Далее следует.")), F.col("x"), F.lit("1. Это не позиция."))
+    return _shown(structured.court_review(docs).withColumn("position", F.coalesce("position", F.lit(0))), "position", "label", "section")

@@ -59,7 +59,7 @@ def test_other_errors(spark, tmp_path):
     assert index.metric(spark.createDataFrame([("x", "dot")], "name string, metric string")).first()["metric"] is None
 
 
-def test_stored_cache(spark, tmp_path):
+def test_stored_cache(spark, tmp_path, monkeypatch):
     cache = answers.Cache(spark, str(tmp_path / "cache"))
     assert cache.rows().count() == 0 and cache.stats().first()["total"] == 0
     row = lambda key, answer, hour: (key, "q", answer, None, dt.datetime(2024, 1, 1, hour))
@@ -72,8 +72,24 @@ def test_stored_cache(spark, tmp_path):
     off = answers.Cache(spark, str(tmp_path / "cache"), enabled=False)
     off.upsert(made(row("c", "x", 4)))
     assert off.stats().first().asDict() == {"total": 0, "oldest": None, "newest": None, "enabled": False, "size_mb": 0.0}
+    off.clear()
+    assert cache.rows().count() == 2
+    other = answers.Cache(spark, str(tmp_path / "cache"))  # two writers that have read the same state lose nothing
+    first, second = cache.rows(), other.rows()
+    cache.upsert(first.limit(0).union(made(row("d", "one", 5), row("f", "early", 5))))
+    other.upsert(second.limit(0).union(made(row("e", "two", 5), row("f", "late", 5))))
+    want = {("a", "new"), ("b", "kept"), ("d", "one"), ("e", "two"), ("f", "late")}
+    assert {(r["query_hash"], r["answer"]) for r in cache.rows().collect()} == want and len(cache._parts()) == 4
+    cache.merge()
+    assert {(r["query_hash"], r["answer"]) for r in other.rows().collect()} == want and len(cache._parts()) == 1
+    monkeypatch.setattr(answers, "PARTS", 2)
+    for hour in (6, 7, 8):
+        cache.upsert(made(row("a", f"at {hour}", hour)))
+    assert len(cache._parts()) <= 2 and cache.rows().filter("query_hash = 'a'").first()["answer"] == "at 8" and cache.rows().count() == 5
+    (tmp_path / "cache" / "99999999999999999999-broken").mkdir()  # a write that failed
+    assert cache.rows().count() == 5
     cache.clear()
-    assert cache.rows().count() == 0 and len(list((tmp_path / "cache").iterdir())) == 1
+    assert cache.rows().count() == 0 and cache.stats().first()["size_mb"] == 0
 
 
 def test_contexts_go_and_come_back(spark):
@@ -87,3 +103,40 @@ def test_dense_vectors(spark):
     terms = tfidf.terms(docs, "id", "text")
     found = {r["id"]: r["vector"] for r in tfidf.vectors(tfidf.weights(terms, tfidf.document_frequency(terms, 2), 2, "id", True), docs, "id").collect()}
     assert abs(sum(x * x for x in found[1]) - 1) < 1e-12 and found[3] == [0.0] * 4095 + [1.0]
+
+
+def test_update_cuts_only_what_changed(spark, tmp_path, monkeypatch):
+    """The same chunks and ids as a full build, whatever changes; sources that stay aren't read by a chunker."""
+    listed, path = entries(tmp_path), str(tmp_path / "index")
+    index.load_corpus(spark, listed, path, str(tmp_path))
+    cut = []
+    plain_cut = index.chunk_corpus
+    monkeypatch.setattr(index, "chunk_corpus", lambda docs, *rest: cut.append(sorted(r[0] for r in docs.select("source").collect())) or plain_cut(docs, *rest))
+
+    def same(expected):
+        cut.clear()
+        assert index.update_corpus(spark, listed, path, str(tmp_path)) == expected
+        assert [x for c in cut for x in c] == sorted(expected)
+        full = index.load_corpus(spark, listed, str(tmp_path / f"full{len(list(tmp_path.iterdir()))}"), str(tmp_path)).drop("pos")
+        now = spark.read.parquet(f"{path}/chunks").select(full.columns)
+        assert sorted(map(str, now.collect())) == sorted(map(str, full.collect()))
+        assert index.stats(spark, path).first()["count"] == now.count()
+
+    same([])
+    (tmp_path / "law.txt").write_text(LAW + "\n2. Новая часть.")
+    same(["law"])
+    listed[2]["citation"] = "другая"
+    same(["notes"])
+    listed.reverse()
+    same([])
+    (tmp_path / "more.txt").write_text("Ещё одна заметка.")
+    listed.insert(1, {"path": "more.txt", "source": "more", "source_display": "M", "chunker": "generic"})
+    same(["more"])
+    del listed[0]
+    same([])
+    (tmp_path / "law.txt").write_text("Просто текст.")
+    with pytest.raises(index.StructureError, match="no units"):
+        index.update_corpus(spark, listed, path, str(tmp_path))
+    (tmp_path / "law.txt").write_text(LAW + "\n2. Новая часть.")
+    same([])
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("index.")]
