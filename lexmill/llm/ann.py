@@ -30,6 +30,8 @@ from .common import embeddings, written
 #: Curves, projected dimensions and bits of each.
 CURVES, DIMENSIONS, BITS = 48, 10, 4
 WINDOW_SHARE, WINDOW_POWER, LEAST_WINDOW = 0.08, 5 / 6, 64
+#: Windows of a range partition at least.
+WINDOWS = 8
 #: How many times k rows of each query are reranked exactly.
 KEEP = 2
 #: Vectors whose keys are computed at a time.
@@ -171,24 +173,29 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id: str = "vec_id", v
         return spark.createDataFrame([], "query long, neighbours array<struct<score:double,id:long>>")
     good = good.filter(F.size("v") == facts["d"])
     norm, spread = float(np.sqrt(facts["top"])), float(np.sqrt(facts["mean"] / facts["d"]))
-    copies = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    index = written(good.select("id", "v").withColumn("copy", copies).filter(F.col("copy") <= k + 1).drop("copy"), "indexed")
-    asked = written(good.filter("is_query").groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), "asked")
-    both = index.withColumn("asks", F.lit(False)).union(asked.withColumn("asks", F.lit(True)))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Rows are told apart by a number, not by their id, from one written table on.
+    good = written(good.withColumn("row", F.monotonically_increasing_id()), "rows")
+    copies = F.row_number().over(Window.partitionBy("v").orderBy("id", "row"))
+    index = written(good.select("row", "id", "v").withColumn("copy", copies).filter(F.col("copy") <= k + 1).drop("copy"), "indexed")
+    asked = written(good.filter("is_query").groupBy("v").agg(F.min("row").alias("row")).select("row", "v"), "asked")
+    both = index.select(F.col("row").alias("id"), "v", F.lit(False).alias("asks")).union(asked.select(F.col("row").alias("id"), "v", F.lit(True).alias("asks")))
+    wide = window or max(LEAST_WINDOW, int(WINDOW_SHARE * facts["n"] ** WINDOW_POWER))
+    # Windows end where partitions do, so a partition has several.
+    partitions = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), CURVES * facts["n"] // (WINDOWS * wide)))
     by = ["curve", "key", "mark"]
     ordered = placed(both, norm, spread).repartitionByRange(partitions, *by).sortWithinPartitions(*by)
-    wide = window or max(LEAST_WINDOW, int(WINDOW_SHARE * facts["n"] ** WINDOW_POWER))
     met = best_in_windows(ordered, wide, KEEP * k + 1)
     # The same pair may come from several curves; a query's own row and its copies take places of their own.
     ranked = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("about"), "id"))
     about = met.groupBy("query", "id").agg(F.max("about").alias("about")).withColumn("rank", ranked).filter(F.col("rank") <= KEEP * k + 1)
-    pairs = about.select("query", "id").join(index.select("id", F.col("v").alias("x")), "id").join(asked.select(F.col("id").alias("query"), F.col("v").alias("y")), "query")
+    rows_of = index.select(F.col("row").alias("id"), F.col("id").alias("vec_id"), F.col("v").alias("x"))
+    pairs = about.select("query", "id").join(rows_of, "id").join(asked.select(F.col("row").alias("query"), F.col("v").alias("y")), "query")
     score = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    lists = pairs.select("query", "id", score.alias("score")).groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("near"))
-    answers = asked.select(F.col("id").alias("query"), "v").join(lists, "query").select("v", "near")
-    own = good.filter("is_query").select(F.col("id").alias("query"), "v").join(answers, "v")
-    others = F.slice(F.filter("near", lambda x: x["id"] != F.col("query")), 1, k)
+    near = F.struct((-score).alias("s"), F.col("vec_id").alias("id"), F.col("id").alias("row"))
+    lists = pairs.select("query", near.alias("near")).groupBy("query").agg(F.sort_array(F.collect_list("near")).alias("near"))
+    answers = asked.select(F.col("row").alias("query"), "v").join(lists, "query").select("v", "near")
+    own = good.filter("is_query").select(F.col("id").alias("query"), "row", "v").join(answers, "v")
+    others = F.slice(F.filter("near", lambda x: x["row"] != F.col("row")), 1, k)
     return own.select("query", F.transform(others, lambda x: F.struct((-x["s"]).alias("score"), x["id"].alias("id"))).alias("neighbours"))
 
 
