@@ -140,12 +140,15 @@ def fitting(pairs: DataFrame) -> DataFrame:
 
 
 def in_line(met: DataFrame) -> DataFrame:
-    """Pairs of nodes that meet at a token: each with the first and the NEAR before it, in parts of a frequent token with the first of all."""
+    """Pairs of nodes that meet at a token: each with the first there and the NEAR before it, in parts of a frequent token also with the first of all.
+
+    First is where the token comes first: a text with few shingles of its own is the likeliest to be similar to others."""
     by = Window.partitionBy("token", "salt")
-    partners = F.array(F.min("at").over(by), *[F.lag("at", i).over(by.orderBy("at")) for i in range(1, NEAR + 1)])
+    order = F.struct(F.col("at")["pos"], F.col("at")["size"], F.col("at")["node"])
+    partners = F.array(F.min_by("at", order).over(by), *[F.lag("at", i).over(by.orderBy(order)) for i in range(1, NEAR + 1)])
     near = met.withColumn("partners", F.array_compact(F.array_distinct(partners))).select(F.explode("partners").alias("x"), F.col("at").alias("y"))
     often = met.filter("frequent")
-    first = often.groupBy("token").agg(F.min("at").alias("x"))
+    first = often.groupBy("token").agg(F.min_by("at", order).alias("x"))
     return fitting(near.union(often.join(first, "token").select("x", F.col("at").alias("y"))))
 
 
