@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -44,8 +45,9 @@ def _keep(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
 
 
 def alike(text: str, kept: str) -> bool:
-    """Matching-block ratio, candidate first. The length bound is sound: no ratio can exceed it."""
-    if 2 * min(len(text), len(kept)) / (len(text) + len(kept)) < MIN_RATIO:
+    """Matching-block ratio, candidate first. The bounds by length and by common characters are sound: no ratio can exceed them."""
+    size = len(text) + len(kept)
+    if 2 * min(len(text), len(kept)) / size < MIN_RATIO or 2 * (Counter(text) & Counter(kept)).total() / size < MIN_RATIO:
         return False
     return SequenceMatcher(None, text, kept).ratio() >= MIN_RATIO
 

@@ -31,12 +31,17 @@ class StructureError(ValueError):
     """A source isn't what its chunker reads, or its chunks can't be told apart."""
 
 
+def _named(docs: DataFrame) -> list[str]:
+    """The chunkers that sources name, no more of them than make an error."""
+    return [r[0] for r in docs.select("chunker").distinct().orderBy("chunker").limit(len(structured.CHUNKERS) + 2).collect()]
+
+
 def chunk_corpus(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(n, pos, text, body, METADATA...) of sources (n, text, source, source_display, source_kind, doc_type, chunker, citation).
 
     n is a source's place in the manifest. Unknown chunkers are an error; sources without the units of their chunker are found by `broken`.
     """
-    names = [r[0] for r in docs.select("chunker").distinct().orderBy("chunker").limit(len(structured.CHUNKERS) + 2).collect()]
+    names = _named(docs)
     if unknown := [x for x in names if x not in (*structured.CHUNKERS, "generic")]:
         raise StructureError(f"unknown chunker {unknown[0]!r}; known: {sorted((*structured.CHUNKERS, 'generic'))}")
     facts = docs.select(F.col("n").alias("doc_id"), "source", "source_display", "source_kind", "doc_type", "citation")
@@ -59,8 +64,8 @@ def chunk_corpus(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def broken(docs: DataFrame) -> DataFrame:
     """(n, source, chunker) of sources in which their structured chunker finds none of its units, or units without text."""
-    out = []
-    for name in structured.CHUNKERS:
+    out = [docs.select("n", "source", "chunker").filter(F.lit(False))]
+    for name in (x for x in _named(docs) if x in structured.CHUNKERS):
         own = docs.filter(F.col("chunker") == name)
         cited = own.select(F.col("n").alias("doc_id"), "text", F.col("citation").alias("prefix"))
         out.append(structured.unstructured(cited, name).join(own.select(F.col("n").alias("doc_id"), "n", "source", "chunker"), "doc_id").select("n", "source", "chunker"))

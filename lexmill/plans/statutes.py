@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import index, structured
+from ..sources.shared import own_path
 from .catalogue import query, table
 
 #: A conversation's turns with a text, numbered from 1; every third is said eight times over, so that it exceeds a chunk.
@@ -119,7 +120,7 @@ def distinct_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A list as an article: two short items, then one of three long sub-items, and so on.
-_ITEMS = rf"""{_TURNS}, i as (select conv_id, k, k % 3 = 0 as big, k || ') ' || rtrim(short) as line, rtrim(substr(repeat(short || ' ', 30), 1, 500)) as long from t),
+_ITEMS = rf"""{_TURNS}, i as (select conv_id, k, k % 3 = 0 as big, k || ') ' || rtrim(short) as line, rtrim(substr(repeat(rtrim(short) || ' ', 30), 1, 500)) as long from t),
 n as (select conv_id, max(k) as n from i group by conv_id),
 c as (select conv_id, k as o, k::varchar as item, array_extract(['а', 'б', 'в'], u) as sub, k || ') Состав:' || chr(10) || array_extract(['а', 'б', 'в'], u) || ') ' || long as body from i, unnest([1, 2, 3]) as x(u) where big
 union all select conv_id, min(k), case when count(*) = 1 then min(k)::varchar else min(k) || '–' || max(k) end, null, string_agg(line, chr(10) order by k) from i where not big group by conv_id, (k - 1) // 3),
@@ -133,7 +134,7 @@ md5('1. Условия таковы:' || chr(10) || body) as digest from named""
 def law_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items and sub-items of a part that exceeds a chunk: groups, their ranges, the lead that is said again, narrow labels and citations."""
     turns = _turns(spark, sf_dir)
-    long = F.rtrim(F.substring(F.repeat(F.concat("short", F.lit(" ")), 30), 1, 500))
+    long = F.rtrim(F.substring(F.repeat(F.concat(F.rtrim("short"), F.lit(" ")), 30), 1, 500))
     big = F.concat_ws("\n", _k("", ") Состав:"), *[F.concat(F.lit(f"{x}) "), long) for x in "абв"])
     docs = _docs(turns, "Статья 1. Перечень\n1. Условия таковы:\n", F.when(F.col("k") % 3 == 0, big).otherwise(F.concat(_k("", ") "), F.rtrim("short"))))
     made = structured.chunks(docs.withColumns({"source_display": F.col("prefix"), "source_kind": F.lit("law")}), "federal_law")
@@ -195,3 +196,23 @@ def inline_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("k").cast("string")
     docs = _docs(_turns(spark, sf_dir), "Обзор разговора\nРАЗДЕЛ\n", F.concat(number, F.lit(". Сказано "), F.col("k").cast("string"), F.lit(" раз. Далее следует.")), F.col("x"), F.lit("1. Это не позиция."))
     return _shown(structured.court_review(docs).withColumn("position", F.coalesce("position", F.lit(0))), "position", "label", "section")
+
+
+@query(f"""with {_TURNS}, r as (select conv_id, k * 2 + u as o, 'art.' || k || '/part.' || u as anchor, u || '. ' || case u when 1 then rtrim(short) else role end as body from (select *, unnest([1, 2]) as u from t))
+select 'doc_' || (row_number() over (order by conv_id, o) - 1) as id, 'conversation ' || conv_id as source, anchor, md5(body) as digest, conv_id % 5 = 0 as cut_anew, count(*) over () as stored from r""")
+def corpus_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files of a manifest: an index is loaded, a fifth of the files change, and only these are cut anew."""
+    docs = _law(_turns(spark, sf_dir), "short")
+    before = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("\nstill a draft"))).otherwise(F.col("text")))
+    path = own_path(spark, "corpus")
+    for version in (before, docs):
+        base = own_path(spark, "files")
+        version.select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").text(base)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(base)
+        found = files.select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("n"), F.regexp_extract("path", r"(doc_id=\d+/[^/]+)$", 1).alias("file")).orderBy("n").collect()  # the manifest
+        named = lambda n: {"source": f"conversation {n}", "source_display": f"Разговор {n}", "source_kind": "law", "chunker": "federal_law"}
+        anew = index.update_corpus(spark, [{"path": r["file"], **named(r["n"])} for r in found], path, base)
+    cut = spark.createDataFrame([(s,) for s in anew] or [("",)], "source string").withColumn("anew", F.lit(True))
+    chunks = spark.read.parquet(f"{path}/chunks").join(cut, "source", "left")
+    stored = index.stats(spark, path).first()["count"]
+    return chunks.select("id", "source", "anchor", F.md5(F.col("body").cast("binary")).alias("digest"), F.coalesce("anew", F.lit(False)).alias("cut_anew"), F.lit(stored).alias("stored"))
