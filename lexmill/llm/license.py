@@ -24,25 +24,61 @@ BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache",
 #: Words of further notices.
 NOTICE_PHRASES = {
     "gnu lesser general public license": "lgpl",
+    "gnu library general public license": "lgpl",
     "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
     "mozilla public license": "mpl",
     "eclipse public license": "epl",
+    "common public license": "cpl",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "boost software license": "bsl",
+    "academic free license": "afl",
+    "open software license": "osl",
+    "artistic license": "artistic",
+    "sil open font license": "ofl",
+    "microsoft public license": "ms-pl",
+    "python software foundation license": "psf",
+    "postgresql license": "postgresql",
+    "university of illinois ncsa open source license": "ncsa",
     "creative commons attribution": "cc-by",
+    "cc0 1 0 universal": "cc0",
+    "bsd license": "bsd",
+    "isc license": "isc",
+    "zlib license": "zlib",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "redistribution and use in source and binary forms": "bsd",
     "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib",
     "this is free and unencumbered software released into the public domain": "unlicense",
+    "everyone is permitted to copy and distribute verbatim or modified copies of this license document": "wtfpl",
     "licensed under the apache license": "apache",
+    "distributed under the boost software license": "bsl",
 }
 TAG = "spdx license identifier"
-#: Families of licence identifiers by how they begin; a longer beginning comes before a shorter.
-FAMILIES = {"agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "apache": "apache", "mit": "mit", "bsd": "bsd", "mpl": "mpl", "epl": "epl", "isc": "isc", "unlicense": "unlicense", "cc0": "cc0", "cc-by": "cc-by"}
-COPYLEFT = {"gpl", "lgpl", "agpl", "mpl", "epl"}
+#: Families of licence identifiers by how they begin; a version or variant may follow. A longer beginning comes before a shorter.
+FAMILIES = {
+    "0bsd": "bsd", "aal": "aal", "afl": "afl", "agpl": "agpl", "aladdin": "aladdin", "apache": "apache", "apsl": "apsl", "artistic": "artistic", "beerware": "beerware", "blueoak": "blueoak", "bsd": "bsd", "bsl": "bsl",
+    "busl": "busl", "bzip2": "bzip2", "cc-by-nc-nd": "cc-by-nc", "cc-by-nc-sa": "cc-by-nc", "cc-by-nc": "cc-by-nc", "cc-by-nd": "cc-by-nd", "cc-by-sa": "cc-by-sa", "cc-by": "cc-by", "cc0": "cc0", "cddl": "cddl",
+    "cecill-b": "cecill-b", "cecill-c": "cecill", "cecill": "cecill", "cpal": "cpal", "cpl": "cpl", "curl": "curl", "ecl": "ecl", "efl": "efl", "elastic": "elastic", "entessa": "entessa", "epl": "epl", "eupl": "eupl",
+    "fsfap": "fsfap", "ftl": "ftl", "gfdl": "gfdl", "gpl": "gpl", "hpnd": "hpnd", "icu": "icu", "ijg": "ijg", "intel": "intel", "ipl": "ipl", "isc": "isc", "json": "json", "lgpl": "lgpl", "libpng": "libpng", "libtiff": "libtiff",
+    "lppl": "lppl", "miros": "miros", "mit-0": "mit", "mit": "mit", "mpl": "mpl", "ms-pl": "ms-pl", "ms-rl": "ms-rl", "mulanpsl": "mulanpsl", "ncsa": "ncsa", "npl": "npl", "ntp": "ntp", "odbl": "odbl", "odc-by": "odc-by",
+    "ofl": "ofl", "openssl": "openssl", "osl": "osl", "pddl": "pddl", "php": "php", "postgresql": "postgresql", "psf": "psf", "python": "psf", "qpl": "qpl", "ruby": "ruby", "sleepycat": "sleepycat", "sspl": "sspl", "tcl": "tcl",
+    "unicode": "unicode", "unlicense": "unlicense", "upl": "upl", "vim": "vim", "w3c": "w3c", "wtfpl": "wtfpl", "x11": "mit", "xnet": "mit", "zend": "zend", "zlib": "zlib", "zpl": "zpl",
+}
+#: Families whose terms pass on to derived works or restrict use.
+COPYLEFT = {
+    "agpl", "aladdin", "apsl", "busl", "cc-by-nc", "cc-by-nd", "cc-by-sa", "cddl", "cecill", "cpal", "cpl", "elastic", "epl", "eupl", "gfdl", "gpl", "ipl", "lgpl", "mpl", "ms-rl", "npl", "odbl", "osl", "qpl", "sleepycat", "sspl",
+}
 PRIORITY = {"or": 1, "and": 2, "with": 3}
 
 #: Lower-cases and turns ASCII other than letters and digits into blanks.
 _WORDS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER_BYTES)
-_TAG_LINE = re.compile(rb"spdx[^a-z0-9]license[^a-z0-9]identifier[ \t]*:?[ \t]*([^\r\n]*)")
+_WORD = re.compile(rb"[^ ]+")
+_AFTER_TAG = re.compile(rb"[^\r\n:a-z0-9]*(:?)[ \t]*([^\r\n]*)")
+_VARIANT = re.compile(r"v?[0-9][0-9.]*([-+].*)?|[-+].*|")
 _TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+\-]*")
 
 
@@ -79,7 +115,7 @@ def postfix(tokens: list[str]) -> list[str] | None:
 
 
 def family(identifier: str) -> str:
-    return next((label for start, label in FAMILIES.items() if identifier == start or identifier.startswith((start + "-", start + "+"))), "other")
+    return next((label for start, label in FAMILIES.items() if identifier.startswith(start) and _VARIANT.fullmatch(identifier[len(start) :])), "other")
 
 
 def complete(tokens: list[str]) -> int:
@@ -133,18 +169,36 @@ def automaton():
     return out
 
 
+def after(text: bytes, joined: str, ends: list[int]) -> Iterator[tuple[bool, str]]:
+    """What stands in the line behind the words that end at these places of the joined words, in lower case, and whether a colon parts it."""
+    if ends:
+        wanted, at, n = [], 0, 0
+        for end in ends:  # they come in order
+            n += joined.count(" ", at, end)
+            at = end
+            wanted.append(n)
+        lowered, places = text.translate(LOWER_BYTES), iter(wanted)
+        place = next(places)
+        for i, word in enumerate(_WORD.finditer(text.translate(_WORDS)), 1):
+            while i == place:
+                found = _AFTER_TAG.match(lowered, word.end())
+                yield bool(found[1]), found[2].decode(errors="replace").strip()
+                place = next(places, -1)
+
+
 def scan(text: bytes, found) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, permissive) of one text."""
     words = text.translate(_WORDS).split()
     joined = f" {b' '.join(words).decode()} "
     base: set[str] = set()
     labels: set[str] = set()
-    n_base, first, last, at, word, score, tagged = 0, None, None, 0, 0, 0.0, False
+    n_base, first, last, at, word, score = 0, None, None, 0, 0, 0.0
     starts: list[int] = []
+    tags: list[int] = []
     for end, entries in found.iter(joined):
         for kind, label, length in entries:
             if kind == "tag":
-                tagged = True
+                tags.append(end)  # the blank after the tag's last word
                 continue
             labels.add(label)
             score = max(score, 0.6 if kind == "base" else 0.8)
@@ -157,14 +211,15 @@ def scan(text: bytes, found) -> tuple:
         at = start
         first, last = (word - 1 if first is None else first), word - 1
     expressions, permissive = [], None
-    if tagged:
-        for match in _TAG_LINE.finditer(text.translate(LOWER_BYTES)):
-            written = match[1].decode(errors="replace").strip()
-            if (got := evaluate(written)) is not None:
-                labels |= got[0]
-                permissive = got[1] if permissive is None else permissive and got[1]
-                score = 1.0
-                expressions.append(written)
+    for rest in after(text, joined, tags):
+        colon, written = rest
+        got = evaluate(written)
+        # Without a colon it may be prose about tags: it counts if all of it is known.
+        if got is not None and (colon or "other" not in got[0]):
+            labels |= got[0]
+            permissive = got[1] if permissive is None else permissive and got[1]
+            score = 1.0
+            expressions.append(written)
     return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, expressions, permissive
 
 
