@@ -27,28 +27,28 @@ BLOCK, QUERY_TERMS, MOST_STEMS = 2048, 1_000_000, 2_000_000
 SLACK = 2e-6
 
 
-def hashed_stems(text: Column, bucketed: bool) -> Column:
-    """A text's stems as (h, b): hash, and bucket if terms are buckets."""
-    bucket = lambda s: (F.crc32(s.cast("binary")) % (tfidf.DIMENSIONS - 1)).cast("int") if bucketed else F.lit(0)
-    return F.transform(stems(F.coalesce(text, F.lit(""))), lambda s: F.struct(F.xxhash64(s).alias("h"), bucket(s).alias("b")))
+def stem_hash(stem: Column, bucketed: bool) -> Column:
+    """64 bits of a stem; where terms are buckets the last ones are its bucket."""
+    hashed = F.xxhash64(stem)
+    return hashed.bitwiseAND(F.lit(~(tfidf.DIMENSIONS - 1))).bitwiseOR(F.crc32(stem.cast("binary")) % (tfidf.DIMENSIONS - 1)) if bucketed else hashed
 
 
 @dataclass
 class Lexicon:
-    """Sorted hashes of stems with their idf and, where terms are buckets, their bucket."""
+    """Sorted hashes of stems with their idf, and whether terms are buckets."""
 
     hashes: np.ndarray
     idf: np.ndarray
-    buckets: np.ndarray | None
+    bucketed: bool
 
     def weighed(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(terms, unit weights) of a document's stems."""
         stems_, tf = np.unique(found, return_counts=True)
         at = np.searchsorted(self.hashes, stems_)
         w = (1 + np.log(tf)) * self.idf[at]
-        terms = stems_ if self.buckets is None else self.buckets[at]
-        if self.buckets is not None:
-            terms, own = np.unique(terms, return_inverse=True)
+        terms = stems_
+        if self.bucketed:
+            terms, own = np.unique(stems_ & (tfidf.DIMENSIONS - 1), return_inverse=True)
             w = np.bincount(own, weights=w)
         return terms, w / np.sqrt((w * w).sum())
 
@@ -153,12 +153,12 @@ def search(queries: DataFrame, docs: DataFrame, k: int, query: str = "query_id",
     """(query, doc, distance, rank) of the k documents of least cosine distance that share a term, ties to the smaller id.
 
     Weights are those of `tfidf.weights`. Query ids must differ."""
-    read = written(docs.select(doc, hashed_stems(F.col(text), bucketed).alias("stems")), "stems")
-    total = read.count()
-    counts = read.select(F.explode(F.array_distinct("stems")).alias("s")).groupBy(F.col("s.h").alias("hash")).agg(F.count(F.lit(1)).alias("df"), F.first("s.b").alias("bucket"))
+    hashes = F.transform(stems(F.coalesce(F.col(text), F.lit(""))), lambda s: stem_hash(s, bucketed))
+    held = written(docs.select(doc, hashes.alias("stems")), "stems")
+    total = held.count()
+    counts = held.select(F.explode(F.array_distinct("stems")).alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
     counts = written(counts.withColumn("idf", F.log((1 + F.lit(float(total))) / (1 + F.col("df"))) + 1), "lexicon")
-    held = read.select(doc, F.col("stems.h").alias("stems"))
-    known = written(tfidf.terms(queries, query, question).withColumn("hash", F.xxhash64("stem")), "asked")
+    known = written(tfidf.terms(queries, query, question).withColumn("hash", stem_hash(F.col("stem"), bucketed)), "asked")
     if counts.count() > MOST_STEMS:
         terms = tfidf.terms(docs, doc, text)
         idf = tfidf.document_frequency(terms, total)
@@ -169,7 +169,7 @@ def search(queries: DataFrame, docs: DataFrame, k: int, query: str = "query_id",
     wanted = written(wanted.withColumn("term", F.col("term").cast("long") if bucketed else F.xxhash64("term")), "wanted")
     table = counts.orderBy("hash").toArrow()  # MOST_STEMS at most
     spark = docs.sparkSession
-    lexicon = spark.sparkContext.broadcast(Lexicon(table.column("hash").to_numpy(), table.column("idf").to_numpy(), table.column("bucket").to_numpy() if bucketed else None))
+    lexicon = spark.sparkContext.broadcast(Lexicon(table.column("hash").to_numpy(), table.column("idf").to_numpy(), bucketed))
     types = {f.name: f.dataType.simpleString() for f in [*wanted.schema.fields, *held.schema.fields]}
     found = None
     for queries_ in tiles(wanted, query):

@@ -17,7 +17,9 @@ def numbered(rows: DataFrame, *order: str, name: str = "number", first: int = 0)
     Rows are sorted over ranges and written with their place in their range; only the ranges' counts are added up, on the driver, one number a task."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    salted = rows.select(F.struct("*").alias("_row"), *order, F.monotonically_increasing_id().alias("_salt"))  # equal rows may lie in several ranges
+    ranged = salted.repartitionByRange(parts, *order, "_salt").sortWithinPartitions(*order)
+    placed = written(ranged.select("_row", F.monotonically_increasing_id().alias("_at")), "numbered")
     part = F.shiftright("_at", _INSIDE)
     starts, total = [], first
     for r in sorted(placed.groupBy(part.alias("_part")).count().collect()):
@@ -25,4 +27,5 @@ def numbered(rows: DataFrame, *order: str, name: str = "number", first: int = 0)
         total += r["count"]
     known = spark.createDataFrame(starts, "_part long, _start long")
     inside = F.col("_at").bitwiseAND(F.lit((1 << _INSIDE) - 1))
-    return placed.withColumn("_part", part).join(F.broadcast(known), "_part").withColumn(name, F.col("_start") + inside).drop("_at", "_part", "_start")
+    found = placed.withColumn("_part", part).join(F.broadcast(known), "_part")
+    return found.select("_row.*", (F.col("_start") + inside).alias(name))

@@ -52,7 +52,7 @@ def knn(rows: DataFrame, queries: Column, k: int = CANDIDATES, id: str = "vec_id
     good = sound.filter(F.size(vector) == (size["d"] if size else 0)).select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v"), queries.alias("asks"))
     sizes = good.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     r_tiles, q_tiles = (max(1, -(-n // TILE)) for n in sizes)
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    deal = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")  # noqa: E731 - by rows, so that a repeated id is in many tiles
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = good.filter("asks").select("id", "v", deal(q_tiles).alias("q_tile"), all_of(r_tiles).alias("r_tile"))
     held = good.select("id", "v", deal(r_tiles).alias("r_tile"), all_of(q_tiles).alias("q_tile"))
