@@ -111,7 +111,8 @@ class Model:
         flat = np.concatenate([rows[i] for i in order])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         cell = np.min_scalar_type(len(self.languages))
-        back = np.zeros((len(flat), len(self.languages)), dtype=cell)
+        # Where a path comes from, a bit for each word and language, and the language that a switch at a word comes from.
+        stays, tops = np.zeros((len(flat), -(-len(self.languages) // 8)), dtype=np.uint8), np.zeros(len(flat), dtype=cell)
         best = self.scores[flat[starts]]
         steps = int(lengths[0])
         active = np.searchsorted(-lengths, -np.arange(steps), side="left")
@@ -122,14 +123,15 @@ class Model:
             top = prior.argmax(axis=1)
             switched = prior[np.arange(n), top][:, None] - SWITCH_PENALTY
             stay = prior >= switched
-            back[starts[:n] + t] = np.where(stay, np.arange(prior.shape[1]), top[:, None])
+            stays[starts[:n] + t], tops[starts[:n] + t] = np.packbits(stay, axis=1), top
             end[:n] = np.where(stay, prior, switched) + self.scores[flat[starts[:n] + t]]
         at = end.argmax(axis=1)
         path = np.zeros(len(flat), dtype=cell)
         path[starts + lengths - 1] = at
         for t in range(steps - 1, 0, -1):
             n = active[t]
-            at[:n] = back[starts[:n] + t, at[:n]]
+            here, now = starts[:n] + t, at[:n]
+            at[:n] = np.where(stays[here, now >> 3] >> (7 - (now & 7)) & 1, now, tops[here])
             path[starts[:n] + t - 1] = at[:n]
         out: list = [None] * len(rows)
         for k, i in enumerate(order):
@@ -234,6 +236,8 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def langid_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language that holds at least half of their words, learned from the stage's own labelled rows.
 
-    Texts that are null or without a letter go, and all do where no row has a label; nulls in other columns stay."""
+    Texts that are null or without a letter go, and all do where no row has a label; nulls in other columns stay. Very long texts are labelled whole. Of languages that
+    tie the first label by name is taken. Repeated rows count as often as they are there and are judged alike. An empty table stays empty. Columns that are named as
+    the operator's results keep their own values."""
     model = learn(docs.filter(~held_out(F.col("doc_id"), 3, 1)))
     return unboxed(identify(boxed(docs, "text"), model).filter("lang_pred <> 'und' and score >= 0.5"), docs)

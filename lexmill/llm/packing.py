@@ -181,7 +181,10 @@ def pack(docs: DataFrame, path: str, targets: dict[str | None, float] | None = N
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, null texts and sources included, at their natural shares."""
+    """All documents, null texts and sources included, at their natural shares.
+
+    Very long texts are cut freely over sequences; repeated rows and ids are documents of their own. Inside a window sources stand by name. An empty table gives no
+    piece. Other columns don't matter, whatever their names."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("ids")

@@ -143,6 +143,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, with the failed lines removed from their text and n_chars counted anew. Null and empty texts go; nulls in other columns stay."""
+    """Documents that pass, with the failed lines removed from their text and n_chars counted anew.
+
+    Null and empty texts go; nulls in other columns stay. Very long texts are judged whole, line by line; repeated rows are judged each and alike, and no row depends on
+    another, so there are no ties. An empty table stays empty. Columns that are named as the operator's results keep their own values."""
     text = F.col("cleaned_text")
     return unboxed(quality(boxed(docs, "text")).filter("kept"), docs, text=text, n_chars=F.length(text).cast("long"))

@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from .common import LOWER_BYTES, as_bytes, boxed, documents, slices, unboxed, written
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
+#: Fingerprints that are joined by broadcast, 16 bytes each; any other has less than one row of so many.
+FREQUENT = 10_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -103,7 +105,15 @@ def grouped(rows: DataFrame, least: str, fp: str = "fp") -> DataFrame:
     return of.join(of.groupBy("root").agg(F.min(least).alias("_least")), "root").select(fp, F.col("_least").alias(least)).union(distinct.join(of.select(fp), fp, "left_anti").select(fp, least))
 
 
+def placed(rows: DataFrame, of: DataFrame, fp: str = "fp") -> DataFrame:
+    """rows with the columns of `of`, one row for each fingerprint: the most frequent fingerprints, such as that of texts without words, without a shuffle."""
+    often = rows.groupBy(fp).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").orderBy(F.desc("_n"), fp).limit(FREQUENT).select(fp)
+    hot = written(of.join(F.broadcast(often), fp), "frequent")
+    left = rows.join(F.broadcast(hot.select(fp)), fp, "left_anti")
+    return rows.join(F.broadcast(hot), fp).unionByName(left.join(of, fp))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = written(fingerprints(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "fp"), "fingerprints")
-    of = grouped(docs, "doc_id").withColumnRenamed("doc_id", "component_id")
-    return docs.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = written(grouped(docs, "doc_id").withColumnRenamed("doc_id", "component_id"), "grouped")
+    return placed(docs, of).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
