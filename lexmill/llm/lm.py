@@ -14,13 +14,12 @@ With M the share of training passages that repeat an earlier one:
 
     P(passage) = (1 - M) * product of P(word) + (c - 1) / (all training passages)
 
-Counts of words, ids and passages cover all training texts. Ids' company is gathered and the attention trained on a SHARE of
-all training texts, FEWEST at least: the driver starts on about FIRST_TEXTS of them, then every task goes on with its own texts, and
-Spark averages the tasks' weights by their windows, so that what is seen grows with the corpus. Words with a share of HOT_SHARE for each 32
-bytes, which hold 32 MB in all at most, are looked up where texts are; the others meet their counts in a join.
+Counts of words, ids and passages, ids' company and the attention's weights come from every training text: the driver starts on some windows
+of about FIRST_TEXTS of them, then every task goes on with all windows of its own texts, and Spark averages the tasks' weights by their windows.
+Words with a share of HOT_SHARE for each 32 bytes, which hold 32 MB in all at most, are looked up where texts are; the others meet their counts in a join.
 
 Null and empty texts have the end token only. Null ids count as the empty text where ids decide what to learn from. Repeated rows are
-scored each, and equal rows enter a sample once. Without training texts counts are zero, the attention model predicts alike classes, and words are only
+learned and scored each. Without training texts counts are zero, the attention model predicts alike classes, and words are only
 spelled. Very long texts are many windows and passages. Empty tables give empty results; other columns than doc_id and text don't matter, whatever their names.
 """
 
@@ -46,7 +45,7 @@ GROUPS, BEGIN_TIERS, OTHER_TIERS, EMBEDDED = 8, 3, 5, 1024
 #: Ids whose frequency in a text describes its company.
 ANCHORS = 48
 HOT_SHARE = 1e-6
-SHARE, FEWEST, FIRST_TEXTS, FIRST_WINDOWS = 1 / 64, 4000, 3000, 8
+FIRST_TEXTS, FIRST_WINDOWS = 3000, 8
 STEPS, BATCH, RATE, LATER_RATE = 600, 64, 0.01, 0.002
 END, START, IDS = 50256, 50257, 50258
 #: A passage ends after one word in so many; passages with at least this share of all are joined by broadcast, of which there can't be more than 1 / HOT_MARKS.
@@ -159,16 +158,17 @@ class Attention:
         w, d = self.w, WIDTH
         near = self.v.embedded[inputs]
         x = w["e"][near] + w["p"]
-        late = x[:, WINDOW - STRIDE :]
-        q, k, v = late @ w["q"], x @ w["k"], x @ w["v"]
+        late = np.ascontiguousarray(x[:, WINDOW - STRIDE :])
+        of = lambda m, name: (m.reshape(-1, m.shape[-1]) @ w[name]).reshape(*m.shape[:-1], -1)  # noqa: E731 - one product for all windows
+        q, k, v = of(late, "q"), of(x, "k"), of(x, "v")
         a = q @ k.transpose(0, 2, 1)
-        a *= 1 / np.sqrt(d)
+        a *= np.float32(1 / np.sqrt(d))
         a += MASK
         np.exp(np.minimum(a, 80, out=a), out=a)
         a /= a.sum(axis=2, keepdims=True)
         seen = a @ v
-        y = late + seen @ w["o"]
-        return near, x, q, k, v, a, seen, y, y @ w["c"] + w["b"]
+        y = late + of(seen, "o")
+        return near, x, q, k, v, a, seen, y, of(y, "c") + w["b"]
 
     def tables(self) -> dict[str, np.ndarray]:
         """The products of weights that scoring gathers by id and by position, so that it multiplies less."""
@@ -232,24 +232,27 @@ class Attention:
         """Of the mean loss, by each weight."""
         w, d = self.w, WIDTH
         near, x, q, k, v, a, seen, y, logits = self.forward(inputs)
-        t = targets
-        g = np.exp(logits - logits.max(axis=2, keepdims=True))
-        g /= g.sum(axis=2, keepdims=True)
-        i, j = np.nonzero(t >= 0)
-        g[i, j, self.v.classes[t[i, j]]] -= 1
-        g *= (t >= 0)[..., None] / np.float32(max(1, len(i)))
         flat = lambda m: m.reshape(-1, m.shape[-1])
+        g, t = flat(logits), targets.ravel()
+        g -= g.max(axis=1, keepdims=True)
+        np.exp(g, out=g)
+        known = np.flatnonzero(t >= 0)
+        scale = (t >= 0) / np.float32(max(1, len(known)))
+        g *= (scale / (g @ np.ones(g.shape[1], dtype=np.float32)))[:, None]
+        g[known, self.v.classes[t[known]]] -= np.float32(1 / max(1, len(known)))
         dy = g @ w["c"].T
-        dseen = dy @ w["o"].T
+        dseen = (dy @ w["o"].T).reshape(seen.shape)
         da = dseen @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) / np.sqrt(d).astype(np.float32)
-        dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dseen
-        late = x[:, WINDOW - STRIDE :]
-        dx = dk @ w["k"].T + dv @ w["v"].T
-        dx[:, WINDOW - STRIDE :] += dy + dq @ w["q"].T
-        de = np.zeros_like(w["e"])
-        np.add.at(de, near.ravel(), flat(dx))
-        return {"e": de, "p": dx.sum(axis=0), "q": flat(late).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "o": flat(seen).T @ flat(dy), "c": flat(y).T @ flat(g), "b": flat(g).sum(axis=0)}
+        da -= (da * a).sum(axis=2, keepdims=True)
+        da *= a
+        da *= np.float32(1 / np.sqrt(d))
+        dq, dk, dv = flat(da @ k), flat(da.transpose(0, 2, 1) @ q), flat(a.transpose(0, 2, 1) @ dseen)
+        dx = (dk @ w["k"].T + dv @ w["v"].T).reshape(x.shape)
+        dx[:, WINDOW - STRIDE :] += (dy + dq @ w["q"].T).reshape(y.shape)
+        late = flat(np.ascontiguousarray(x[:, WINDOW - STRIDE :]))
+        cells = near.ravel().astype(np.int64)[:, None] * d + np.arange(d)
+        de = np.bincount(cells.ravel(), dx.ravel(), w["e"].size).astype(np.float32).reshape(w["e"].shape)
+        return {"e": de, "p": dx.sum(axis=0), "q": late.T @ dq, "k": flat(x).T @ dk, "v": flat(x).T @ dv, "o": flat(seen).T @ dy, "c": flat(y).T @ g, "b": g.sum(axis=0)}
 
 
 class Adam:
@@ -321,28 +324,26 @@ def spelled(text: bytes, of) -> np.ndarray:
     return np.frombuffer(b"".join(map(of, [*text.translate(LOWER_BYTES).split(), b""])), dtype="<u2")
 
 
-def sampled(learned: DataFrame, texts: int, most: float) -> DataFrame:
-    """(h, text): about `most` texts of so many, chosen by a hash of id and text; equal rows are one."""
-    h = F.xxhash64("doc_id", "text")
-    chosen = learned.filter(F.pmod(h, F.lit(1 << 20)) < int((1 << 20) * min(1.0, most / max(1, texts))))
-    return chosen.groupBy(h.alias("h")).agg(F.first("text").alias("text"))
-
-
 def company(texts: DataFrame, path: str, anchors: np.ndarray) -> np.ndarray:
     """By id, the anchors' frequencies in the texts that it occurs in. At most IDS rows come to the driver."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, total = speller(path).__getitem__, np.zeros((IDS, len(anchors)), dtype=np.float32)
+        of, total = speller(path).__getitem__, np.zeros((IDS, len(anchors)))
+        place = np.full(IDS, -1)
+        place[anchors] = np.arange(len(anchors))
         for b in slices(batches):
             for x in as_bytes(b.column("text")):
-                counts = np.bincount(spelled(x, of), minlength=IDS)
-                if (whole := counts[anchors].sum()):
-                    used = np.flatnonzero(counts)
-                    total[used] += counts[used, None] * (counts[anchors] / whole).astype(np.float32)
+                used, counts = np.unique(spelled(x, of), return_counts=True)
+                at = place[used]
+                mine = at >= 0
+                if whole := counts[mine].sum():
+                    near = np.zeros(len(anchors))
+                    near[at[mine]] = counts[mine] / whole
+                    total[used] += counts[:, None] * near
         used = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(list(total[used]), pa.list_(pa.float32()))], names=["id", "near"])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["id", "near"])
 
-    rows = texts.select("text").mapInArrow(gather, "id int, near array<float>").groupBy("id").agg(*[F.sum(F.get("near", F.lit(k))).alias(str(k)) for k in range(len(anchors))]).toPandas()
+    rows = texts.select("text").mapInArrow(gather, "id int, near array<double>").groupBy("id").agg(*[F.sum(F.get("near", F.lit(k))).alias(str(k)) for k in range(len(anchors))]).toPandas()
     out = np.zeros((IDS, len(anchors)))
     out[rows["id"]] = rows[[str(k) for k in range(len(anchors))]].to_numpy(dtype=float)
     return out
@@ -385,6 +386,9 @@ def trained_further(model: Attention, texts: DataFrame, path: str) -> None:
                 learner.step(own.slopes(inputs[rows], targets[rows]), LATER_RATE)
             n += full
             held = [(inputs[order[full:]], targets[order[full:]])]
+        if held and len(held[0][0]):
+            learner.step(own.slopes(*held[0]), LATER_RATE)
+            n += len(held[0][0])
         if n:
             flat = np.concatenate([own.w[k].ravel() for k in sorted(own.w)]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * n), pa.array(np.full(len(flat), n), pa.int64())], names=["i", "x", "n"])
@@ -419,10 +423,12 @@ def fit(learned: DataFrame, path: str) -> Model:
     hot = counts.filter((c >= F.greatest(F.lit(1.0), n * HOT_SHARE * F.ceil(F.octet_length("word") / 32))) | (F.col("word") == "")).toPandas()
     of_ids = id_counts(counts, path)
     anchors = np.lexsort((np.arange(IDS), -np.where(begins_word(path) & (np.arange(IDS) != END), of_ids, -1)))[:ANCHORS]
-    share = written(sampled(learned, texts, max(FEWEST, SHARE * texts)), "share")
-    attention = Attention(Vocabulary(path, of_ids, company(share, path, anchors)))
-    attention.train(*first_windows(share.filter(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * min(1.0, FIRST_TEXTS / max(1, texts)))), path))
-    trained_further(attention, share, path)
+    attention = Attention(Vocabulary(path, of_ids, company(learned, path, anchors)))
+    # Where training begins; all windows of all texts follow.
+    dealt = learned.select("text", F.xxhash64("doc_id", "text").alias("h"))
+    attention.train(*first_windows(dealt.filter(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * min(1.0, FIRST_TEXTS / max(1, texts)))), path))
+    # Dealt by a hash and in its order, so that weights don't depend on the input's files.
+    trained_further(attention, dealt.repartition("h").sortWithinPartitions("h"), path)
     known = dict(zip((w.encode() for w in hot["word"]), hot["c"].tolist(), strict=True))
     return Model(attention, counts, known, n, facts["v"] if n else 0, min(0.5, max(0.02, facts["once"] / n)) if n else 1.0)
 
