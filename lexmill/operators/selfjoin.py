@@ -2,10 +2,10 @@
 
 Tokens of all sets are put in one order, rare ones first. Two sets of similarity t share a token among the first n - ceil(t n) + 1 of the larger and the first
 n - ceil(2 t / (1 + t) n) + 1 of the smaller; at their first common token the tokens left on both sides must still suffice for the overlap that t asks for,
-and no size may be below t times the other. Only sets that meet so are compared, as a whole. Any order of tokens gives the same result; it matters for the work alone, so it comes
+and no size may be below t times the other. Of sets that meet so, those are compared as a whole whose tokens, counted in bins, can overlap enough. Any order of tokens gives the same result; it matters for the work alone, so it comes
 from a sample: sets of one template share frequent tokens, which stand last, and don't meet unless what is their own is alike too.
 
-Sets that are equal are one class, however many rows have them. Joins are on rare tokens and left to Spark to split.
+Sets that are equal are one class, however many rows have them. Joins are on rare tokens and left to Spark to split. Sets themselves are written once, and only those of pairs to be compared are shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from ..sources.shared import written
 SHINGLE, SIMILARITY = 5, 0.8
 #: One set in so many tells which tokens are frequent: those of LEAST sets or more there, the MOST first ones (8 MB in every task).
 SAMPLE, LEAST, MOST = 16, 4, 1_000_000
+#: Bins that tokens are counted in, the largest count, and how many sets to be compared are told to all tasks; more of them meet their sets in a shuffle.
+BINS, FULL, TOLD = 256, 65_535, 1_000_000
 _SLACK = 1e-9
 
 
@@ -73,23 +75,34 @@ def in_sample(key: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(SAMPLE)) == 0
 
 
-def prefixes(sets: DataFrame, order: Order, t: float = SIMILARITY) -> DataFrame:
-    """(token, node, size, pos) of the first tokens of sets (node, tokens)."""
+def signatures(sets: DataFrame, order: Order, t: float = SIMILARITY) -> DataFrame:
+    """(node, size, first, bins) of sets (node, tokens): the first tokens in their order, and how many of all tokens are in each bin."""
     held = sets.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = held.value
         for b in batches:
-            nodes, lists = b.column("node").to_numpy(zero_copy_only=False), b.column("tokens")
-            parts = []
-            for node, found in zip(nodes, lists, strict=True):
+            firsts, sizes, bins = [np.zeros(0, dtype=np.int64)], [], []
+            for found in b.column("tokens"):
                 values = found.values.to_numpy(zero_copy_only=False) if found.is_valid else np.zeros(0, dtype=np.int64)
-                first, _ = order.arranged(values, probe_length(len(values), t))
-                parts.append((first, np.full(len(first), node), np.full(len(first), len(values), dtype=np.int32), np.arange(len(first), dtype=np.int32)))
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, dtype=d) for d in ("i8", "i8", "i4", "i4")]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "size", "pos"])
+                firsts.append(order.arranged(values, probe_length(len(values), t))[0])
+                sizes.append(len(values))
+                bins.append(np.minimum(np.bincount(values & (BINS - 1), minlength=BINS), FULL).astype("<u2").tobytes())
+            ends = np.cumsum([len(f) for f in firsts])
+            made = [pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts))), pa.array(bins, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("node"), *made], names=["node", "size", "first", "bins"])
+
+    return sets.select("node", "tokens").mapInArrow(run, "node long, size int, first array<long>, bins binary")
+
 
-    return sets.select("node", "tokens").mapInArrow(run, "token long, node long, size int, pos int")
+def placed(signed: DataFrame) -> DataFrame:
+    """(token, node, size, pos) of the first tokens of signatures."""
+    return signed.select("node", "size", F.posexplode("first").alias("pos", "token")).select("token", "node", "size", "pos")
+
+
+def prefixes(sets: DataFrame, order: Order, t: float = SIMILARITY) -> DataFrame:
+    """(token, node, size, pos) of the first tokens of sets (node, tokens)."""
+    return placed(signatures(sets, order, t))
 
 
 def fits(small: Column, large: Column, t: float = SIMILARITY) -> Column:
@@ -102,15 +115,38 @@ def fits(small: Column, large: Column, t: float = SIMILARITY) -> Column:
 
 def candidates(rows: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) of nodes, a the set that isn't larger (of equal sizes the smaller node), that may be similar; rows as `prefixes` gives them."""
-    placed = rows.select("token", F.struct("size", "node", "pos").alias("at"))
+    # Rows unfold from few bytes on disk, by which Spark would broadcast them.
+    placed = rows.select("token", F.struct("size", "node", "pos").alias("at")).hint("merge")
     x, y = F.col("x.at"), F.col("y.at")
     met = placed.alias("x").join(placed.alias("y"), (F.col("x.token") == F.col("y.token")) & (x < y) & fits(x, y, t))
     return met.filter(x["node"] != y["node"]).select(x["node"].alias("a"), y["node"].alias("b")).distinct()
 
 
+def alike(pairs: DataFrame, signed: DataFrame, t: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose bins can hold the overlap that t asks for; none of similarity t is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [np.frombuffer(b"".join(b.column(c).to_pylist()), dtype="<u2").reshape(-1, BINS) for c in ("x", "y")]
+            most = np.minimum(*counts).sum(axis=1, dtype=np.int64)
+            n, m = (b.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
+            fit = (most >= np.ceil(t / (1 + t) * (n + m) - _SLACK)) | (np.minimum(n, m) > FULL)  # a bin may be full there
+            yield b.select(["a", "b"]).filter(pa.array(fit))
+
+    of = lambda key, bins, size: signed.select(F.col("node").alias(key), F.col("bins").alias(bins), F.col("size").alias(size))
+    both = pairs.join(of("a", "x", "n"), "a").join(of("b", "y", "m"), "b")
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def of_nodes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of nodes (node), some of which may repeat; other sets may stay where the nodes are too many to be told."""
+    told = nodes.distinct()
+    return sets.join(F.broadcast(told), "node", "left_semi") if told.count() <= TOLD else sets
+
+
 def verified(pairs: DataFrame, sets: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """(a, b, similarity) of the pairs that are similar."""
-    of = lambda key, name: sets.select(F.col("node").alias(key), F.col("tokens").alias(name))
+    of = lambda key, name: of_nodes(sets, pairs.select(F.col(key).alias("node"))).select(F.col("node").alias(key), F.col("tokens").alias(name))
     both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").withColumn("overlap", F.size(F.array_intersect("x", "y")))
     return both.select("a", "b", (F.col("overlap") / (F.size("x") + F.size("y") - F.col("overlap"))).alias("similarity")).filter(F.col("similarity") >= t - _SLACK)
 
@@ -121,10 +157,11 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHING
     A node stands for all rows with one set of n-word shingles; texts without words are one node without links. Ids may repeat and be null. Empty tables give empty results."""
     rows = written(docs.select(F.col(id).alias("id"), shingles(F.col(text), n).alias("tokens")).withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.md5(F.concat_ws(",", "tokens").cast("binary"))), "sets")
     nodes = written(rows.groupBy("key").agg(F.min("row").alias("node")), "nodes")
-    sets = written(rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "tokens"), "distinct")
-    order = order_of(sets.filter(in_sample(F.col("node"))).select(F.explode("tokens").alias("token")))
-    met = written(prefixes(sets, order, t), "prefixes")
-    links = written(verified(written(candidates(met, t), "candidates"), sets, t), "links")
+    sets, only = rows.select(F.col("row").alias("node"), "tokens", "key"), nodes.select("node")
+    order = order_of(sets.filter(in_sample(F.col("key"))).join(only, "node", "left_semi").select(F.explode("tokens").alias("token")))
+    # Rows of equal sets are told apart by their signatures, which are small.
+    signed = written(signatures(sets, order, t).join(only, "node", "left_semi"), "signatures")
+    links = written(verified(written(alike(candidates(placed(signed), t), signed, t), "candidates"), sets.drop("key"), t), "links")
     return rows.select("id", "key").join(nodes, "key").select(F.col("id").alias(id), "node"), links
 
 

@@ -55,3 +55,28 @@ def test_documents(spark):
     want = [(0, 0, 3, 0, 0), (1, 0, 3, 0, 0), (2, 0, 3, 0, 0), (3, 3, 2, 0, 0), (4, 3, 2, 0, 0), (5, 5, 1, 0, 0), (6, 6, 2, 1, 1), (6, 6, 2, 1, 1), (7, 7, 1, 1, 2), (8, 8, 2, 1, 1), (10, 8, 2, 1, 1), (None, None, 1, 1, 2)]
     assert found == sorted(want, key=str)
     assert selfjoin.linked(docs.limit(0)).count() == 0
+
+
+def test_only_sets_that_may_be_similar_are_shuffled(spark, monkeypatch):
+    """Pairs that share their rarest tokens and too few others are dropped by their bins; all pairs of similar sets stay, with few bins filled and with many, told or not."""
+    rng = random.Random(3)
+    rows = [{*range(10 * (i // 4), 10 * (i // 4) + 10), *rng.sample(range(10_000, 90_000), 40)} for i in range(80)]
+    rows += [r ^ {99_999 + i} for i, r in enumerate(rows[:20])] + [{256 * k for k in range(50 + i)} for i in range(6)]
+    sets = sets_of(spark, rows)
+    order = selfjoin.Order(np.array(sorted(x for x in range(10_000, 90_000))), np.arange(80_000) + 1)
+    signed = selfjoin.signatures(sets, order, 0.8)
+    pairs = selfjoin.candidates(selfjoin.placed(signed), 0.8)
+    kept = selfjoin.alike(pairs, signed, 0.8)
+    assert kept.count() < pairs.count() / 2
+    for told in (1_000_000, 0):
+        monkeypatch.setattr(selfjoin, "TOLD", told)
+        assert {frozenset((r["a"], r["b"])) for r in selfjoin.verified(kept, sets, 0.8).collect()} == all_pairs(rows, 0.8)
+
+
+def test_sets_are_written_once(spark, monkeypatch):
+    seen, was = [], selfjoin.written
+    monkeypatch.setattr(selfjoin, "written", lambda df, name: (seen.append((name, df.columns)), was(df, name))[1])
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i % 3, 60))) for i in range(9)], "doc_id long, text string")
+    found = selfjoin.linked(docs).collect()
+    assert [name for name, columns in seen if "tokens" in columns] == ["sets"]
+    assert {(r["class_size"], r["n_links"], r["linked_rows"]) for r in found} == {(3, 2, 6)}
