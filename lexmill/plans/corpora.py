@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import search, selfjoin, vectors
-from ..sources.shared import own_path
+from ..sources.shared import own_path, written
 from .catalogue import _KNN, _hits, query, table
 
 _LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -43,7 +43,7 @@ def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     found = index.search(asked, search.CANDIDATES)
     true = _hits(spark, sf_dir).select("query_id", F.col("vec_id").alias("id"), F.col("distance").alias("exact"))
-    both = found.join(true, ["query_id", "id"], "left")
+    both = written(found.join(true, ["query_id", "id"], "left"), "recall")  # read twice
     share = both.agg((F.count("exact") / F.count(F.lit(1))).alias("share")).first()["share"]
     each = both.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("hits"), F.count_if(F.abs(F.col("distance") - F.col("exact")) > 2e-9).cast("int").alias("wrong_distances"))
     return each.withColumn("reached", F.lit(share >= 0.9))
