@@ -25,11 +25,13 @@ spelled. Very long texts are many windows and passages. Empty tables give empty
 
 from __future__ import annotations
 
+import functools
 import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, as_bytes, documents, held_out, slices, written
-from .tokens import PATTERN, Memo, pieces, read_ranks
+from .tokens import LONGEST_KEY, PATTERN, Memo, pieces, read_ranks, unlike
 
 WIDTH, WINDOW, STRIDE = 24, 32, 24
 #: Groups of ids of alike company among those that begin words and among the others, and frequency tiers of each.
@@ -55,19 +57,43 @@ GROUP, COUNTED = 256, 1_000_000
 SEED = 11
 
 
-def speller(path: str) -> Memo:
+class Speller(Memo):
     """word (bytes, lower case) -> its ids as 16-bit bytes; the first stands for the blank before it too."""
-    import tiktoken
 
-    whole = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=read_ranks(path), special_tokens={})
+    def __init__(self, path: str):
+        import tiktoken
+
+        self.ranks, self.begins = read_ranks(path), begins_word(path)
+        one = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
+        self.whole = tiktoken.Encoding("all", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+
+        def spell(word: bytes) -> bytes:
+            text = word.decode(errors="replace")
+            if text.isalpha():  # one piece
+                return array("H", one.encode_ordinary(" " + text)).tobytes()
+            return array("H", [i for p in pieces(" " + text) for i in one.encode_ordinary(p)] if word else [END]).tobytes()
+
+        super().__init__(spell)
 
-    def spell(word: bytes) -> bytes:
-        text = word.decode(errors="replace")
-        if text.isalpha():  # one piece
-            return array("H", whole.encode_ordinary(" " + text)).tobytes()
-        return array("H", [i for p in pieces(" " + text) for i in whole.encode_ordinary(p)] if word else [END]).tobytes()
+    def learn(self, words: Iterator[bytes]) -> None:
+        """Spells what it lacks of words in one call; what might run into the next word, and what Python takes for other characters than the library, is left to be spelled alone."""
+        new = [w for w in set(words).difference(self) if w and w not in self.old and len(w) <= LONGEST_KEY]
+        joined = b" ".join(new).decode(errors="replace")
+        if _OTHER_SPACE.search(joined) or unlike(joined):
+            new = [w for w in new if not (_OTHER_SPACE.search(t := w.decode(errors="replace")) or unlike(t))]
+            joined = b" ".join(new).decode(errors="replace")
+        if new:
+            ids = np.array(self.whole.encode_ordinary(" " + joined), dtype="<u2")
+            starts = (2 * np.flatnonzero(self.begins[ids])).tolist()  # exactly one id of a word begins one
+            codes = ids.tobytes()
+            for word, a, z in zip(new, starts, [*starts[1:], len(codes)], strict=True):
+                self.keep(word, codes[a:z])
 
-    return Memo(spell)
+
+@functools.cache
+def speller(path: str) -> Speller:
+    """One for all tasks of a worker, so that words are spelled once."""
+    return Speller(path)
 
 
 def begins_word(path: str) -> np.ndarray:
@@ -256,17 +282,27 @@ class Attention:
 
 
 class Adam:
+    """The weights become views of one array, so that a step is a few operations on all of them."""
+
     def __init__(self, weights: dict[str, np.ndarray]):
-        self.w, self.n = weights, 0
-        self.first, self.second = ({k: np.zeros_like(x) for k, x in weights.items()} for _ in range(2))
+        self.names, self.n, at = list(weights), 0, 0
+        self.flat = np.concatenate([x.ravel() for x in weights.values()])
+        for name, x in weights.items():
+            weights[name] = self.flat[at : at + x.size].reshape(x.shape)
+            at += x.size
+        self.first, self.second = np.zeros_like(self.flat), np.zeros_like(self.flat)
 
     def step(self, slopes: dict[str, np.ndarray], rate: float) -> None:
         self.n += 1
-        rate *= np.sqrt(1 - 0.99**self.n) / (1 - 0.9**self.n)
-        for name, s in slopes.items():
-            self.first[name] += (s - self.first[name]) * 0.1
-            self.second[name] += (s * s - self.second[name]) * 0.01
-            self.w[name] -= (rate * self.first[name] / (np.sqrt(self.second[name]) + 1e-8)).astype(np.float32)
+        rate *= float(np.sqrt(1 - 0.99**self.n) / (1 - 0.9**self.n))
+        s = np.concatenate([slopes[name].ravel() for name in self.names])
+        self.first += (s - self.first) * np.float32(0.1)
+        self.second += (s * s - self.second) * np.float32(0.01)
+        by = np.sqrt(self.second)
+        by += np.float32(1e-8)
+        np.divide(self.first, by, out=by)
+        by *= np.float32(rate)
+        self.flat -= by
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -298,19 +334,16 @@ def id_counts(counts: DataFrame, path: str) -> np.ndarray:
     """How often each id occurs in all training texts, by the words' counts; at most IDS rows come to the driver."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        of, begins, total = speller(path), begins_word(path), np.zeros(IDS)
-        whole = tiktoken.Encoding("all", pat_str=PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+        of, total = Speller(path), np.zeros(IDS)
         for b in slices(batches, 8192):
             words, c = as_bytes(b.column("word")), b.column("c").to_numpy().astype(np.float64)
             joined = "".join(" " + w.decode() for w in words)
-            if b"" in words or _OTHER_SPACE.search(joined):  # what stands at a blank might run into the next word
+            if b"" in words or _OTHER_SPACE.search(joined) or unlike(joined):  # what stands at a blank might run into the next word
                 ids = [np.frombuffer(of.compute(w), dtype="<u2") for w in words]
                 total += np.bincount(np.concatenate(ids), np.repeat(c, list(map(len, ids))), IDS)
             else:  # all words at once; exactly one id of a word begins one
-                ids = np.array(whole.encode_ordinary(joined))
-                total += np.bincount(ids, c[np.cumsum(begins[ids]) - 1], IDS)
+                ids = np.array(of.whole.encode_ordinary(joined))
+                total += np.bincount(ids, c[np.cumsum(of.begins[ids]) - 1], IDS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used].astype(np.int64), pa.int64())], names=["id", "n"])
 
@@ -320,20 +353,22 @@ def id_counts(counts: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-def spelled(text: bytes, of) -> np.ndarray:
-    return np.frombuffer(b"".join(map(of, [*text.translate(LOWER_BYTES).split(), b""])), dtype="<u2")
+def spelled(texts: list[bytes], of: Speller) -> list[np.ndarray]:
+    words = [[*x.translate(LOWER_BYTES).split(), b""] for x in texts]
+    of.learn(chain.from_iterable(words))
+    return [np.frombuffer(b"".join(map(of.__getitem__, w)), dtype="<u2") for w in words]
 
 
 def company(texts: DataFrame, path: str, anchors: np.ndarray) -> np.ndarray:
     """By id, the anchors' frequencies in the texts that it occurs in. At most IDS rows come to the driver."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, total = speller(path).__getitem__, np.zeros((IDS, len(anchors)))
+        of, total = speller(path), np.zeros((IDS, len(anchors)))
         place = np.full(IDS, -1)
         place[anchors] = np.arange(len(anchors))
-        for b in slices(batches):
-            for x in as_bytes(b.column("text")):
-                used, counts = np.unique(spelled(x, of), return_counts=True)
+        for b in slices(batches, 64):
+            for ids in spelled(as_bytes(b.column("text")), of):
+                used, counts = np.unique(ids, return_counts=True)
                 at = place[used]
                 mine = at >= 0
                 if whole := counts[mine].sum():
@@ -353,11 +388,11 @@ def first_windows(texts: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Up to FIRST_WINDOWS windows of each text, evenly spaced, in an order of their own."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = speller(path).__getitem__
-        for b in slices(batches):
+        of = speller(path)
+        for b in slices(batches, 64):
             rows = []
-            for x in as_bytes(b.column("text")):
-                inputs, targets = windows(spelled(x, of))
+            for ids in spelled(as_bytes(b.column("text")), of):
+                inputs, targets = windows(ids)
                 some = np.unique(np.linspace(0, len(inputs) - 1, FIRST_WINDOWS).astype(int))
                 rows += [np.concatenate([i, t]) for i, t in zip(inputs[some], targets[some], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["row"])
@@ -374,10 +409,10 @@ def trained_further(model: Attention, texts: DataFrame, path: str) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
 
-        own, of, n = copy.deepcopy(shared.value), speller(path).__getitem__, 0
+        own, of, n = copy.deepcopy(shared.value), speller(path), 0
         learner, held = Adam(own.w), []
         for b in slices(batches, 64):
-            held += [windows(spelled(x, of)) for x in as_bytes(b.column("text"))]
+            held += map(windows, spelled(as_bytes(b.column("text")), of))
             inputs, targets = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.random.default_rng(SEED).permutation(len(inputs))
             full = len(inputs) // BATCH * BATCH
@@ -467,13 +502,13 @@ def score(docs: DataFrame, training: Column, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, attention = shared.value
-        spell, v = speller(path).compute, attention.v
-        of = Memo(lambda w: (spell(w), known.get(w, 0))).__getitem__
+        of, v = speller(path), attention.v
         share_of = np.log(np.maximum(v.words, 1.0))
         for b in slices(batches, 64):
             texts = [[*x.translate(LOWER_BYTES).split(), b""] for x in as_bytes(b.column("text"))]
             words = [w for t in texts for w in t]
-            codes, found = zip(*map(of, words), strict=True)
+            of.learn(words)
+            codes, found = list(map(of.__getitem__, words)), [known.get(w, 0) for w in words]
             sizes = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // 2
             ids = np.frombuffer(b"".join(codes), dtype="<u2")
             stops = np.cumsum(list(map(len, texts)))

@@ -71,6 +71,11 @@ def pieces(text: str) -> list[str]:
     return (exact if odd.search(text) else quick).findall(text)
 
 
+def unlike(text: str) -> bool:
+    """Whether the text has code points that Python's own classes take for others than the library's."""
+    return _patterns()[2].search(text) is not None
+
+
 def parts(text: str) -> list[str]:
     """The text cut at each blank before something that isn't white space; the blanks go.
 
@@ -119,11 +124,14 @@ class Memo(dict):
             value = self.compute(key)
             if isinstance(key, (str, bytes)) and len(key) > LONGEST_KEY:
                 return value
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:

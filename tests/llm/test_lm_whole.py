@@ -22,3 +22,16 @@ def test_the_last_windows_are_learned(spark):
     before = {k: x.copy() for k, x in model.w.items()}
     lm.trained_further(model, spark.createDataFrame([("a few words",)], "text string"), PATH)
     assert all((before[k] != model.w[k]).any() for k in before)
+
+
+def test_words_are_spelled_together():
+    """New words take one call for a slice of texts; odd ones are spelled alone, and none differently."""
+    of = lm.Speller(PATH)
+    alone, spell = [], of.compute
+    of.compute = lambda w: (alone.append(w), spell(w))[1]
+    odd = ["²x", "Ⅷ", "a\u3000b", "\x85", "x\xa0", "\x1cy", "q" * 200]
+    texts = ["The cat's paws, 3rd-best don't's ÉTÉ naïve 中文 １９ __a_b ''s 'tis \ufffd", *odd, "", " \n"]
+    got = lm.spelled([x.encode() for x in texts], of)
+    want = [np.frombuffer(b"".join(map(spell, [*x.encode().translate(lm.LOWER_BYTES).split(), b""])), dtype="<u2") for x in texts]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(got, want, strict=True))
+    assert {w.decode() for w in alone} <= {"", *odd}
