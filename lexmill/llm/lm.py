@@ -31,12 +31,13 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import LOWER_BYTES, as_bytes, documents, held_out, slices, written
 from .tokens import LONGEST_KEY, PATTERN, Memo, pieces, read_ranks, unlike
@@ -77,7 +78,7 @@ class Speller(Memo):
 
     def learn(self, words: Iterator[bytes]) -> None:
         """Spells what it lacks of words in one call; what might run into the next word, and what Python takes for other characters than the library, is left to be spelled alone."""
-        new = [w for w in set(words).difference(self) if w and w not in self.old and len(w) <= LONGEST_KEY]
+        new = [w for w in set(words) if w and w not in self and w not in self.old and len(w) <= LONGEST_KEY]
         joined = b" ".join(new).decode(errors="replace")
         if _OTHER_SPACE.search(joined) or unlike(joined):
             new = [w for w in new if not (_OTHER_SPACE.search(t := w.decode(errors="replace")) or unlike(t))]
@@ -89,6 +90,13 @@ class Speller(Memo):
             for word, a, z in zip(new, starts, [*starts[1:], len(codes)], strict=True):
                 self.keep(word, codes[a:z])
 
+    def codes(self, words: list[bytes]) -> list[bytes]:
+        found = list(map(self.get, words))
+        if lacked := {w for w, code in zip(words, found, strict=True) if code is None}:
+            self.learn(lacked)
+            found = [self[w] if code is None else code for w, code in zip(words, found, strict=True)]
+        return found
+
 
 @functools.cache
 def speller(path: str) -> Speller:
@@ -105,6 +113,24 @@ def begins_word(path: str) -> np.ndarray:
     return out
 
 
+class Words:
+    """Ids of words back to the words, many at a time."""
+
+    def __init__(self, path: str):
+        tokens = [b""] * IDS
+        for token, rank in read_ranks(path).items():
+            tokens[rank] = token.removeprefix(b" ")
+        self.sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=IDS)
+        self.starts, self.all = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def __call__(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        n = self.sizes[ids]
+        ends = np.cumsum(n)
+        chars = self.all[np.repeat(self.starts[ids] - ends + n, n) + np.arange(n.sum())]
+        at = np.append(0, np.append(0, ends)[np.cumsum(sizes)]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(at.tobytes()), pa.py_buffer(chars.tobytes()))
+
+
 def clusters(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     """Weighted k-means from centres that lie far apart."""
     heavy = np.argsort(-weights, kind="stable")[:2000]
@@ -157,18 +183,34 @@ class Vocabulary:
         self.embedded[START] = EMBEDDED - 1
 
 
-def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(inputs, targets) of one text: each window predicts its last STRIDE ids from all before them in it; -1: no target."""
-    rows = -(-len(ids) // STRIDE)
-    stream = np.full(WINDOW - STRIDE + rows * STRIDE, START, dtype=np.int32)
-    stream[WINDOW - STRIDE + 1 : WINDOW - STRIDE + len(ids)] = ids[:-1]
-    targets = np.full(rows * STRIDE, -1, dtype=np.int32)
-    targets[: len(ids)] = ids
-    return np.lib.stride_tricks.sliding_window_view(stream, WINDOW)[::STRIDE], targets.reshape(rows, STRIDE)
+def windows(ids: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, targets) of one text, or of texts with so many ids each: a window predicts its last STRIDE ids from all before them in it; -1: no target."""
+    sizes = np.array([len(ids)] if sizes is None else sizes)
+    rows = -(-sizes // STRIDE)
+    each, row = np.arange(len(ids)), np.cumsum(rows) - rows
+    each -= np.repeat(np.cumsum(sizes) - sizes, sizes)
+    targets = np.full(rows.sum() * STRIDE, -1, dtype=np.int32)
+    targets[np.repeat(row * STRIDE, sizes) + each] = ids
+    # A text's stream has WINDOW - STRIDE places more than targets, and its last id isn't in it.
+    before = row * STRIDE + np.arange(len(rows)) * (WINDOW - STRIDE)
+    stream = np.full(len(targets) + len(rows) * (WINDOW - STRIDE), START, dtype=np.int32)
+    inside = each < np.repeat(sizes - 1, sizes)
+    stream[(np.repeat(before + WINDOW - STRIDE + 1, sizes) + each)[inside]] = ids[inside]
+    at = np.arange(len(targets) // STRIDE) * STRIDE + np.repeat(np.arange(len(rows)) * (WINDOW - STRIDE), rows)
+    return np.lib.stride_tricks.sliding_window_view(stream, WINDOW)[at], targets.reshape(-1, STRIDE)
 
 
 #: Position i of the last STRIDE may look at all up to its own.
-MASK = np.where(np.arange(WINDOW)[None, :] <= np.arange(WINDOW - STRIDE, WINDOW)[:, None], 0, -1e9).astype(np.float32)
+SEEN = (np.arange(WINDOW)[None, :] <= np.arange(WINDOW - STRIDE, WINDOW)[:, None]).astype(np.float32)
+MASK = np.where(SEEN > 0, 0, -1e9).astype(np.float32)
+
+
+def held(room: dict[str, np.ndarray], name: str, *shape: int, kind: type = np.float32) -> np.ndarray:
+    """An array kept in `room` for the next call: fresh ones cost more than what is computed in them."""
+    found = room.get(name)
+    if found is None or len(found) < shape[0]:
+        found = room[name] = np.empty(shape, dtype=kind)
+    return found[: shape[0]]
 
 
 class Attention:
@@ -196,89 +238,114 @@ class Attention:
         y = late + of(seen, "o")
         return near, x, q, k, v, a, seen, y, of(y, "c") + w["b"]
 
+    def products(self) -> tuple[np.ndarray, np.ndarray]:
+        """QK' and VO: attention is X QK' X' and its result softmax(...) X VO, so that no window multiplies K and V of its own."""
+        w = self.w
+        return w["q"] @ w["k"].T / np.float32(np.sqrt(WIDTH)), w["v"] @ w["o"]
+
     def tables(self) -> dict[str, np.ndarray]:
         """The products of weights that scoring gathers by id and by position, so that it multiplies less."""
         w, late = self.w, slice(WINDOW - STRIDE, WINDOW)
-        scaled, one = w["q"] / np.float32(np.sqrt(WIDTH)), lambda m, x: np.concatenate([m, np.full((len(m), 1), x, dtype=np.float32)], axis=1)
+        (qk, vo), one = self.products(), lambda m, x: np.concatenate([m, np.full((len(m), 1), x, dtype=np.float32)], axis=1)
         out = {
-            "eq": w["e"] @ scaled, "pq": w["p"][late] @ scaled, "ek": w["e"] @ w["k"], "pk": w["p"] @ w["k"],
-            "ev": one(w["e"] @ w["v"], 1), "pv": one(w["p"] @ w["v"], 0),  # the column of ones sums the attention up
-            "ec": w["e"] @ w["c"] + w["b"], "pc": w["p"][late] @ w["c"], "oc": w["o"] @ w["c"],
+            "ex": one(w["e"], 1), "px": one(w["p"], 0),  # the column of ones sums the attention up
+            "eq": one(w["e"] @ qk, 0), "pq": one(w["p"][late] @ qk, 0),
+            "ec": w["e"] @ w["c"] + w["b"], "pc": w["p"][late] @ w["c"], "xc": vo @ w["c"],
         }
         far = lambda x: float(np.sqrt((x * x).sum(axis=1)).max())
-        dot = (far(out["eq"]) + far(out["pq"])) * (far(out["ek"]) + far(out["pk"]))
-        logit = np.abs(out["ec"]).max() + np.abs(out["pc"]).max() + (far(out["ev"][:, :-1]) + far(out["pv"][:, :-1])) * far(out["oc"].T)
+        dot = (far(out["eq"]) + far(out["pq"])) * (far(w["e"]) + far(w["p"]))
+        logit = np.abs(out["ec"]).max() + np.abs(out["pc"]).max() + (far(w["e"]) + far(w["p"])) * far(out["xc"].T)
         self.calm = dot < 80 and logit < 80  # then no exponential can overflow
-        self.mask = np.exp(MASK)
         return out
 
     def score(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(natural log-probability of each target's class, log-probability that a word begins there)."""
         if not hasattr(self, "t"):
             self.t = self.tables()
-        t, first = self.t, self.v.beginning
+        t, first, size, room = self.t, self.v.beginning, self.v.size, {}
         out, starts = np.empty(targets.shape, dtype=np.float32), np.empty(targets.shape, dtype=np.float32)
         for at in range(0, len(inputs), GROUP):
-            near = self.v.embedded[inputs[at : at + GROUP]]
-            late = near[:, WINDOW - STRIDE :]
-            q, k, v = np.take(t["eq"], late, axis=0), np.take(t["ek"], near, axis=0), np.take(t["ev"], near, axis=0)
+            near = np.take(self.v.embedded, inputs[at : at + GROUP])
+            late, n = near[:, WINDOW - STRIDE :], len(near)
+            q, x = held(room, "q", n, STRIDE, WIDTH + 1), held(room, "x", n, WINDOW, WIDTH + 1)
+            np.take(t["eq"], late, axis=0, out=q, mode="clip")
+            np.take(t["ex"], near, axis=0, out=x, mode="clip")
             q += t["pq"]
-            k += t["pk"]
-            v += t["pv"]
-            a = q @ k.transpose(0, 2, 1)
+            x += t["px"]
+            a = np.matmul(q, x.transpose(0, 2, 1), out=held(room, "a", n, STRIDE, WINDOW))
             if not self.calm:
                 np.minimum(a, 80, out=a)
             np.exp(a, out=a)
-            a *= self.mask
-            seen = a @ v
-            seen = seen[..., :-1] / seen[..., -1:]
-            logits = np.take(t["ec"], late, axis=0)
+            a *= SEEN
+            z = np.matmul(a, x, out=held(room, "z", n, STRIDE, WIDTH + 1))
+            z /= z[..., -1:].copy()
+            logits = held(room, "logits", n, STRIDE, size)
+            np.take(t["ec"], late, axis=0, out=logits, mode="clip")
             logits += t["pc"]
-            logits += seen @ t["oc"]
+            flat = logits.reshape(-1, size)
+            flat += np.matmul(z.reshape(-1, WIDTH + 1)[:, :-1], t["xc"], out=held(room, "more", n, STRIDE, size).reshape(-1, size))
             if not self.calm:
                 np.minimum(logits, 80, out=logits)
             want = np.maximum(targets[at : at + GROUP], 0)
-            flat = logits.reshape(-1, self.v.size)
-            own = flat[np.arange(len(flat)), self.v.classes[want].ravel()].reshape(want.shape)
+            own = flat.ravel()[np.arange(0, flat.size, size) + np.take(self.v.classes, want.ravel())].reshape(want.shape)
             np.exp(logits, out=logits)
             begin = flat[:, :first] @ np.ones(first, dtype=np.float32)
-            total = np.log(begin + flat[:, first:] @ np.ones(self.v.size - first, dtype=np.float32)).reshape(want.shape)
+            total = np.log(begin + flat[:, first:] @ np.ones(size - first, dtype=np.float32)).reshape(want.shape)
             out[at : at + GROUP] = own - total
             starts[at : at + GROUP] = np.log(np.maximum(begin, 1e-30)).reshape(want.shape) - total
         return out, starts
 
     def train(self, inputs: np.ndarray, targets: np.ndarray) -> None:
         """STEPS batches drawn from the windows, at a rate that falls."""
-        rng, learner = np.random.default_rng(SEED), Adam(self.w)
+        rng, learner, room = np.random.default_rng(SEED), Adam(self.w), {}
         for step in range(1, STEPS + 1 if len(inputs) else 1):
             rows = rng.integers(0, len(inputs), BATCH)
-            learner.step(self.slopes(inputs[rows], targets[rows]), RATE * min(1, 2 - 2 * step / (STEPS + 1)))
+            learner.step(self.slopes(inputs[rows], targets[rows], room), RATE * min(1, 2 - 2 * step / (STEPS + 1)))
 
-    def slopes(self, inputs: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean loss, by each weight."""
-        w, d = self.w, WIDTH
-        near, x, q, k, v, a, seen, y, logits = self.forward(inputs)
+    def slopes(self, inputs: np.ndarray, targets: np.ndarray, room: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+        """Of the mean loss, by each weight. `room` keeps arrays for the next call."""
+        w, d, n, k, room = self.w, WIDTH, len(inputs), self.v.size, {} if room is None else room
+        (qk, vo), scale = self.products(), np.float32(1 / np.sqrt(d))
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        g, t = flat(logits), targets.ravel()
-        g -= g.max(axis=1, keepdims=True)
+        near = np.take(self.v.embedded, inputs)
+        x, late = held(room, "x", n, WINDOW, d), held(room, "late", n, STRIDE, d)
+        np.take(w["e"], near, axis=0, out=x, mode="clip")
+        x += w["p"]
+        late[...] = x[:, WINDOW - STRIDE :]
+        # The attention and its slopes stand together, so that one product carries both back.
+        both, by = held(room, "both", n, 2 * STRIDE, WINDOW), held(room, "by", n, 2 * STRIDE, d)
+        a, da, some = both[:, :STRIDE], both[:, STRIDE:], held(room, "some", n, STRIDE, d)
+        by[:, STRIDE:] = np.matmul(flat(late), qk, out=flat(some)).reshape(some.shape)
+        np.matmul(some, x.transpose(0, 2, 1), out=a)
+        np.clip(a, -80, 80, out=a)
+        np.exp(a, out=a)
+        a *= SEEN
+        a /= np.einsum("bij->bi", a)[..., None]
+        z, y = np.matmul(a, x, out=held(room, "z", n, STRIDE, d)), held(room, "y", n, STRIDE, d + 1)
+        np.add(late, np.matmul(flat(z), vo, out=flat(some)).reshape(some.shape), out=y[..., :d])
+        y[..., d] = 1
+        g = np.matmul(flat(y), np.concatenate([w["c"], w["b"][None]]), out=held(room, "g", n, STRIDE, k).reshape(-1, k))
+        np.clip(g, -80, 80, out=g)
         np.exp(g, out=g)
+        t = targets.ravel()
         known = np.flatnonzero(t >= 0)
-        scale = (t >= 0) / np.float32(max(1, len(known)))
-        g *= (scale / (g @ np.ones(g.shape[1], dtype=np.float32)))[:, None]
-        g[known, self.v.classes[t[known]]] -= np.float32(1 / max(1, len(known)))
-        dy = g @ w["c"].T
-        dseen = (dy @ w["o"].T).reshape(seen.shape)
-        da = dseen @ v.transpose(0, 2, 1)
-        da -= (da * a).sum(axis=2, keepdims=True)
+        share = np.float32(1 / max(1, len(known)))
+        g *= ((t >= 0) * share / (g @ np.ones(k, dtype=np.float32)))[:, None]
+        g.ravel()[known * k + np.take(self.v.classes, t[known])] -= share
+        dy = np.matmul(g, w["c"].T, out=flat(held(room, "dy", n, STRIDE, d)))
+        by[:, :STRIDE] = np.matmul(dy, vo.T, out=flat(some)).reshape(some.shape)
+        np.matmul(some, x.transpose(0, 2, 1), out=da)
+        da -= np.einsum("bij,bij->bi", da, a)[..., None]
         da *= a
-        da *= np.float32(1 / np.sqrt(d))
-        dq, dk, dv = flat(da @ k), flat(da.transpose(0, 2, 1) @ q), flat(a.transpose(0, 2, 1) @ dseen)
-        dx = (dk @ w["k"].T + dv @ w["v"].T).reshape(x.shape)
-        dx[:, WINDOW - STRIDE :] += (dy + dq @ w["q"].T).reshape(y.shape)
-        late = flat(np.ascontiguousarray(x[:, WINDOW - STRIDE :]))
-        cells = near.ravel().astype(np.int64)[:, None] * d + np.arange(d)
+        dq = flat(np.matmul(da, x, out=held(room, "dq", n, STRIDE, d)))
+        dx = np.matmul(both.transpose(0, 2, 1), by, out=held(room, "dx", n, WINDOW, d))
+        of_qk, of_vo, of_c = flat(late).T @ dq, flat(z).T @ dy, flat(y).T @ g
+        dy += np.matmul(dq, qk.T, out=flat(some))
+        dx[:, WINDOW - STRIDE :] += dy.reshape(some.shape)
+        cells = np.add((near.astype(np.int64) * d)[..., None], np.arange(d), out=held(room, "cells", n, WINDOW, d, kind=np.int64))
         de = np.bincount(cells.ravel(), dx.ravel(), w["e"].size).astype(np.float32).reshape(w["e"].shape)
-        return {"e": de, "p": dx.sum(axis=0), "q": late.T @ dq, "k": flat(x).T @ dk, "v": flat(x).T @ dv, "o": flat(seen).T @ dy, "c": flat(y).T @ g, "b": g.sum(axis=0)}
+        of_qk *= scale
+        return {"e": de, "p": dx.sum(axis=0), "q": of_qk @ w["k"], "k": of_qk.T @ w["q"], "v": of_vo @ w["o"].T, "o": w["v"].T @ of_vo, "c": of_c[:d], "b": of_c[d]}
 
 
 class Adam:
@@ -291,14 +358,19 @@ class Adam:
             weights[name] = self.flat[at : at + x.size].reshape(x.shape)
             at += x.size
         self.first, self.second = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.room = np.empty_like(self.flat), np.empty_like(self.flat)
 
     def step(self, slopes: dict[str, np.ndarray], rate: float) -> None:
         self.n += 1
         rate *= float(np.sqrt(1 - 0.99**self.n) / (1 - 0.9**self.n))
-        s = np.concatenate([slopes[name].ravel() for name in self.names])
-        self.first += (s - self.first) * np.float32(0.1)
-        self.second += (s * s - self.second) * np.float32(0.01)
-        by = np.sqrt(self.second)
+        s, by = self.room
+        np.concatenate([slopes[name].ravel() for name in self.names], out=s)
+        self.first += np.multiply(np.subtract(s, self.first, out=by), np.float32(0.1), out=by)
+        np.multiply(s, s, out=s)
+        s -= self.second
+        s *= np.float32(0.01)
+        self.second += s
+        np.sqrt(self.second, out=by)
         by += np.float32(1e-8)
         np.divide(self.first, by, out=by)
         by *= np.float32(rate)
@@ -355,20 +427,43 @@ def id_counts(counts: DataFrame, path: str) -> np.ndarray:
 
 def spelled(texts: list[bytes], of: Speller) -> list[np.ndarray]:
     words = [[*x.translate(LOWER_BYTES).split(), b""] for x in texts]
-    of.learn(chain.from_iterable(words))
-    return [np.frombuffer(b"".join(map(of.__getitem__, w)), dtype="<u2") for w in words]
+    codes = iter(of.codes(list(chain.from_iterable(words))))
+    return [np.frombuffer(b"".join(islice(codes, len(w))), dtype="<u2") for w in words]
+
+
+def with_ids(texts: DataFrame, path: str) -> DataFrame:
+    """The texts' ids, 16 bits each, in place of `text`, so that words are spelled once; texts that have ids already stay as they are."""
+    if "ids" in texts.columns:
+        return texts
+    others = [c for c in texts.columns if c != "text"]
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = speller(path)
+        for b in slices(batches, 64):
+            ids = pa.array([x.tobytes() for x in spelled(as_bytes(b.column("text")), of)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*map(b.column, others), ids], names=[*others, "ids"])
+
+    schema = StructType([*[texts.schema[c] for c in others], StructField("ids", BinaryType())])
+    return texts.select(*others, "text").mapInArrow(spell, schema)
+
+
+def ids_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids of a batch, how many each text has)."""
+    codes = b.column("ids").to_pylist()
+    return np.frombuffer(b"".join(codes), dtype="<u2"), np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // 2
 
 
 def company(texts: DataFrame, path: str, anchors: np.ndarray) -> np.ndarray:
     """By id, the anchors' frequencies in the texts that it occurs in. At most IDS rows come to the driver."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, total = speller(path), np.zeros((IDS, len(anchors)))
+        total = np.zeros((IDS, len(anchors)))
         place = np.full(IDS, -1)
         place[anchors] = np.arange(len(anchors))
         for b in slices(batches, 64):
-            for ids in spelled(as_bytes(b.column("text")), of):
-                used, counts = np.unique(ids, return_counts=True)
+            ids, sizes = ids_of(b)
+            for own in np.split(ids, np.cumsum(sizes)[:-1]):
+                used, counts = np.unique(own, return_counts=True)
                 at = place[used]
                 mine = at >= 0
                 if whole := counts[mine].sum():
@@ -378,7 +473,7 @@ def company(texts: DataFrame, path: str, anchors: np.ndarray) -> np.ndarray:
         used = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["id", "near"])
 
-    rows = texts.select("text").mapInArrow(gather, "id int, near array<double>").groupBy("id").agg(*[F.sum(F.get("near", F.lit(k))).alias(str(k)) for k in range(len(anchors))]).toPandas()
+    rows = with_ids(texts, path).select("ids").mapInArrow(gather, "id int, near array<double>").groupBy("id").agg(*[F.sum(F.get("near", F.lit(k))).alias(str(k)) for k in range(len(anchors))]).toPandas()
     out = np.zeros((IDS, len(anchors)))
     out[rows["id"]] = rows[[str(k) for k in range(len(anchors))]].to_numpy(dtype=float)
     return out
@@ -388,16 +483,16 @@ def first_windows(texts: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Up to FIRST_WINDOWS windows of each text, evenly spaced, in an order of their own."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = speller(path)
         for b in slices(batches, 64):
             rows = []
-            for ids in spelled(as_bytes(b.column("text")), of):
-                inputs, targets = windows(ids)
+            ids, sizes = ids_of(b)
+            for own in np.split(ids, np.cumsum(sizes)[:-1]):
+                inputs, targets = windows(own)
                 some = np.unique(np.linspace(0, len(inputs) - 1, FIRST_WINDOWS).astype(int))
                 rows += [np.concatenate([i, t]) for i, t in zip(inputs[some], targets[some], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["row"])
 
-    found = texts.select("text").mapInArrow(cut, "row array<int>").toPandas()
+    found = with_ids(texts, path).select("ids").mapInArrow(cut, "row array<int>").toPandas()
     rows = np.array(sorted(map(list, found["row"])), dtype=np.int32).reshape(-1, WINDOW + STRIDE)
     return rows[:, :WINDOW], rows[:, WINDOW:]
 
@@ -409,26 +504,26 @@ def trained_further(model: Attention, texts: DataFrame, path: str) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
 
-        own, of, n = copy.deepcopy(shared.value), speller(path), 0
-        learner, held = Adam(own.w), []
+        own, n, room = copy.deepcopy(shared.value), 0, {}
+        learner, left = Adam(own.w), []
         for b in slices(batches, 64):
-            held += map(windows, spelled(as_bytes(b.column("text")), of))
-            inputs, targets = (np.concatenate(x) for x in zip(*held, strict=True))
+            left.append(windows(*ids_of(b)))
+            inputs, targets = (np.concatenate(x) for x in zip(*left, strict=True))
             order = np.random.default_rng(SEED).permutation(len(inputs))
             full = len(inputs) // BATCH * BATCH
             for at in range(0, full, BATCH):
                 rows = order[at : at + BATCH]
-                learner.step(own.slopes(inputs[rows], targets[rows]), LATER_RATE)
+                learner.step(own.slopes(inputs[rows], targets[rows], room), LATER_RATE)
             n += full
-            held = [(inputs[order[full:]], targets[order[full:]])]
-        if held and len(held[0][0]):
-            learner.step(own.slopes(*held[0]), LATER_RATE)
-            n += len(held[0][0])
+            left = [(inputs[order[full:]], targets[order[full:]])]
+        if left and len(left[0][0]):
+            learner.step(own.slopes(*left[0], room), LATER_RATE)
+            n += len(left[0][0])
         if n:
             flat = np.concatenate([own.w[k].ravel() for k in sorted(own.w)]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * n), pa.array(np.full(len(flat), n), pa.int64())], names=["i", "x", "n"])
 
-    rows = texts.select("text").mapInArrow(run, "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+    rows = with_ids(texts, path).select("ids").mapInArrow(run, "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
     if len(rows):
         flat, at = rows.sort_values("i")["x"].to_numpy(), 0
         for k in sorted(model.w):
@@ -446,8 +541,12 @@ class Model:
     spelling: float  # S
 
 
-def fit(learned: DataFrame, path: str) -> Model:
-    """Learns from texts with doc_id and text."""
+def deal() -> Column:
+    return F.xxhash64("doc_id", "text").alias("h")
+
+
+def fit(learned: DataFrame, path: str, ids: DataFrame | None = None) -> Model:
+    """Learns from texts with doc_id and text; `ids`: the same with ids and a hash of both in place of the text, if they are spelled already."""
     counts = written(word_counts(learned), "words")
     c, once = F.col("c"), F.count_if(F.col("c") == 1)
     facts = counts.agg(F.coalesce(F.sum(c), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), once.alias("once"), F.sum(F.when(F.col("word") == "", c)).alias("texts")).first()
@@ -458,9 +557,9 @@ def fit(learned: DataFrame, path: str) -> Model:
     hot = counts.filter((c >= F.greatest(F.lit(1.0), n * HOT_SHARE * F.ceil(F.octet_length("word") / 32))) | (F.col("word") == "")).toPandas()
     of_ids = id_counts(counts, path)
     anchors = np.lexsort((np.arange(IDS), -np.where(begins_word(path) & (np.arange(IDS) != END), of_ids, -1)))[:ANCHORS]
-    attention = Attention(Vocabulary(path, of_ids, company(learned, path, anchors)))
+    dealt = (written(with_ids(learned.select("text", deal()), path), "ids") if ids is None else ids).select("ids", "h")
+    attention = Attention(Vocabulary(path, of_ids, company(dealt, path, anchors)))
     # Where training begins; all windows of all texts follow.
-    dealt = learned.select("text", F.xxhash64("doc_id", "text").alias("h"))
     attention.train(*first_windows(dealt.filter(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * min(1.0, FIRST_TEXTS / max(1, texts)))), path))
     # Dealt by a hash and in its order, so that weights don't depend on the input's files.
     trained_further(attention, dealt.repartition("h").sortWithinPartitions("h"), path)
@@ -495,36 +594,38 @@ def score(docs: DataFrame, training: Column, path: str) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all docs; `training`: the condition to learn from."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", (~training).alias("held_out"))
-    model = fit(rows.filter(~F.col("held_out")), path)
+    ids = written(with_ids(rows.select("doc_id", "held_out", deal(), "text"), path), "ids")
+    model = fit(rows.filter(~F.col("held_out")), path, ids.filter(~F.col("held_out")))
     n, weight = model.n, model.spelling
     base_of = float(np.log(n + model.v + 1))
-    shared = spark.sparkContext.broadcast((model.hot, model.attention))
+    hot = dict(zip(Speller(path).codes(list(model.hot)), model.hot.values(), strict=True))
+    shared = spark.sparkContext.broadcast((hot, model.attention))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, attention = shared.value
-        of, v = speller(path), attention.v
+        v, begins_of, written_as = attention.v, begins_word(path), Words(path)
+        single = np.zeros(IDS, dtype=np.int64)
+        for code, c in known.items():
+            if len(code) == 2:
+                single[np.frombuffer(code, dtype="<u2")] = c
         share_of = np.log(np.maximum(v.words, 1.0))
         for b in slices(batches, 64):
-            texts = [[*x.translate(LOWER_BYTES).split(), b""] for x in as_bytes(b.column("text"))]
-            words = [w for t in texts for w in t]
-            of.learn(words)
-            codes, found = list(map(of.__getitem__, words)), [known.get(w, 0) for w in words]
-            sizes = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // 2
-            ids = np.frombuffer(b"".join(codes), dtype="<u2")
-            stops = np.cumsum(list(map(len, texts)))
-            ends = np.zeros(len(words), dtype=bool)
-            ends[stops - 1] = True
-            after = np.cumsum(sizes)
-            cut = [windows(x) for x in np.split(ids, after[stops - 1][:-1])]
-            targets = np.concatenate([t for _, t in cut])
-            classes, begins = (x[targets >= 0].astype(np.float64) for x in attention.score(np.concatenate([i for i, _ in cut]), targets))
+            ids, lengths = ids_of(b)
+            first = np.flatnonzero(begins_of[ids])  # exactly one id of a word begins one, and it is the first
+            after = np.append(first[1:], len(ids))
+            sizes, ends = after - first, ids[first] == END
+            stops = np.flatnonzero(ends) + 1
+            codes, c = ids.tobytes(), single[ids[first]]
+            more = np.flatnonzero(sizes > 1)
+            c[more] = [known.get(codes[i:j], 0) for i, j in zip((2 * first[more]).tolist(), (2 * after[more]).tolist(), strict=True)]
+            c = c.astype(np.float64)
+            inputs, targets = windows(ids, lengths)
+            classes, begins = (x[targets >= 0].astype(np.float64) for x in attention.score(inputs, targets))
             logs = np.concatenate([[0], np.cumsum(classes + v.within[ids])])
-            first = after - sizes
             begun = begins[first]
             # Probabilities of whole words: a word begins here, and the next one begins after it.
             spelling = logs[after] - logs[first] - begun + np.where(ends, 0, np.append(begun[1:], 0))
             group = classes[first] - begun - share_of[v.classes[ids[first]]]
-            c = np.array(found, dtype=np.float64)
             rare = (c == 0) & ~ends & (n > 0)
             with np.errstate(divide="ignore", invalid="ignore"):
                 both = spelling if weight == 1 else np.log((1 - weight) * c * np.exp(group) + weight * np.exp(spelling))
@@ -532,18 +633,17 @@ def score(docs: DataFrame, training: Column, path: str) -> DataFrame:
             total = lambda x: np.add.reduceat(np.where(rare, 0, x), starts)
             owner = pa.array(np.searchsorted(stops, starts, side="right"))
             at = np.flatnonzero(rare)
-            names = pa.array([words[i] for i in at.tolist()], pa.binary()).cast(pa.string())
-            pairs = pa.StructArray.from_arrays([names, pa.array(spelling[at], pa.float32()), pa.array(group[at], pa.float32())], names=["word", "a", "g"])
+            pairs = pa.StructArray.from_arrays([written_as(ids[np.repeat(rare, sizes)], sizes[at]), pa.array(spelling[at], pa.float32()), pa.array(group[at], pa.float32())], names=["word", "a", "g"])
             listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(rare, starts, dtype=np.int64))]), pa.int32()), pairs)
-            made = (marks.view(np.int64), np.diff(np.append(starts, len(words))), total(c > 0).astype(np.int64), total(np.log(c + 1) - base_of), total(both))
+            made = (marks.view(np.int64), np.diff(np.append(starts, len(first))), total(c > 0).astype(np.int64), total(np.log(c + 1) - base_of), total(both))
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(x).take(owner) for x in ("_doc", "doc_id", "held_out")), *map(pa.array, made), listed],
                 names=["_doc", "doc_id", "held_out", "mark", "n_tokens", "known", "base", "ln", "rare"],
             )
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    kind = ids.schema["doc_id"].dataType.simpleString()
     schema = f"_doc long, doc_id {kind}, held_out boolean, mark long, n_tokens long, known long, base double, ln double, rare array<struct<word:string,a:float,g:float>>"
-    near = written(rows.withColumn("_doc", F.monotonically_increasing_id()).mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scored")
+    near = written(ids.select("doc_id", "held_out", "ids").withColumn("_doc", F.monotonically_increasing_id()).mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scored")
     # Words that aren't hot meet their counts; sums by passage are combined before the second shuffle.
     c = F.coalesce(F.col("c"), F.lit(0))
     mixed = F.when(c == 0, F.col("a").cast("double") + float(np.log(weight))).otherwise(F.log((1 - weight) * c * F.exp(F.col("g").cast("double")) + weight * F.exp(F.col("a").cast("double"))))
