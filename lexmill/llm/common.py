@@ -19,7 +19,7 @@ LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SLICE_ROWS = 256
 
 _own_folder: list[str] = []
-_written: list[str] = []
+_written: list[tuple[str, DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,15 +39,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append((path, spark.read.schema(df.schema).parquet(path)))
+    return _written[-1][1]
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what `written` has made in this process, once the results that read it have been stored."""
+def release(spark: SparkSession, df: DataFrame | None = None) -> None:
+    """Delete what `written` has made in this process, once the results that read it have been stored; or df alone, which it returned, once nothing reads that."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for made in [x for x in _written if df is None or x[1] is df]:
+        _written.remove(made)
+        path = jvm.org.apache.hadoop.fs.Path(made[0])
         path.getFileSystem(conf).delete(path, True)
 
 

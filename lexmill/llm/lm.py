@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import LOWER_BYTES, as_bytes, documents, held_out, slices, written
+from .common import LOWER_BYTES, as_bytes, documents, held_out, release, slices, written
 from .tokens import LONGEST_KEY, PATTERN, Memo, pieces, read_ranks, unlike
 
 WIDTH, WINDOW, STRIDE = 24, 32, 24
@@ -644,6 +644,7 @@ def score(docs: DataFrame, training: Column, path: str) -> DataFrame:
     kind = ids.schema["doc_id"].dataType.simpleString()
     schema = f"_doc long, doc_id {kind}, held_out boolean, mark long, n_tokens long, known long, base double, ln double, rare array<struct<word:string,a:float,g:float>>"
     near = written(ids.select("doc_id", "held_out", "ids").withColumn("_doc", F.monotonically_increasing_id()).mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scored")
+    release(spark, ids)  # before the joins take room
     # Words that aren't hot meet their counts; sums by passage are combined before the second shuffle.
     c = F.coalesce(F.col("c"), F.lit(0))
     mixed = F.when(c == 0, F.col("a").cast("double") + float(np.log(weight))).otherwise(F.log((1 - weight) * c * F.exp(F.col("g").cast("double")) + weight * F.exp(F.col("a").cast("double"))))
